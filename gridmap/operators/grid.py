@@ -101,7 +101,8 @@ def map_to_columns(cells: DataFrame, ctx: DataFrame, mapping: DataFrame) -> Data
     last = (cells.join(ctx.select("doc_id", "header_end"), "doc_id")
                  .where(F.col("row_idx") == F.col("header_end"))
                  .select("doc_id", "col_idx", F.lower(T.strip("value")).alias("_k")))
-    m = mapping.where(F.col("header").isNotNull()).withColumn("_k", F.lower(T.strip("header")))
+    m = (mapping.where(F.col("header").isNotNull())
+                .select("doc_id", "section", "field", F.lower(T.strip("header")).alias("_k")))
     return (m.join(last, ["doc_id", "_k"])
              .groupBy("doc_id", "section", "field")
              .agg(F.min("col_idx").alias("col_idx")))

@@ -124,26 +124,27 @@ def correction_summary(corrections: DataFrame) -> DataFrame:
     return corrections.groupBy("section", "error_type").agg(F.count(F.lit(1)).alias("n_corrections"))
 
 
-def section_merge(extracted: DataFrame, validated: DataFrame, fields: DataFrame) -> DataFrame:
-    """Merge stage outputs per field.
-
-    ``fields``: all (doc_id, section, field) slots (start all-null).
-    Validated value present -> it wins, even when null (no fall back to the
-    extracted value); confidence = validated confidence, 0.9 when unscored.
-    Only extracted -> extracted value, 0.5.  Neither -> null, 0.0.
+def section_merge(slots: DataFrame) -> DataFrame:
+    """Merge stage outputs per field slot (all slots start null).
+
+    ``slots`` carries, per (doc, section, field): ``has_extracted``,
+    ``extracted_header``, ``has_validated``, ``validated_header``,
+    ``validated_confidence``.  A validated answer wins, even when null (no
+    fall back to the extracted value); its confidence defaults to 0.9 when
+    unscored.  Only extracted -> extracted value with 0.5.  Neither -> null, 0.0.
     """
-    k = ["doc_id", "section", "field"]
-    e = extracted.select(*k, F.col("header").alias("_eh"), F.lit(True).alias("_e"))
-    v = validated.select(*k, F.col("header").alias("_vh"), F.col("confidence").alias("_vc"), F.lit(True).alias("_v"))
-    j = fields.join(e, k, "left").join(v, k, "left")
-    has_v, has_e = F.col("_v").isNotNull(), F.col("_e").isNotNull()
-    return j.select(*fields.columns,
-                    F.when(has_v, F.col("_vh")).when(has_e, F.col("_eh")).alias("header"),
-                    F.when(has_v, F.coalesce(F.col("_vc"), F.lit(D.CONF_NOT_SCORED)))
-                     .when(has_e, F.lit(D.CONF_EXTRACTED_ONLY))
-                     .otherwise(F.lit(D.CONF_NOT_EXTRACTED)).alias("confidence"),
-                    F.when(has_v, F.lit("validated")).when(has_e, F.lit("extracted"))
-                     .otherwise(F.lit("none")).alias("source"))
+    has_v = F.coalesce(F.col("has_validated"), F.lit(False))
+    has_e = F.coalesce(F.col("has_extracted"), F.lit(False))
+    keep = [c for c in slots.columns if c not in ("has_extracted", "extracted_header", "has_validated",
+                                                   "validated_header", "validated_confidence")]
+    return slots.select(*keep,
+                        F.when(has_v, F.col("validated_header")).when(has_e, F.col("extracted_header"))
+                         .alias("header"),
+                        F.when(has_v, F.coalesce(F.col("validated_confidence"), F.lit(D.CONF_NOT_SCORED)))
+                         .when(has_e, F.lit(D.CONF_EXTRACTED_ONLY))
+                         .otherwise(F.lit(D.CONF_NOT_EXTRACTED)).alias("confidence"),
+                        F.when(has_v, F.lit("validated")).when(has_e, F.lit("extracted"))
+                         .otherwise(F.lit("none")).alias("source"))
 
 
 def _conflict_candidates(mapping: DataFrame) -> DataFrame:
@@ -191,3 +192,14 @@ def resolve_conflicts(mapping: DataFrame) -> DataFrame:
     return r.select(*[c for c in mapping.columns if c != "header"],
                     F.col("header").alias("header_before"),
                     F.when(F.coalesce(F.col("_rn"), F.lit(1)) == 1, F.col("header")).alias("header"))
+
+
+def typed_values(values: DataFrame, field_defs: DataFrame) -> DataFrame:
+    """Cast mapped values by declared field type (float/int -> double, date, else string); bad values -> null."""
+    fd = F.broadcast(field_defs.select("section", "field", "field_type").distinct())
+    j = values.join(fd, ["section", "field"])
+    t = F.col("field_type")
+    return j.select("doc_id", "row_idx", "section", "field", "field_type",
+                    F.when(t == "float", F.col("value").try_cast("double")).alias("value_double"),
+                    F.when(t == "date", F.col("value").try_cast("date")).alias("value_date"),
+                    F.when(t == "string", F.col("value")).alias("value_string"))

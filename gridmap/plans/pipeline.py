@@ -46,53 +46,55 @@ def configs_frame(spark, configs=None) -> DataFrame:
 
 
 def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_ROW, end_row: int = D.END_ROW,
-                  dedup: bool = True, configs=None, checkpoint: bool = False) -> MappingResult:
+                  dedup: bool = True, configs=None, checkpoint: bool = True) -> MappingResult:
     """Run the whole mapping job.
 
     ``cells``: doc_id, row_idx, col_idx, value (+ num_format, is_number);
     ``docs``: doc_id, doc_name, file_type.
-    ``checkpoint`` materialises the windowed cells in the shared checkpoint
-    folder (reliable checkpoint) so retries after executor loss restart from
-    there instead of re-reading the sources.
+
+    ``checkpoint`` (default on) cuts the lineage at three boundaries with a
+    reliable checkpoint in the shared checkpoint folder: the windowed cells
+    (bounded by the window, whatever the sheet size), the per-document class
+    decisions and the per-document header contexts.  Later stages then start
+    from stored data after an executor loss, and the plan stays small even
+    though several stages read the same inputs.
     """
     spark = cells.sparkSession
     fd, al, terms = dims.field_defs(spark, configs), dims.aliases(spark, configs), dims.class_terms(spark)
+    cut = cut_lineage if checkpoint else (lambda df: df)
 
-    win = G.row_window(cells, start_row, end_row).select("doc_id", "row_idx", "col_idx", "value")
-    if checkpoint:
-        win = cut_lineage(win)
+    # 1. row window first: everything after it is bounded per document
+    win = cut(G.row_window(cells, start_row, end_row).select("doc_id", "row_idx", "col_idx", "value"))
     lines = G.rows_to_lines(win)
 
-    # class stages: keyword scorer on the windowed text + name, then validation
-    name_toks = C.tokens(docs, "doc_name")
-    line_toks = C.tokens(lines, "line")
-    classified = C.classify_docs(docs, line_toks.unionByName(name_toks), terms)
-    checked = C.validate_class(classified, name_toks, line_toks, terms)
-    todo, finished = C.early_exit(checked)
-
+    # 2. class scorer + validation from one keyword aggregation, early exit, config join
+    scores = C.source_scores(C.tokens(docs, "doc_name"), C.tokens(lines, "line"), terms)
+    decided = cut(C.class_decisions(docs, scores))
+    todo, finished = C.early_exit(decided)
     matched, cfg_errors = S.config_join(todo.select("doc_id", F.col("validated_class").alias("doc_class")),
                                         configs_frame(spark, configs))
     active = matched.select("doc_id", "doc_class")
 
-    # header stages on the active documents only
+    # 3. header detection, validation and gate
     win_active = win.join(active.select("doc_id"), "doc_id", "left_semi")
     stats = H.row_stats(win_active, al)
-    ctx = H.validate_header(H.detect_header(stats), stats)
+    ctx = cut(H.validate_header(H.detect_header(stats), stats))
     passed, hdr_errors = H.header_gate(ctx)
 
+    # 4. section scorer, validation, merge, conflict resolution
     hdr_cells = G.flatten_headers(win_active, passed)
     docs_ok = active.join(passed.select("doc_id"), "doc_id", "left_semi")
     extracted = S.extract_sections(hdr_cells, docs_ok, fd, al)
     validated, corrections = S.validate_sections(extracted, hdr_cells)
-    merged = S.section_merge(
-        extracted.select("doc_id", "section", "field", "header"),
-        validated.select("doc_id", "section", "field", "header",
-                         F.col("validation_confidence").alias("confidence")),
-        extracted.select("doc_id", "doc_class", "section", "section_ord", "field", "field_ord", "field_type"))
+    slots = validated.select("doc_id", "doc_class", "section", "section_ord", "field", "field_ord", "field_type",
+                             F.lit(True).alias("has_extracted"), "extracted_header",
+                             F.lit(True).alias("has_validated"), F.col("header").alias("validated_header"),
+                             F.col("validation_confidence").alias("validated_confidence"))
+    merged = S.section_merge(slots)
     mapping = S.resolve_conflicts(merged) if dedup else merged.withColumn("header_before", F.col("header"))
 
     errors = cfg_errors.select(*ERROR_COLUMNS).unionByName(hdr_errors.select(*ERROR_COLUMNS))
-    return MappingResult(mapping=mapping, context=passed, classes=checked, finished=finished,
+    return MappingResult(mapping=mapping, context=passed, classes=decided, finished=finished,
                          errors=errors, corrections=corrections, header_cells=hdr_cells)
 
 

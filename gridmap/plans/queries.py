@@ -1,9 +1,4 @@
-"""The registered query set: each query runs operators over the given tables.
-
-``QUERIES[name] = fn(spark, sf_dir) -> DataFrame`` and, when the result is
-expressible in SQL, ``ORACLE[name]`` holds the DuckDB statement computing
-the same rows (column names identical).
-"""
+"""Registered queries: flagship mapping job, text core, grid basics, classification."""
 
 from __future__ import annotations
 
@@ -22,29 +17,7 @@ from gridmap.plans import dims
 from gridmap.plans import pipeline as P
 from gridmap.plans import sqlparts as Q
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: Callable[[], str] | str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql() if callable(sql) else sql
-        return fn
-    return deco
-
-
-def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-    return df.select(*cols) if cols else df
-
-
-def corpus(spark: SparkSession, sf_dir: str):
-    orders = read(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
-    lineitem = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                    "l_extendedprice", "l_linestatus", "l_shipdate")
-    return K.corpus_cells(orders, lineitem), K.corpus_docs(orders), orders
+from gridmap.plans.registry import QUERIES, ORACLE, query, read, corpus  # noqa: F401
 
 
 # --------------------------------------------------------------------------- flagship

@@ -272,3 +272,66 @@ def mapping_pipeline_ctes(start: int = D.START_ROW, end: int = D.END_ROW) -> lis
   FROM pl_ext e JOIN pl_val v ON e.doc_id = v.doc_id AND e.section = v.section AND e.field = v.field)""",
         resolve_conflicts_cte("pl_final", "pl_merged"),
     ]
+
+
+# ------------------------------------------------------------------ cell formatting twins
+CUR_RE = r"\[\$([^\-\]]+)(?:\-[0-9A-F]+)?\]"
+
+
+def _dec(raw: str) -> str:
+    return f"TRY_CAST({raw} AS DECIMAL(38,12))"
+
+
+def _fmt(dec: str, dp: str) -> str:
+    return (f"CASE {dp} WHEN 0 THEN format('{{:,.0f}}', round_even({dec}, 0)) "
+            f"WHEN 1 THEN format('{{:,.1f}}', round_even({dec}, 1)) "
+            f"WHEN 2 THEN format('{{:,.2f}}', round_even({dec}, 2)) "
+            f"ELSE format('{{:,.3f}}', round_even({dec}, 3)) END")
+
+
+def currency_symbol(fmt: str) -> str:
+    return f"regexp_extract({fmt}, '{CUR_RE}', 1)"
+
+
+def format_currency(raw: str, fmt: str) -> str:
+    num = _fmt(_dec(raw), f"CASE WHEN instr({fmt}, '.00') > 0 THEN 2 ELSE 0 END")
+    return (f"CASE WHEN starts_with({fmt}, '[') THEN {currency_symbol(fmt)} || ({num}) "
+            f"ELSE ({num}) || ' ' || {currency_symbol(fmt)} END")
+
+
+def format_percent(raw: str, fmt: str) -> str:
+    dp = f"CASE WHEN instr({fmt}, '.0%') > 0 THEN 1 WHEN instr({fmt}, '.00%') > 0 THEN 2 ELSE 0 END"
+    return f"({_fmt(_dec(raw) + ' * 100', dp)}) || '%'"
+
+
+def format_plain(raw: str, fmt: str) -> str:
+    dp = (f"CASE WHEN instr({fmt}, '.000') > 0 THEN 3 WHEN instr({fmt}, '.00') > 0 THEN 2 "
+          f"WHEN instr({raw}, '.') > 0 THEN 2 ELSE 0 END")
+    return _fmt(_dec(raw), dp)
+
+
+def format_cell(raw: str, fmt: str, is_number: str) -> str:
+    formatted = (f"CASE WHEN length({currency_symbol(fmt)}) > 0 THEN {format_currency(raw, fmt)} "
+                 f"WHEN instr({fmt}, '%') > 0 THEN {format_percent(raw, fmt)} ELSE {format_plain(raw, fmt)} END")
+    return (f"CASE WHEN {raw} IS NULL THEN '' WHEN NOT coalesce({is_number}, FALSE) OR {fmt} IS NULL OR {fmt} = '' "
+            f"OR {fmt} = 'General' THEN {raw} ELSE coalesce({formatted}, {raw}) END")
+
+
+def fixed(x: str, dp: int) -> str:
+    return f"replace(format('{{:,.{dp}f}}', round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,12)), {dp})), ',', '')"
+
+
+def clean_number(x: str) -> str:
+    return (f"CASE WHEN isnan({x}) THEN 'nan' ELSE "
+            f"regexp_replace(regexp_replace({fixed(x, 4)}, '0+$', ''), '\\.$', '') END")
+
+
+def format_duration(s: str) -> str:
+    return (f"CASE WHEN {s} < 60 THEN {fixed(s, 1)} || ' seconds' WHEN {s} < 3600 THEN {fixed(f'({s}) / 60', 1)} "
+            f"|| ' minutes' ELSE {fixed(f'({s}) / 3600', 1)} || ' hours' END")
+
+
+def format_duration_short(s: str) -> str:
+    return (f"CASE WHEN {s} < 1 THEN {fixed(f'({s}) * 1000', 2)} || ' ms' WHEN {s} < 60 THEN {fixed(s, 2)} "
+            f"|| ' seconds' ELSE CAST(CAST(floor(({s}) / 60) AS BIGINT) AS VARCHAR) || ' min ' "
+            f"|| {fixed(f'({s}) - floor(({s}) / 60) * 60', 2)} || ' sec' END")
