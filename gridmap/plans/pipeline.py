@@ -37,6 +37,11 @@ class MappingResult:
     errors: DataFrame         # quarantine: doc_id, stage, code, message, severity
     corrections: DataFrame    # section validation corrections
     header_cells: DataFrame   # header text per (doc, column)
+    detected: DataFrame = None      # header scorer output before validation
+    validated_ctx: DataFrame = None  # header context after validation (before the gate)
+    extracted: DataFrame = None     # section scorer output
+    validated: DataFrame = None     # section validation output
+    active: DataFrame = None        # documents with a configured class
 
 
 def configs_frame(spark, configs=None) -> DataFrame:
@@ -78,7 +83,8 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_RO
     # 3. header detection, validation and gate
     win_active = win.join(active.select("doc_id"), "doc_id", "left_semi")
     stats = H.row_stats(win_active, al)
-    ctx = cut(H.validate_header(H.detect_header(stats), stats))
+    detected = H.detect_header(stats)
+    ctx = cut(H.validate_header(detected, stats))
     passed, hdr_errors = H.header_gate(ctx)
 
     # 4. section scorer, validation, merge, conflict resolution
@@ -95,7 +101,8 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_RO
 
     errors = cfg_errors.select(*ERROR_COLUMNS).unionByName(hdr_errors.select(*ERROR_COLUMNS))
     return MappingResult(mapping=mapping, context=passed, classes=decided, finished=finished,
-                         errors=errors, corrections=corrections, header_cells=hdr_cells)
+                         errors=errors, corrections=corrections, header_cells=hdr_cells, detected=detected,
+                         validated_ctx=ctx, extracted=extracted, validated=validated, active=active)
 
 
 def final_mapping(res: MappingResult) -> DataFrame:
