@@ -51,7 +51,8 @@ def configs_frame(spark, configs=None) -> DataFrame:
 
 
 def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_ROW, end_row: int = D.END_ROW,
-                  dedup: bool = True, configs=None, checkpoint: bool = True) -> MappingResult:
+                  dedup: bool = True, configs=None, checkpoint: bool = True,
+                  section_threshold: float | None = None) -> MappingResult:
     """Run the whole mapping job.
 
     ``cells``: doc_id, row_idx, col_idx, value (+ num_format, is_number);
@@ -97,6 +98,8 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_RO
                              F.lit(True).alias("has_validated"), F.col("header").alias("validated_header"),
                              F.col("validation_confidence").alias("validated_confidence"))
     merged = S.section_merge(slots)
+    if section_threshold is not None:   # optional section gate (off by default)
+        merged = merged.withColumn("header", F.when(F.col("confidence") >= section_threshold, F.col("header")))
     mapping = S.resolve_conflicts(merged) if dedup else merged.withColumn("header_before", F.col("header"))
 
     errors = cfg_errors.select(*ERROR_COLUMNS).unionByName(hdr_errors.select(*ERROR_COLUMNS))
