@@ -151,3 +151,36 @@ def context_struct(ctx: DataFrame, docs: DataFrame) -> DataFrame:
         F.col("content_start").alias("ContentStartLine"),
         F.col("file_type").alias("FileType"),
         F.lit(None).cast("double").alias("ProcessingTimeSeconds")).alias("context"))
+
+
+def row_summary(cells: DataFrame, aliases: DataFrame) -> DataFrame:
+    """One row per grid row with everything later stages need, from a single aggregation.
+
+    (doc_id, row_idx, cells array<struct<col_idx, value>>, line, n_nonblank, n_alias, n_numeric,
+    has_digit).  The vocabulary is a broadcast hash join before the aggregation, so the cells are
+    shuffled once; each group is one grid row (bounded by its column count).
+    """
+    c = cells.withColumn("_k", F.lower(T.strip("value")))
+    c = c.join(alias_keys(aliases).withColumn("_hit", F.lit(1)), "_k", "left")
+    nb = ~T.is_blank("value")
+    arr = F.array_sort(F.collect_list(F.struct(F.col("col_idx"), F.coalesce(F.col("value"), F.lit("")).alias("value"))))
+    out = (c.groupBy("doc_id", "row_idx")
+             .agg(arr.alias("cells"),
+                  F.sum(F.when(nb, 1).otherwise(0)).cast("int").alias("n_nonblank"),
+                  F.sum(F.when(nb & F.col("_hit").isNotNull(), 1).otherwise(0)).cast("int").alias("n_alias"),
+                  F.sum(F.when(nb & T.is_numeric_text("value"), 1).otherwise(0)).cast("int").alias("n_numeric"),
+                  F.max(F.when(T.has_digit("value"), 1).otherwise(0)).cast("int").alias("has_digit")))
+    line = F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda x: x["value"]), " | "), F.lit(" |"))
+    return out.withColumn("line", line)
+
+
+def header_texts(rows: DataFrame, ctx: DataFrame) -> DataFrame:
+    """(doc_id, col_idx, header): non-blank cells of the header rows joined with ' ' per column."""
+    h = (rows.join(ctx.select("doc_id", "header_start", "header_end"), "doc_id")
+             .where(F.col("row_idx").between(F.col("header_start"), F.col("header_end")))
+             .select("doc_id", "row_idx", F.explode("cells").alias("c"))
+             .select("doc_id", "row_idx", F.col("c.col_idx").alias("col_idx"), F.col("c.value").alias("value"))
+             .where(~T.is_blank("value")))
+    arr = F.array_sort(F.collect_list(F.struct("row_idx", "value")))
+    return h.groupBy("doc_id", "col_idx").agg(F.array_join(F.transform(arr, lambda x: x["value"]), " ")
+                                              .alias("header"))

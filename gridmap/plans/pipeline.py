@@ -59,9 +59,9 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_RO
     ``docs``: doc_id, doc_name, file_type.
 
     ``checkpoint`` (default on) cuts the lineage at three boundaries with a
-    reliable checkpoint in the shared checkpoint folder: the windowed cells
-    (bounded by the window, whatever the sheet size), the per-document class
-    decisions and the per-document header contexts.  Later stages then start
+    reliable checkpoint in the shared checkpoint folder: the per-row summary of
+    the windowed cells (bounded by the window, whatever the sheet size), the
+    per-document class decisions and the per-document header contexts.  Later stages then start
     from stored data after an executor loss, and the plan stays small even
     though several stages read the same inputs.
     """
@@ -69,9 +69,11 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_RO
     fd, al, terms = dims.field_defs(spark, configs), dims.aliases(spark, configs), dims.class_terms(spark)
     cut = cut_lineage if checkpoint else (lambda df: df)
 
-    # 1. row window first: everything after it is bounded per document
-    win = cut(G.row_window(cells, start_row, end_row).select("doc_id", "row_idx", "col_idx", "value"))
-    lines = G.rows_to_lines(win)
+    # 1. row window first, then one aggregation per grid row: Markdown line, header statistics and
+    #    the row's cells (everything later stages need), stored with a reliable checkpoint
+    win = G.row_window(cells, start_row, end_row).select("doc_id", "row_idx", "col_idx", "value")
+    rows = cut(H.row_summary(win, al))
+    lines = rows.select("doc_id", F.col("row_idx").alias("line_no"), "line")
 
     # 2. class scorer + validation from one keyword aggregation, early exit, config join
     scores = C.source_scores(C.tokens(docs, "doc_name"), C.tokens(lines, "line"), terms)
@@ -81,15 +83,14 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_RO
                                         configs_frame(spark, configs))
     active = matched.select("doc_id", "doc_class")
 
-    # 3. header detection, validation and gate
-    win_active = win.join(active.select("doc_id"), "doc_id", "left_semi")
-    stats = H.row_stats(win_active, al)
+    # 3. header detection, validation and gate (on the per-row statistics of active documents)
+    stats = rows.join(active.select("doc_id"), "doc_id", "left_semi").drop("cells", "line")
     detected = H.detect_header(stats)
     ctx = cut(H.validate_header(detected, stats))
     passed, hdr_errors = H.header_gate(ctx)
 
     # 4. section scorer, validation, merge, conflict resolution
-    hdr_cells = G.flatten_headers(win_active, passed)
+    hdr_cells = H.header_texts(rows, passed)
     docs_ok = active.join(passed.select("doc_id"), "doc_id", "left_semi")
     extracted = S.extract_sections(hdr_cells, docs_ok, fd, al)
     validated, corrections = S.validate_sections(extracted, hdr_cells)
