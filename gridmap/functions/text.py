@@ -23,9 +23,12 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+STRIP_CHARS = " \t\n\r\f\x0b"
+
+
 def strip(c) -> Column:
-    """Remove leading/trailing whitespace (tab, newline, CR, FF, VT, space)."""
-    return F.regexp_replace(col_(c), _STRIP_RE, "")
+    """Remove leading/trailing whitespace (tab, newline, CR, FF, VT, space); plain trim, no regex."""
+    return F.btrim(col_(c), F.lit(STRIP_CHARS))
 
 
 def split_lines(c) -> Column:

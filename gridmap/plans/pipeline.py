@@ -90,8 +90,10 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_RO
     passed, hdr_errors = H.header_gate(ctx)
 
     # 4. section scorer, validation, merge, conflict resolution
-    hdr_cells = H.header_texts(rows, passed)
-    docs_ok = active.join(passed.select("doc_id"), "doc_id", "left_semi")
+    # every later table is keyed by doc_id and bounded per document by the configuration, so one
+    # hash partitioning on doc_id serves all joins and windows below (no further exchanges)
+    hdr_cells = H.header_texts(rows, passed).repartition("doc_id")
+    docs_ok = active.join(passed.select("doc_id"), "doc_id", "left_semi").repartition("doc_id")
     extracted = S.extract_sections(hdr_cells, docs_ok, fd, al)
     validated, corrections = S.validate_sections(extracted, hdr_cells)
     slots = validated.select("doc_id", "doc_class", "section", "section_ord", "field", "field_ord", "field_type",

@@ -14,7 +14,7 @@ WS = r"[ \t\n\r\f\x0B]"
 
 
 def strip(e: str) -> str:
-    return f"regexp_replace({e}, '^{WS}+|{WS}+$', '', 'g')"
+    return f"trim({e}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))"
 
 
 def is_blank(e: str) -> str:

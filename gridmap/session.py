@@ -39,6 +39,12 @@ def get_spark(master: str | None = None, app: str = "gridmap", shuffle_partition
         # broadcast only small dimension tables (vocabulary, configs, labels);
         # anything that grows with the data goes through a shuffle join.
         "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+        # per-row gathers (collect_list over one grid row) have many small groups: keep them in the
+        # object hash map up to a bounded number of keys per task before falling back to sorting
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
+        # joins on (doc_id, ...) may reuse a partitioning on doc_id alone (each document's rows are
+        # bounded by configuration, so doc_id partitions cannot be skewed by one document)
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
     }
     if shuffle_partitions is None:
         shuffle_partitions = int(cpus) * 2 if cpus else 16
