@@ -65,6 +65,24 @@ def extract_sections(header_cells: DataFrame, docs: DataFrame, field_defs: DataF
     would answer), which section validation then corrects.  Fields without a
     match stay null.  Section confidence = mapped fields / fields.
     """
+    best = best_matches(header_cells, docs, aliases).select("doc_id", "section", "field", "col_idx", "header",
+                                                             "match_kind")
+    full = section_fanout(docs.select("doc_id", "doc_class"), field_defs)
+    m = full.join(best, ["doc_id", "section", "field"], "left")
+    ws = Window.partitionBy("doc_id", "section")
+    return m.select("doc_id", "doc_class", "section", "section_ord", "field", "field_ord", "field_type",
+                    "header", "col_idx", "match_kind",
+                    (F.count("header").over(ws) / F.count(F.lit(1)).over(ws)).alias("confidence"))
+
+
+def best_matches(header_cells: DataFrame, docs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Mapped fields only: (doc_id, doc_class, section, section_ord, field, field_ord, col_idx, header, match_kind).
+
+    Header cells are equi-joined with the broadcast vocabulary on their
+    normalised text; per field the exact spelling beats a case-insensitive
+    one, then the leftmost column, then vocabulary order.  Rows exist only
+    for fields that matched (a handful per document).
+    """
     hc = (header_cells.where(~T.is_blank("header"))
                       .withColumn("_k", F.lower(T.strip("header")))
                       .join(docs.select("doc_id", "doc_class"), "doc_id"))
@@ -73,16 +91,10 @@ def extract_sections(header_cells: DataFrame, docs: DataFrame, field_defs: DataF
     kind = F.when(T.strip("header") == T.strip("alias"), 1).otherwise(2)
     cand = cand.withColumn("_kind", kind)
     w = Window.partitionBy("doc_id", "section", "field").orderBy("_kind", "col_idx", "alias_ord")
-    best = (cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
-                .select("doc_id", "section", "field", "col_idx",
+    return (cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+                .select("doc_id", "doc_class", "section", "section_ord", "field", "field_ord", "col_idx",
                         F.when(F.col("_kind") == 1, F.col("header")).otherwise(F.col("alias")).alias("header"),
                         F.col("_kind").alias("match_kind")))
-    full = section_fanout(docs.select("doc_id", "doc_class"), field_defs)
-    m = full.join(best, ["doc_id", "section", "field"], "left")
-    ws = Window.partitionBy("doc_id", "section")
-    return m.select("doc_id", "doc_class", "section", "section_ord", "field", "field_ord", "field_type",
-                    "header", "col_idx", "match_kind",
-                    (F.count("header").over(ws) / F.count(F.lit(1)).over(ws)).alias("confidence"))
 
 
 def validate_sections(mapping: DataFrame, header_cells: DataFrame):

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmap.operators import classify as C
@@ -94,16 +94,30 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_RO
     # hash partitioning on doc_id serves all joins and windows below (no further exchanges)
     hdr_cells = H.header_texts(rows, passed).repartition("doc_id")
     docs_ok = active.join(passed.select("doc_id"), "doc_id", "left_semi").repartition("doc_id")
-    extracted = S.extract_sections(hdr_cells, docs_ok, fd, al)
-    validated, corrections = S.validate_sections(extracted, hdr_cells)
-    slots = validated.select("doc_id", "doc_class", "section", "section_ord", "field", "field_ord", "field_type",
-                             F.lit(True).alias("has_extracted"), "extracted_header",
-                             F.lit(True).alias("has_validated"), F.col("header").alias("validated_header"),
-                             F.col("validation_confidence").alias("validated_confidence"))
-    merged = S.section_merge(slots)
+    # small first: score, validate, merge and resolve only the fields that matched a header cell
+    best = S.best_matches(hdr_cells, docs_ok, al)
+    checked, corrections = S.validate_sections(best.withColumn("confidence", F.lit(None).cast("double")), hdr_cells)
+    merged_small = S.section_merge(checked.select(
+        "doc_id", "doc_class", "section", "section_ord", "field", "field_ord",
+        F.lit(True).alias("has_extracted"), "extracted_header", F.lit(True).alias("has_validated"),
+        F.col("header").alias("validated_header"), F.col("validation_confidence").alias("validated_confidence")))
+    resolved = (S.resolve_conflicts(merged_small) if dedup
+                else merged_small.withColumn("header_before", F.col("header")))
+    # then fan out once to every field slot of the document's class (nulls kept); a slot without a match
+    # takes its section's validation confidence, 1.0 when nothing in the section was mapped
+    slots = S.section_fanout(docs_ok, fd)
+    k = ["doc_id", "section", "field"]
+    j = slots.join(resolved.select(*k, "header", "header_before", F.col("confidence").alias("_c")), k, "left")
+    sec_conf = F.max("_c").over(Window.partitionBy("doc_id", "section"))
+    mapping = j.select("doc_id", "doc_class", "section", "section_ord", "field", "field_ord", "field_type",
+                       "header", F.coalesce(F.col("_c"), sec_conf, F.lit(1.0)).alias("confidence"),
+                       F.lit("validated").alias("source"), "header_before")
     if section_threshold is not None:   # optional section gate (off by default)
-        merged = merged.withColumn("header", F.when(F.col("confidence") >= section_threshold, F.col("header")))
-    mapping = S.resolve_conflicts(merged) if dedup else merged.withColumn("header_before", F.col("header"))
+        mapping = mapping.withColumn("header", F.when(F.col("confidence") >= section_threshold, F.col("header")))
+
+    # full-width stage outputs, computed only when asked for (stage queries, debugging)
+    extracted = S.extract_sections(hdr_cells, docs_ok, fd, al)
+    validated, _ = S.validate_sections(extracted, hdr_cells)
 
     errors = cfg_errors.select(*ERROR_COLUMNS).unionByName(hdr_errors.select(*ERROR_COLUMNS))
     return MappingResult(mapping=mapping, context=passed, classes=decided, finished=finished,
