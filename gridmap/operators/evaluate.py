@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 
 def class_f1(pairs: DataFrame, true_col: str = "y_true", pred_col: str = "y_pred") -> DataFrame:
-    """Per class: support, predicted, tp, precision, recall, f1 (from a cross-tab, no pairwise work)."""
-    ct = pairs.groupBy(F.col(true_col).alias("t"), F.col(pred_col).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    sup = ct.groupBy(F.col("t").alias("cls")).agg(F.sum("n").alias("support"))
-    prd = ct.groupBy(F.col("p").alias("cls")).agg(F.sum("n").alias("predicted"))
-    tp = ct.where(F.col("t") == F.col("p")).select(F.col("t").alias("cls"), F.col("n").alias("tp"))
-    j = sup.join(prd, "cls", "full").join(tp, "cls", "left").na.fill(0, ["support", "predicted", "tp"])
+    """Per class: support, predicted, tp, precision, recall, f1.
+
+    One pass: every (true, pred) pair contributes a support row for its true
+    class and a prediction row for its predicted class; a single aggregation
+    by class (partial sums map-side) gives all counts, no join.
+    """
+    t, p = F.col(true_col), F.col(pred_col)
+    roles = F.array(F.struct(t.alias("cls"), F.lit(1).alias("s"), F.lit(0).alias("q"),
+                             F.when(t == p, 1).otherwise(0).alias("tp")),
+                    F.struct(p.alias("cls"), F.lit(0).alias("s"), F.lit(1).alias("q"), F.lit(0).alias("tp")))
+    x = pairs.select(F.explode(roles).alias("r")).select("r.*")
+    j = x.groupBy("cls").agg(F.sum("s").cast("bigint").alias("support"), F.sum("q").cast("bigint").alias("predicted"),
+                             F.sum("tp").cast("bigint").alias("tp"))
     prec = F.when(F.col("predicted") > 0, F.col("tp") / F.col("predicted")).otherwise(F.lit(0.0))
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
-    j = j.select("cls", F.col("support").cast("bigint").alias("support"),
-                 F.col("predicted").cast("bigint").alias("predicted"), F.col("tp").cast("bigint").alias("tp"),
-                 prec.alias("precision"), rec.alias("recall"))
+    j = j.select("cls", "support", "predicted", "tp", prec.alias("precision"), rec.alias("recall"))
     f1 = F.when(F.col("precision") + F.col("recall") > 0,
                 F.lit(2.0) * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))) \
           .otherwise(F.lit(0.0))

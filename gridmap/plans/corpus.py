@@ -69,24 +69,22 @@ def corpus_cells(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     b, s, h, _c0 = _layout(k)
     o = orders.select(k.alias("doc_id"), b.alias("b"), s.alias("s"), h.alias("h"), (k % 3).cast("int").alias("v"))
 
-    banner = (o.select("doc_id", F.posexplode(F.slice(F.array(*[F.lit(x) for x in BANNERS]), 1,
-                                                     F.greatest(F.col("b"), F.lit(0)))))
-               .where(F.col("col").isNotNull())
-               .select("doc_id", F.col("pos").alias("row_idx"), F.lit(0).alias("col_idx"),
-                       F.col("col").alias("value")))
-    cols = F.sequence(F.lit(0), F.lit(N_COLS - 1))
-    blank = (o.where(F.col("b") > 0)
-              .select("doc_id", F.col("b").alias("row_idx"), F.explode(cols).alias("col_idx"))
-              .withColumn("value", F.lit("")))
-    header = (o.select("doc_id", F.col("h").alias("row_idx"), "v", F.explode(cols).alias("col_idx"))
-               .select("doc_id", "row_idx", "col_idx",
-                       F.element_at(F.array(*[F.array(*_variant_array(c)) for c in range(N_COLS)]),
-                                    F.col("col_idx") + 1)[F.col("v")].alias("value")))
-    rule = (o.where(F.col("s") == 1)
-             .select("doc_id", (F.col("h") + 1).alias("row_idx"), F.explode(cols).alias("col_idx"))
-             .withColumn("value", F.when(F.col("col_idx") < N_COLS - 1, F.lit("---")).otherwise(F.lit(""))))
-    top = (banner.unionByName(blank).unionByName(header).unionByName(rule)
-                 .withColumn("num_format", F.lit("General")).withColumn("is_number", F.lit(False)))
+    # all top rows of a document (banners, blank row, header, rule row) from one scan of orders:
+    # one array of (row, col, value) structs per order, exploded once
+    def cell(r, c, v):
+        return F.struct(r.cast("int").alias("row_idx"), F.lit(c).alias("col_idx") if isinstance(c, int)
+                        else c.cast("int").alias("col_idx"), v.alias("value"))
+
+    b_, s_, h_, v_ = F.col("b"), F.col("s"), F.col("h"), F.col("v")
+    empty = F.array().cast("array<struct<row_idx:int,col_idx:int,value:string>>")
+    banners = [F.when(b_ > i, F.array(cell(F.lit(i), 0, F.lit(x)))).otherwise(empty) for i, x in enumerate(BANNERS)]
+    blank = F.when(b_ > 0, F.array(*[cell(b_, c, F.lit("")) for c in range(N_COLS)])).otherwise(empty)
+    header = F.array(*[cell(h_, c, F.array(*_variant_array(c))[v_]) for c in range(N_COLS)])
+    rule = F.when(s_ == 1, F.array(*[cell(h_ + 1, c, F.lit("---" if c < N_COLS - 1 else ""))
+                                     for c in range(N_COLS)])).otherwise(empty)
+    top = (o.select("doc_id", F.explode(F.concat(*banners, blank, header, rule)).alias("x"))
+            .select("doc_id", "x.row_idx", "x.col_idx", "x.value")
+            .withColumn("num_format", F.lit("General")).withColumn("is_number", F.lit(False)))
 
     lk = F.col("l_orderkey")
     _b, _s, _h, c0 = _layout(lk)
