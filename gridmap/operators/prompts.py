@@ -122,3 +122,22 @@ def field_description(description, examples, with_aliases: bool = True) -> F.Col
     if not with_aliases:
         return d
     return F.when(e.isNotNull() & (e != ""), F.concat(d, F.lit(". Possible headers values: "), e)).otherwise(d)
+
+
+def render_conflict_input(focus: DataFrame, mapping: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """Conflict-resolution input per document: table, extracted mapping JSON, conflicts JSON.
+
+    Only documents with at least one conflict get an input (no call is needed otherwise).
+    """
+    m = (mapping.where(F.col("header").isNotNull())
+                .groupBy("doc_id")
+                .agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(
+                    F.struct(F.concat_ws(".", "section", "field").alias("k"), F.col("header").alias("v"))))))
+                     .alias("extracted")))
+    c = conflicts.groupBy("doc_id").agg(F.to_json(F.array_sort(F.collect_list(
+        F.struct("header", F.split("members", ", ").alias("conflicts"))))).alias("conflicts"))
+    j = c.join(m, "doc_id").join(focus, "doc_id")
+    return j.select("doc_id", F.concat(F.lit("# Original Table\n"), F.col("focus"),
+                                       F.lit("\n\n# Extracted Data\n```json\n"), F.col("extracted"),
+                                       F.lit("\n```\n\n# Conflicts\n```json\n"), F.col("conflicts"),
+                                       F.lit("\n```")).alias("conflict_input"))

@@ -52,12 +52,16 @@ def configs_frame(spark, configs=None) -> DataFrame:
 
 def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_ROW, end_row: int = D.END_ROW,
                   dedup: bool = True, configs=None, checkpoint: bool = True,
-                  section_threshold: float | None = None) -> MappingResult:
+                  section_threshold: float | None = None, class_scorer=None) -> MappingResult:
     """Run the whole mapping job.
 
     ``cells``: doc_id, row_idx, col_idx, value (+ num_format, is_number);
     ``docs``: doc_id, doc_name, file_type.
 
+    ``class_scorer``: optional user callable (pandas batch of doc_id/prompt ->
+    answers) used instead of the rule class scorer; its answers are parsed by
+    the same ladder, and documents whose scoring failed go to ``errors``.
+
     ``checkpoint`` (default on) cuts the lineage at three boundaries with a
     reliable checkpoint in the shared checkpoint folder: the per-row summary of
     the windowed cells (bounded by the window, whatever the sheet size), the
@@ -76,8 +80,13 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_RO
     lines = rows.select("doc_id", F.col("row_idx").alias("line_no"), "line")
 
     # 2. class scorer + validation from one keyword aggregation, early exit, config join
-    scores = C.source_scores(C.tokens(docs, "doc_name"), C.tokens(lines, "line"), terms)
-    decided = cut(C.class_decisions(docs, scores))
+    scorer_errors = None
+    if class_scorer is None:
+        scores = C.source_scores(C.tokens(docs, "doc_name"), C.tokens(lines, "line"), terms)
+        decided = cut(C.class_decisions(docs, scores))
+    else:
+        decided, scorer_errors = _model_decisions(docs, lines, class_scorer)
+        decided = cut(decided)
     todo, finished = C.early_exit(decided)
     matched, cfg_errors = S.config_join(todo.select("doc_id", F.col("validated_class").alias("doc_class")),
                                         configs_frame(spark, configs))
@@ -120,11 +129,38 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_RO
     validated, _ = S.validate_sections(extracted, hdr_cells)
 
     errors = cfg_errors.select(*ERROR_COLUMNS).unionByName(hdr_errors.select(*ERROR_COLUMNS))
+    if scorer_errors is not None:
+        errors = errors.unionByName(scorer_errors.select(*ERROR_COLUMNS))
     return MappingResult(mapping=mapping, context=passed, classes=decided, finished=finished,
                          errors=errors, corrections=corrections, header_cells=hdr_cells, detected=detected,
                          validated_ctx=ctx, extracted=extracted, validated=validated, active=active)
 
 
+def _model_decisions(docs: DataFrame, lines: DataFrame, class_scorer):
+    """Class decisions from a user scorer: windowed text -> budgeted prompt -> answer -> parse ladder."""
+    from gridmap.functions import text as T
+    from gridmap.functions.parse import parse_class
+    from gridmap.operators.scorer import score
+
+    text = G.lines_to_text(lines)        # windowed lines only: bounded per document
+    d = docs.join(text, "doc_id", "left")
+    base = T.token_estimate(T.render(D.CLASS_PROMPT, doc_name=F.col("doc_name"), question=F.lit("")))
+    prompt = T.render(D.CLASS_PROMPT, doc_name=F.col("doc_name"),
+                      question=T.truncate_to_budget(F.coalesce(F.col("text"), F.lit("")), base,
+                                                    D.CLASS_MAX_TOKENS, D.CLASS_CONTEXT_PCT))
+    answers = score(d.select("doc_id", prompt.alias("prompt")), class_scorer)
+    p = parse_class("answer")
+    decided = answers.select(
+        "doc_id", p["predicted_class"].alias("predicted_class"), F.lit(0).cast("bigint").alias("score"),
+        p["confidence"].alias("confidence"), "answer",
+        F.when(F.col("answer").isNull(), F.lit(D.NONE_LABEL)).otherwise(p["predicted_class"]).alias("validated_class"),
+        p["confidence"].alias("validation_confidence"), F.lit("answer of the supplied scorer").alias("validation_reason"))
+    errors = answers.where(F.col("answer").isNull()).select(
+        "doc_id", F.lit("classification").alias("stage"), F.lit("SCORER_FAILED").alias("code"),
+        F.coalesce(F.col("error"), F.lit("no answer")).alias("message"), F.lit("ERROR").alias("severity"))
+    return decided, errors
+
+
 def final_mapping(res: MappingResult) -> DataFrame:
     """The flagship result: one row per (document, section, field), nulls kept."""
     return res.mapping.select("doc_id", "section", "field", "header", "confidence", "source")

@@ -303,3 +303,25 @@ def q_agreement_route(spark, sf_dir):
     hc = routes.groupBy("class_a").agg(F.sum(F.when(F.col("route") == "human check", 1).otherwise(0))
                                         .cast("bigint").alias("n_human_check"))
     return rate.join(hc, "class_a")
+
+
+# --------------------------------------------------------------------------- J3 field lookup
+@query("field_lookup", Q.with_ctes(Q.corpus_ctes(), f"field_defs AS {dims.sql_field_defs()}", select=f"""
+SELECT r.doc_id, r.section, CASE WHEN count(f.field) > 0 THEN 'OK' ELSE '{S.MODEL_NOT_FOUND}' END AS status,
+       count(f.field) AS n_fields
+FROM (SELECT DISTINCT doc_id, section FROM corpus_truth
+      UNION ALL SELECT doc_id, 'Context' FROM corpus_docs) r
+LEFT JOIN field_defs f ON f.doc_class = 'Mutual Funds' AND f.section = r.section
+GROUP BY r.doc_id, r.section"""))
+def q_field_lookup(spark, sf_dir):
+    """Section requests of every document (truth sections + Context) resolved against the class config."""
+    from gridmap.plans import corpus as K
+    orders = read(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+    truth = K.corpus_truth(orders).select("doc_id", "section").distinct()
+    ctx_req = K.corpus_docs(orders).select("doc_id", F.lit("Context").alias("section"))
+    req = truth.unionByName(ctx_req).withColumn("doc_class", F.lit("Mutual Funds"))
+    fields, errors = S.field_lookup(req, dims.field_defs(spark))
+    ok = fields.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n_fields")).withColumn("status", F.lit("OK"))
+    bad = errors.select("doc_id", "section", F.lit(0).cast("bigint").alias("n_fields"), F.col("code").alias("status"))
+    return ok.select("doc_id", "section", "status", "n_fields").unionByName(bad.select("doc_id", "section", "status",
+                                                                                        "n_fields"))

@@ -190,3 +190,22 @@ def q_header_examples(spark, sf_dir):
                             F.col("header_end").alias("HeaderEndLine"),
                             F.col("content_start").alias("ContentStartLine"), conf.alias("ValidationConfidence")))
     return text.join(ctx, "doc_id").select("doc_id", F.col("text").alias("table"), js.alias("expected"))
+
+
+@query("render_conflict_input")
+def q_render_conflict_input(spark, sf_dir):
+    """Conflict-resolution inputs for the documents whose mapping has conflicts."""
+    from gridmap.operators import sections as S
+    cells, docs, orders = corpus(spark, sf_dir)
+    res = P.map_documents(cells, docs)
+    before = res.mapping.drop("header").withColumnRenamed("header_before", "header")
+    lines = G.rows_to_lines(G.row_window(cells))
+    focus = H.focus_content(lines, res.context)
+    return PR.render_conflict_input(focus, before, S.field_conflicts(before))
+
+
+@query("map_documents_model")
+def q_map_documents_model(spark, sf_dir):
+    """The mapping job with a supplied class scorer (mapInPandas) instead of the rule scorer."""
+    cells, docs, _ = corpus(spark, sf_dir)
+    return P.final_mapping(P.map_documents(cells, docs, class_scorer=demo_scorer))
