@@ -46,3 +46,18 @@ def result_json(res, docs: DataFrame) -> DataFrame:
 def write_results(results: DataFrame, path: str) -> None:
     """JSON lines partitioned by class; the document name stays a column (one file per doc is not a goal)."""
     results.write.mode("overwrite").partitionBy("doc_class").json(path)
+
+
+def markdown_documents(lines: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, doc_name, file_type, markdown): the windowed Markdown text of each document.
+
+    ``lines`` must be windowed (the text of one document is then bounded).
+    """
+    arr = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    text = lines.groupBy("doc_id").agg(F.array_join(F.transform(arr, lambda x: x["line"]), "\n").alias("markdown"))
+    return docs.select("doc_id", "doc_name", "file_type").join(text, "doc_id")
+
+
+def write_markdown(md: DataFrame, path: str) -> None:
+    """Markdown sink: JSON lines partitioned by file type, document name kept as a column."""
+    md.write.mode("overwrite").partitionBy("file_type").json(path)

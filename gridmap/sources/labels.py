@@ -80,3 +80,17 @@ def read_configs(spark: SparkSession, path: str, schema: str = APP_CONFIG_SCHEMA
                .when(bad_type, F.lit(CONFIG_BAD_TYPE)).otherwise(F.lit("OK")))
     return typed.select("path", *cols, F.col("cfg.classification_labels").alias("classification_labels"),
                         status.alias("status"))
+
+
+def read_prompts(spark: SparkSession, path: str) -> DataFrame:
+    """Prompt templates: every ``*.md`` under ``path`` as (name, template); a small, broadcastable table."""
+    raw = (spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").text(path)
+                .select(F.input_file_name().alias("path"), F.col("value").alias("template")))
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    return F.broadcast(raw.select(name.alias("name"), "template"))
+
+
+def missing_prompts(required: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Required template names without a file: PROMPT_FILE_NOT_FOUND rows."""
+    return required.join(prompts, "name", "left_anti").select(
+        "name", F.lit("PROMPT_FILE_NOT_FOUND").alias("code"))

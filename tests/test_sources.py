@@ -78,3 +78,23 @@ def test_config_scan(spark, tmp_path):
     assert got["ok.json"] == (20, 0, "OK")
     assert got["bad.json"][2] == "CONFIG_INVALID_TYPE"
     assert got["broken.json"][2] == "INVALID_JSON"
+
+
+def test_prompt_dimension(spark, tmp_path):
+    (tmp_path / "classify.md").write_text("Name: {doc_name}\n{question}")
+    (tmp_path / "other.txt").write_text("ignored")
+    p = LB.read_prompts(spark, str(tmp_path))
+    assert [(r.name, r.template) for r in p.collect()] == [("classify.md", "Name: {doc_name}\n{question}")]
+    req = spark.createDataFrame([("classify.md",), ("validate.md",)], "name string")
+    assert [r.name for r in LB.missing_prompts(req, p).collect()] == ["validate.md"]
+
+
+def test_markdown_sink(spark, tmp_path):
+    from gridmap.plans.results import markdown_documents, write_markdown
+    lines = spark.createDataFrame([(1, 1, "| b |"), (1, 0, "| a |")], "doc_id long, line_no int, line string")
+    docs = spark.createDataFrame([(1, "x", "csv")], "doc_id long, doc_name string, file_type string")
+    md = markdown_documents(lines, docs)
+    assert md.collect()[0].markdown == "| a |\n| b |"
+    write_markdown(md, str(tmp_path / "md"))
+    back = spark.read.json(str(tmp_path / "md")).collect()
+    assert back[0].doc_name == "x" and back[0].file_type == "csv"
