@@ -24,7 +24,7 @@ def parse_structured(df: DataFrame, json_col: str, schema: str) -> DataFrame:
 
 def read_json_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole-file text of every ``*.json`` under ``path`` as (path, text, doc)."""
-    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(path)
+    raw = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
     return raw.select(F.input_file_name().alias("path"), F.col("value").alias("text")) \
               .withColumn("doc", F.try_parse_json("text"))
 
@@ -68,7 +68,7 @@ def read_configs(spark: SparkSession, path: str, schema: str = APP_CONFIG_SCHEMA
     ``status``: OK, INVALID_JSON (not parsable), CONFIG_INVALID_TYPE (a key
     is present but does not fit its declared type).
     """
-    raw = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"),
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"),
                                                                     F.col("value").alias("text"))
     typed = raw.withColumn("cfg", F.from_json("text", schema)).withColumn("_j", F.try_parse_json("text"))
     cols = [F.coalesce(F.col(f"cfg.{k}"), F.lit(v)).alias(k) for k, v in APP_DEFAULTS.items()]
@@ -84,7 +84,7 @@ def read_configs(spark: SparkSession, path: str, schema: str = APP_CONFIG_SCHEMA
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """Prompt templates: every ``*.md`` under ``path`` as (name, template); a small, broadcastable table."""
-    raw = (spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").text(path)
+    raw = (spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
                 .select(F.input_file_name().alias("path"), F.col("value").alias("template")))
     name = F.regexp_extract("path", "([^/]+)$", 1)
     return F.broadcast(raw.select(name.alias("name"), "template"))

@@ -56,7 +56,7 @@ def test_html_tables_and_lists(spark):
 
 
 def test_label_files_and_vocabulary(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps({"Identifier": [{"Code": "ISIN", "Currency": "Devise"},
+    (tmp_path / "a.json").write_text(json.dumps(indent=2, obj={"Identifier": [{"Code": "ISIN", "Currency": "Devise"},
                                                                 {"Code": "Sedol"}],
                                                  "Valorisation": {"Nav": "vl", "NavDate": ""}}))
     (tmp_path / "b.json").write_text(json.dumps({"Valorisation": {"Nav": "NAV"}}))
