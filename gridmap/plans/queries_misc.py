@@ -93,7 +93,7 @@ def q_template_fill(spark, sf_dir):
     filled = T.render(TEMPLATE_WITH_GAP, doc_name=F.concat(F.lit("doc_"), F.col("doc_id").cast("string")),
                       lang=F.col("lang"), question=F.col("text"))
     return d.select("doc_id", filled.alias("f")).select(
-        "doc_id", F.length("f").alias("filled_length"), T.leftover_placeholder("f").alias("leftover"))
+        "doc_id", F.length("f").cast("bigint").alias("filled_length"), T.leftover_placeholder("f").alias("leftover"))
 
 
 # --------------------------------------------------------------------------- part: D12
