@@ -127,10 +127,11 @@ def _sniff_sql():
     parts, cols = [], []
     for i, c in enumerate(DL.CANDIDATES):
         ch = c.replace("\t", "' || chr(9) || '")
-        cnt = f"list_transform(ls, lambda x: length(x) - length(replace(x, '{ch}', '')))"
-        parts.append(f"list_min({cnt}) AS mn{i}, list_max({cnt}) AS mx{i}")
+        cnt = f"list_filter(list_transform(ls, lambda x: length(x) - length(replace(x, '{ch}', ''))), lambda y: y > 0)"
+        parts.append(f"list_min({cnt}) AS mn{i}, list_max({cnt}) AS mx{i}, len({cnt}) AS np{i}")
         cols.append(i)
-    ok = [f"(mn{i} = mx{i} AND mn{i} > 0)" for i in cols]
+    parts.append("len(ls) AS nl")
+    ok = [f"coalesce(mn{i} = mx{i} AND np{i} * 2 >= nl, FALSE)" for i in cols]
     best = "greatest(" + ", ".join(f"CASE WHEN {ok[i]} THEN mn{i} ELSE 0 END" for i in cols) + ")"
     pick = ("CASE " + " ".join(
         f"WHEN {ok[i]} AND mn{i} = {best} THEN '{DL.CANDIDATE_NAMES[i]}'" for i in cols) + " ELSE 'comma' END")

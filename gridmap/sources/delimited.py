@@ -42,7 +42,9 @@ def delimiter_vote(df: DataFrame, text_col: str = "text", n_lines: int = VOTE_LI
 
 
 def sniff_delimiter(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Delimiter whose count is the same, and non-zero, on every non-empty line.
+    """Delimiter that occurs the same number of times on every line that has it,
+    and on at least half of the non-empty lines (title or note lines without
+    delimiters do not disqualify it).
 
     Among such candidates the highest per-line count wins, then preference
     order; with none, 'comma'.  Every line of the text is examined.
@@ -53,9 +55,9 @@ def sniff_delimiter(df: DataFrame, text_col: str = "text") -> DataFrame:
         return lambda x: _count(x, ch)
 
     for c in CANDIDATES:
-        cnt = F.transform(ls, counter(c))
-        mn, mx = F.array_min(cnt), F.array_max(cnt)
-        oks.append(F.coalesce((mn == mx) & (mn > 0), F.lit(False)))
+        pos = F.filter(F.transform(ls, counter(c)), lambda x: x > 0)
+        mn, mx = F.array_min(pos), F.array_max(pos)
+        oks.append(F.coalesce((mn == mx) & (F.size(pos) * 2 >= F.size(ls)), F.lit(False)))
         mins.append(mn)
     best = F.greatest(*[F.when(ok, mn).otherwise(F.lit(0)) for ok, mn in zip(oks, mins)])
     pick = F.lit("comma")

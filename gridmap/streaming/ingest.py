@@ -38,3 +38,20 @@ def ingest_folder(spark: SparkSession, src: str, out: str, checkpoint: str, batc
     if available_now:
         q.awaitTermination()
     return out if available_now else q
+
+
+def map_arrivals(batch: DataFrame) -> DataFrame:
+    """Batch function running the whole mapping job on newly arrived delimited files.
+
+    bytes -> charset (BOM / UTF-8 / Latin-1) -> text -> delimiter -> long cells -> ``map_documents``.
+    Files that are not delimited text are left to the batch path (workbooks) and skipped here.
+    """
+    from gridmap.plans.pipeline import final_mapping, map_documents
+    from gridmap.sources import delimited as DL
+
+    ids = identify(batch).where(F.col("file_type").isin("csv", "txt", "dat"))
+    raw = batch.join(ids.select("path", "doc_id", "doc_name", "file_type"), "path")
+    text = raw.select("doc_id", DL.decode_bytes("content", DL.encoding_choice("content")).alias("text"))
+    cells = DL.csv_grid(text.join(DL.sniff_delimiter(text), "doc_id")).select("doc_id", "row_idx", "col_idx", "value")
+    res = map_documents(cells, ids.select("doc_id", "doc_name", "file_type"), checkpoint=False)
+    return final_mapping(res).join(ids.select("doc_id", "doc_name"), "doc_id")

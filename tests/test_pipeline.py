@@ -59,3 +59,18 @@ def test_stream_ingest_exactly_once(spark, tmp_path):
     got = spark.read.parquet(out)
     assert sorted(r.base for r in got.collect()) == ["a.csv", "b.xlsx"]
     assert {r.file_type for r in got.collect()} == {"csv", "xlsx"}
+
+
+def test_stream_maps_arriving_csv_files(spark, tmp_path):
+    from gridmap.streaming.ingest import map_arrivals
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "funds_a.csv").write_text("Price list\nISIN Code;Fund Name;NAV;Devise\nLU01;Alpha;10.5;EUR\nLU02;Beta;11.0;USD\n")
+    (src / "funds_b.csv").write_text("Code ISIN,FONDS,VL\nFR01,Gamma,99.1\n", encoding="latin-1")
+    out = str(tmp_path / "out")
+    ingest_folder(spark, str(src), out, str(tmp_path / "ck"), batch_fn=map_arrivals)
+    got = {(r.doc_name, r.section, r.field): r.header
+           for r in spark.read.parquet(out).where("header IS NOT NULL").collect()}
+    assert got[("funds_a", "Identifier", "Code")] == "ISIN Code"
+    assert got[("funds_a", "Valorisation", "Nav")] == "NAV"
+    assert got[("funds_b", "Denomination", "InstrumentName")] == "FONDS"
