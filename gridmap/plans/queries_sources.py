@@ -209,3 +209,23 @@ def q_map_documents_model(spark, sf_dir):
     """The mapping job with a supplied class scorer (mapInPandas) instead of the rule scorer."""
     cells, docs, _ = corpus(spark, sf_dir)
     return P.final_mapping(P.map_documents(cells, docs, class_scorer=demo_scorer))
+
+
+@query("stream_map_documents")
+def q_stream_map_documents(spark, sf_dir):
+    """Price-list CSV files written from orders (chunks of at most 1000 orders each, ';'-separated, with a
+    header row), mapped as they arrive: the stream runs the whole mapping job on every micro-batch."""
+    from gridmap.streaming.ingest import ingest_folder, map_arrivals
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderstatus")
+    lists = o.select((F.col("o_orderkey") / 1000).cast("bigint").alias("chunk"),
+                     F.concat(F.lit("ORD"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")).alias("ISIN Code"),
+                     F.concat(F.lit("Fund "), F.col("o_custkey").cast("string")).alias("Fund Name"),
+                     F.col("o_totalprice").cast("decimal(18,2)").cast("string").alias("NAV"),
+                     F.when(F.col("o_orderstatus") == "F", F.lit("EUR")).otherwise(F.lit("USD")).alias("Devise"),
+                     F.date_format("o_orderdate", "yyyy-MM-dd").alias("Date VL"))
+    src = scratch_path(spark, "price-lists")
+    (lists.repartition("chunk").write.partitionBy("chunk").option("header", True).option("sep", ";")
+          .csv(src))
+    out = ingest_folder(spark, src, scratch_path(spark, "stream-mapping"), scratch_path(spark, "stream-ckpt"),
+                        batch_fn=map_arrivals)
+    return spark.read.parquet(out)

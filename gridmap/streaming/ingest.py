@@ -53,5 +53,5 @@ def map_arrivals(batch: DataFrame) -> DataFrame:
     raw = batch.join(ids.select("path", "doc_id", "doc_name", "file_type"), "path")
     text = raw.select("doc_id", DL.decode_bytes("content", DL.encoding_choice("content")).alias("text"))
     cells = DL.csv_grid(text.join(DL.sniff_delimiter(text), "doc_id")).select("doc_id", "row_idx", "col_idx", "value")
-    res = map_documents(cells, ids.select("doc_id", "doc_name", "file_type"), checkpoint=False)
+    res = map_documents(cells, ids.select("doc_id", "doc_name", "file_type"))   # same lineage cuts as batch
     return final_mapping(res).join(ids.select("doc_id", "doc_name"), "doc_id")
