@@ -43,7 +43,9 @@ def is_blank(c) -> Column:
 
 
 def has_digit(c) -> Column:
-    return col_(c).rlike(DIGIT_RE)
+    """Any ASCII digit (translate-based, no regex)."""
+    c = col_(c)
+    return F.length(F.translate(c, "0123456789", "")) < F.length(c)
 
 
 def is_numeric_text(c) -> Column:

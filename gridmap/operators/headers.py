@@ -156,12 +156,20 @@ def context_struct(ctx: DataFrame, docs: DataFrame) -> DataFrame:
 def row_summary(cells: DataFrame, aliases: DataFrame) -> DataFrame:
     """One row per grid row with everything later stages need, from a single aggregation.
 
+    ``aliases``: the vocabulary as a DataFrame (column ``alias``; broadcast join) or as a list of
+    spellings (in-set test).
+
     (doc_id, row_idx, cells array<struct<col_idx, value>>, line, n_nonblank, n_alias, n_numeric,
     has_digit).  The vocabulary is a broadcast hash join before the aggregation, so the cells are
     shuffled once; each group is one grid row (bounded by its column count).
     """
-    c = cells.withColumn("_k", F.lower(T.strip("value")))
-    c = c.join(alias_keys(aliases).withColumn("_hit", F.lit(1)), "_k", "left")
+    if isinstance(aliases, (list, tuple, set, frozenset)):
+        # configuration-sized vocabulary given as values: an in-set test inside the generated code, no join
+        keys = sorted({str(a).strip(T.STRIP_CHARS).lower() for a in aliases})
+        c = cells.withColumn("_hit", F.when(F.lower(T.strip("value")).isin(keys), F.lit(1)))
+    else:
+        c = cells.withColumn("_k", F.lower(T.strip("value")))
+        c = c.join(alias_keys(aliases).withColumn("_hit", F.lit(1)), "_k", "left")
     nb = ~T.is_blank("value")
     arr = F.array_sort(F.collect_list(F.struct(F.col("col_idx"), F.coalesce(F.col("value"), F.lit("")).alias("value"))))
     out = (c.groupBy("doc_id", "row_idx")

@@ -76,7 +76,8 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_RO
     # 1. row window first, then one aggregation per grid row: Markdown line, header statistics and
     #    the row's cells (everything later stages need), stored with a reliable checkpoint
     win = G.row_window(cells, start_row, end_row).select("doc_id", "row_idx", "col_idx", "value")
-    rows = cut(H.row_summary(win, al))
+    vocab = [a for (_c, _s, _so, _f, _fo, a, _ao) in dims.alias_rows(configs)]   # configuration, not data
+    rows = cut(H.row_summary(win, vocab))
     lines = rows.select("doc_id", F.col("row_idx").alias("line_no"), "line")
 
     # 2. class scorer + validation from one keyword aggregation, early exit, config join
