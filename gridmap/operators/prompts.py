@@ -15,23 +15,37 @@ from gridmap.plans import defaults as D
 MSG_COLUMNS = ["conv_id", "msg_idx", "role", "content"]
 
 
-def example_pairs(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, user_text, assistant_text, pair_no): a user turn and the assistant reply right after it."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    x = turns.select("conv_id", "turn", "role", "text",
-                     F.lead("role").over(w).alias("_next_role"), F.lead("text").over(w).alias("_next_text"))
-    pairs = x.where((F.col("role") == "user") & (F.col("_next_role") == "assistant"))
-    wp = Window.partitionBy("conv_id").orderBy("turn")
-    return pairs.select("conv_id", "turn", F.col("text").alias("user_text"),
-                        F.col("_next_text").alias("assistant_text"),
-                        F.row_number().over(wp).alias("pair_no"))
+def example_pairs(turns: DataFrame, k: int | None = None) -> DataFrame:
+    """(conv_id, turn, user_text, assistant_text, pair_no): a user turn and the assistant reply at turn + 1.
+
+    Skew-safe: pairs come from an equi-join on (conv_id, turn), so one huge
+    conversation is spread over many tasks.  With a small ``k`` only the first
+    ``k`` pairs are kept, found by ``k`` rounds of a per-conversation ``min``
+    (partial aggregation, no ordered window over a conversation); with
+    ``k=None`` every pair is numbered with a window.
+    """
+    u = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("user_text"))
+    a = turns.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("assistant_text"))
+    pairs = u.join(a, ["conv_id", "turn"])
+    if k is None:
+        wp = Window.partitionBy("conv_id").orderBy("turn")
+        return pairs.withColumn("pair_no", F.row_number().over(wp))
+    picked, last = None, None
+    for i in range(1, k + 1):
+        cand = pairs if last is None else pairs.join(last, "conv_id").where(F.col("turn") > F.col("_prev"))
+        nxt = cand.groupBy("conv_id").agg(F.min("turn").alias("_t"))
+        sel = nxt.select("conv_id", F.col("_t").alias("turn"), F.lit(i).alias("pair_no"))
+        picked = sel if picked is None else picked.unionByName(sel)
+        last = nxt.select("conv_id", F.col("_t").alias("_prev"))
+    return pairs.join(picked, ["conv_id", "turn"]).select("conv_id", "turn", "user_text", "assistant_text",
+                                                          "pair_no")
 
 
 def system_messages(turns: DataFrame, default: str = D.DEFAULT_SYSTEM_MESSAGE) -> DataFrame:
-    """One system message per conversation: its own first system turn, else the default."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    own = (turns.where(F.col("role") == "system").withColumn("_rn", F.row_number().over(w))
-                .where(F.col("_rn") == 1).select("conv_id", F.col("text").alias("_s")))
+    """One system message per conversation: its own first system turn, else the default (aggregates only)."""
+    own = (turns.where(F.col("role") == "system").groupBy("conv_id")
+                .agg(F.min_by("text", "turn").alias("_s")))
     convs = turns.select("conv_id").distinct()
     return convs.join(own, "conv_id", "left").select(
         "conv_id", F.lit(0).alias("msg_idx"), F.lit("system").alias("role"),
@@ -40,9 +54,7 @@ def system_messages(turns: DataFrame, default: str = D.DEFAULT_SYSTEM_MESSAGE) -
 
 def few_shot_messages(turns: DataFrame, k: int | None = 2) -> DataFrame:
     """[system] + ('# Example i' user message, assistant answer) for the first ``k`` pairs (all when None)."""
-    p = example_pairs(turns)
-    if k is not None:
-        p = p.where(F.col("pair_no") <= k)
+    p = example_pairs(turns, k)
     user = p.select("conv_id", (F.col("pair_no") * 2 - 1).alias("msg_idx"), F.lit("user").alias("role"),
                     F.concat(F.lit("# Example "), F.col("pair_no").cast("string"), F.lit("\n"),
                              F.col("user_text")).alias("content"))
@@ -54,9 +66,8 @@ def few_shot_messages(turns: DataFrame, k: int | None = 2) -> DataFrame:
 def chat_assembly(turns: DataFrame, k: int | None = 2) -> DataFrame:
     """system + few-shot examples + the conversation's last user turn as the human message."""
     shots = few_shot_messages(turns, k)
-    w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
-    last = (turns.where(F.col("role") == "user").withColumn("_rn", F.row_number().over(w))
-                 .where(F.col("_rn") == 1).select("conv_id", F.col("text").alias("_h")))
+    last = (turns.where(F.col("role") == "user").groupBy("conv_id")
+                 .agg(F.max_by("text", "turn").alias("_h")))
     n = shots.groupBy("conv_id").agg(F.max("msg_idx").alias("_m"))
     human = last.join(n, "conv_id").select("conv_id", (F.col("_m") + 1).alias("msg_idx"),
                                            F.lit("human").alias("role"), F.col("_h").alias("content"))
@@ -70,7 +81,7 @@ def tool_call_id(*cols) -> F.Column:
 
 def tool_messages(turns: DataFrame, output_text: str = D.TOOL_OUTPUT_TEXT) -> DataFrame:
     """Per example pair: human input, an ai message calling a tool (id), and the tool's output."""
-    p = example_pairs(turns)
+    p = example_pairs(turns, None)
     cid = tool_call_id(F.col("conv_id"), F.col("turn"))
     base = p.select("conv_id", "turn", "user_text", cid.alias("tool_call_id"))
     human = base.select("conv_id", "turn", F.lit(0).alias("msg_idx"), F.lit("human").alias("role"),

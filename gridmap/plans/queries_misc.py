@@ -18,16 +18,14 @@ from gridmap.plans.registry import corpus, query, read
 
 # --------------------------------------------------------------------------- conversations: D11, D13, D14, G8
 _PAIRS_SQL = """pairs AS (
-  SELECT conv_id, turn, user_text, assistant_text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pair_no
-  FROM (SELECT conv_id, turn, role, text AS user_text, lead(role) OVER w AS nr, lead(text) OVER w AS assistant_text
-        FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-  WHERE role = 'user' AND nr = 'assistant')"""
+  SELECT u.conv_id, u.turn, u.text AS user_text, a.text AS assistant_text,
+         row_number() OVER (PARTITION BY u.conv_id ORDER BY u.turn) AS pair_no
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant')"""
 _SYS_SQL = f"""sys AS (
   SELECT c.conv_id, CAST(0 AS BIGINT) AS msg_idx, 'system' AS role, coalesce(s.text, '{D.DEFAULT_SYSTEM_MESSAGE}') AS content
   FROM (SELECT DISTINCT conv_id FROM conversations) c
-  LEFT JOIN (SELECT conv_id, text FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn
-                                      FROM conversations WHERE role = 'system') WHERE rn = 1) s
+  LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'system' GROUP BY conv_id) s
     ON c.conv_id = s.conv_id)"""
 _SHOTS_SQL = """shots AS (
   SELECT * FROM sys
@@ -53,8 +51,7 @@ def q_few_shot_messages(spark, sf_dir):
 SELECT * FROM shots
 UNION ALL
 SELECT h.conv_id, CAST(m.mx + 1 AS BIGINT), 'human', h.text
-FROM (SELECT conv_id, text FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn
-                                FROM conversations WHERE role = 'user') WHERE rn = 1) h
+FROM (SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'user' GROUP BY conv_id) h
 JOIN (SELECT conv_id, max(msg_idx) AS mx FROM shots GROUP BY conv_id) m ON h.conv_id = m.conv_id"""))
 def q_chat_assembly(spark, sf_dir):
     return _msgs(PR.chat_assembly(_turns(spark, sf_dir), 2))
