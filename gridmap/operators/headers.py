@@ -22,20 +22,23 @@ def fallback_header(lines: DataFrame) -> DataFrame:
     start = 0; the first line i > 0 that is a Markdown rule line gives
     end = i - 1 and content = i + 1 (defaults end 0, content 1); then the
     first line after ``end`` holding a digit becomes the content start.
+
+    Two partial aggregations around an equi-join on doc_id (no ordered
+    window), so one very long document is still spread over many tasks.
     """
-    w = Window.partitionBy("doc_id")
     is_rule = (F.col("line_no") > 0) & T.strip("line").rlike(T.RULE_LINE_RE)
-    x = lines.withColumn("_sep", F.min(F.when(is_rule, F.col("line_no"))).over(w))
+    first = lines.groupBy("doc_id").agg(F.min(F.when(is_rule, F.col("line_no"))).alias("_sep"),
+                                        F.count(F.lit(1)).alias("n_rows"))
     he = F.coalesce(F.col("_sep") - 1, F.lit(0))
-    return (x.groupBy("doc_id")
-             .agg(F.first("_sep").alias("_sep"),
-                  F.min(F.when((F.col("line_no") > he) & T.has_digit("line"), F.col("line_no"))).alias("_dig"),
-                  F.count(F.lit(1)).alias("n_rows"))
-             .select("doc_id",
-                     F.lit(0).alias("header_start"),
-                     F.coalesce(F.col("_sep") - 1, F.lit(0)).cast("int").alias("header_end"),
-                     F.coalesce(F.col("_dig"), F.col("_sep") + 1, F.lit(1)).cast("int").alias("content_start"),
-                     F.col("n_rows").cast("int").alias("n_rows")))
+    dig = (lines.join(first.select("doc_id", "_sep"), "doc_id")
+                .groupBy("doc_id")
+                .agg(F.min(F.when((F.col("line_no") > he) & T.has_digit("line"), F.col("line_no"))).alias("_dig")))
+    return (first.join(dig, "doc_id")
+                 .select("doc_id",
+                         F.lit(0).alias("header_start"),
+                         F.coalesce(F.col("_sep") - 1, F.lit(0)).cast("int").alias("header_end"),
+                         F.coalesce(F.col("_dig"), F.col("_sep") + 1, F.lit(1)).cast("int").alias("content_start"),
+                         F.col("n_rows").cast("int").alias("n_rows")))
 
 
 def alias_keys(aliases: DataFrame) -> DataFrame:
