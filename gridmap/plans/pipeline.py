@@ -113,11 +113,17 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_RO
         F.col("header").alias("validated_header"), F.col("validation_confidence").alias("validated_confidence")))
     resolved = (S.resolve_conflicts(merged_small) if dedup
                 else merged_small.withColumn("header_before", F.col("header")))
-    # then fan out once to every field slot of the document's class (nulls kept): each document's matched
-    # fields and section confidences become small maps (bounded by the configuration), the class's slot
-    # list comes from a broadcast join, and the slots are generated by explode -- no shuffle or sort at
-    # fan-out width.  A slot without a match takes its section's validation confidence, else 1.0.
-    mapping = fan_out(docs_ok, resolved, fd)
+    # then fan out once to every field slot of the document's class (nulls kept); a slot without a match
+    # takes its section's validation confidence, 1.0 when nothing in the section was mapped.  Both sides
+    # are partitioned by doc_id, so the join and the window below add no exchange.  (Building per-document
+    # maps and generating the slots with explode was measured slower here: 18.9 s vs 10.5 s at sf0.1.)
+    slots = S.section_fanout(docs_ok, fd)
+    k = ["doc_id", "section", "field"]
+    j = slots.join(resolved.select(*k, "header", "header_before", F.col("confidence").alias("_c")), k, "left")
+    sec_conf = F.max("_c").over(Window.partitionBy("doc_id", "section"))
+    mapping = j.select("doc_id", "doc_class", "section", "section_ord", "field", "field_ord", "field_type",
+                       "header", F.coalesce(F.col("_c"), sec_conf, F.lit(1.0)).alias("confidence"),
+                       F.lit("validated").alias("source"), "header_before")
     if section_threshold is not None:   # optional section gate (off by default)
         mapping = mapping.withColumn("header", F.when(F.col("confidence") >= section_threshold, F.col("header")))
 
@@ -133,28 +139,6 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_RO
                          validated_ctx=ctx, extracted=extracted, validated=validated, active=active)
 
 
-def fan_out(docs: DataFrame, resolved: DataFrame, field_defs: DataFrame) -> DataFrame:
-    """Every (document, section, field) slot with the resolved header of matched fields."""
-    key = F.concat_ws("\u0001", "section", "field")
-    per_field = resolved.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(
-        key, F.struct("header", "header_before", "confidence")))).alias("_m"))
-    per_section = (resolved.groupBy("doc_id", "section").agg(F.max("confidence").alias("_c"))
-                           .groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("section", "_c")))
-                                                  .alias("_s")))
-    slots = F.broadcast(field_defs.groupBy("doc_class").agg(F.array_sort(F.collect_list(F.struct(
-        "section_ord", "field_ord", "section", "field", "field_type"))).alias("_slots")))
-    d = (docs.select("doc_id", "doc_class").join(per_field, "doc_id", "left").join(per_section, "doc_id", "left")
-             .join(slots, "doc_class"))
-    x = d.select("doc_id", "doc_class", "_m", "_s", F.explode("_slots").alias("_x"))
-    hit = F.col("_m")[F.concat_ws("\u0001", F.col("_x.section"), F.col("_x.field"))]
-    return x.select("doc_id", "doc_class", F.col("_x.section").alias("section"),
-                    F.col("_x.section_ord").alias("section_ord"), F.col("_x.field").alias("field"),
-                    F.col("_x.field_ord").alias("field_ord"), F.col("_x.field_type").alias("field_type"),
-                    hit["header"].alias("header"),
-                    F.coalesce(hit["confidence"], F.col("_s")[F.col("_x.section")], F.lit(1.0)).alias("confidence"),
-                    F.lit("validated").alias("source"), hit["header_before"].alias("header_before"))
-
-
 def _model_decisions(docs: DataFrame, lines: DataFrame, class_scorer):
     """Class decisions from a user scorer: windowed text -> budgeted prompt -> answer -> parse ladder."""
     from gridmap.functions import text as T
