@@ -55,6 +55,7 @@ def get_spark(master: str | None = None, app: str = "gridmap", shuffle_partition
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_root(spark)
+    ship_package(spark)
     return spark
 
 
@@ -87,3 +88,27 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: materialise ``df`` in the shared checkpoint dir."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``gridmap`` importable in Python workers (mapInPandas / applyInPandas tasks).
+
+    The package is zipped once per SparkContext and added with ``addPyFile``,
+    which distributes it to every executor through Spark itself.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_gridmap_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="gridmap-pkg-"), "gridmap.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    sc._gridmap_shipped = True
