@@ -95,10 +95,13 @@ def smallest_capacity(prefix: DataFrame, shards: int, cells: int = CELLS) -> tup
     if not total:
         return 0, 0, Boundaries(set(), [])
     low, high = max(-(-total // shards), largest) - 1, -(-total // shards) + largest  # below any; feasible
-    windows, known, upto = [(0, total)], {total}, F.col("upto")
+    windows, known, upto, before = [(0, total)], {total}, F.col("upto"), None
+    cells = max(cells, 16 * shards)
     while True:
+        length = sum(b - a + 1 for a, b in windows)
+        cells, before = cells * (2 if before and length > before // 2 else 1), length  # always ends
         near = prefix.where(reduce(or_, [upto.between(a, b) for a, b in windows])).select("upto")
-        width = max(1, sum(b - a + 1 for a, b in windows) // cells)
+        width = max(1, length // cells)
         found = near.groupBy(F.expr(f"upto div {width}").alias("c")).agg(
             F.min("upto").alias("first"), F.max("upto").alias("last"), F.count(F.lit(1)).alias("n")).collect()
         known |= {r[k] for r in found for k in ("first", "last")}

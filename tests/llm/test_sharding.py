@@ -24,7 +24,7 @@ def brute_capacity(sizes, shards):
     return c
 
 
-@pytest.mark.parametrize("cells", [3, 50_000])
+@pytest.mark.parametrize("cells", [1, 50_000])
 def test_smallest_capacity_is_exact(spark, cells):
     rnd = random.Random(5)
     for shards in (2, 7):
