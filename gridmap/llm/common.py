@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridmap.session import scratch_path
 
@@ -63,6 +64,12 @@ def replace_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def with_fields(df: DataFrame, **kinds: str) -> T.StructType:
+    """The schema of ``df`` with further nullable fields."""
+    new = [{"name": k, "type": v, "nullable": True, "metadata": {}} for k, v in kinds.items()]
+    return T.StructType.fromJson({"type": "struct", "fields": [*df.schema.jsonValue()["fields"], *new]})
+
+
 # --- words of many texts at once (inside Arrow tasks) -------------------------------------------------------------
 
 _SPACE = np.zeros(256, dtype=bool)

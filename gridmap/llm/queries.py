@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmap.llm import exact_dedup as dedup
-from gridmap.llm import sharding
-from gridmap.llm.common import read, small_batches
+from gridmap.llm import language_id, packing, sharding, token_output, toxicity
+from gridmap.llm.common import crc_bucket, read, small_batches
+from gridmap.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,3 +45,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.minimax_shards(read(spark, sf_dir, "documents", "doc_id", "text"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op2_token_output")
+def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "llm-token-shards")
+    token_output.write_shards(read(spark, sf_dir, "documents", "doc_id", "text"), path)
+    return token_output.read_documents(spark, path)
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(read(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    machine = toxicity.train(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"), crc_bucket(F.col("id"), 3) != 1)
+    return toxicity.score(docs, machine).select("doc_id", (crc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    filters = language_id.train(docs, crc_bucket(F.col("doc_id"), 4) != 2)
+    out = language_id.identify(docs.drop("lang"), filters)
+    return out.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
