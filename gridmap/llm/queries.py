@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmap.llm import exact_dedup as dedup
-from gridmap.llm import language_id, packing, sharding, token_output, toxicity
+from gridmap.llm import html_main, language_id, packing, sharding, token_output, toxicity
 from gridmap.llm.common import crc_bucket, read, small_batches
 from gridmap.session import scratch_path
 
@@ -72,3 +72,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = language_id.train(docs, crc_bucket(F.col("doc_id"), 4) != 2)
     out = language_id.identify(docs.drop("lang"), filters)
     return out.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_html_main")
+def op7_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(read(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
