@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmap.llm import exact_dedup as dedup
-from gridmap.llm import html_main, language_id, packing, sharding, token_output, toxicity
+from gridmap.llm import html_main, language_id, near_dup, packing, sharding, token_output, toxicity
 from gridmap.llm.common import crc_bucket, read, small_batches
 from gridmap.session import scratch_path
 
@@ -77,3 +77,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_html_main")
 def op7_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(read(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op5_minhash_near_dup")
+def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), k=2)
