@@ -13,6 +13,8 @@ from gridmap.session import scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
+#: Lower-cases A-Z and reads other ASCII than letters as spaces; bytes of other characters stay.
+LETTER_BYTES = bytes(LOWER_BYTES[b] if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 #: Rows that a broadcast side may have; beyond it the join is a shuffle join.
 BROADCAST_ROWS = 200_000
 #: Rows of an Arrow batch, so that a batch of long documents stays small in a Python worker.
@@ -95,13 +97,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def texts_bytes(texts: list, lower: bool = True) -> tuple[bytes, np.ndarray]:
+def texts_bytes(texts: list, table: bytes = LOWER_BYTES) -> tuple[bytes, np.ndarray]:
     """UTF-8 of all texts (null: empty), each followed by a space, and the offset at which each text starts."""
     parts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     starts = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) + 1 for p in parts], out=starts[1:])
     data = b" ".join(parts) + b" " if parts else b""
-    return (data.translate(LOWER_BYTES) if lower else data), starts
+    return data.translate(table), starts
 
 
 def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -141,9 +143,9 @@ def span_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix64(out)
 
 
-def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list, table: bytes = LOWER_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts, and where each text's words start (one more entry at the end)."""
-    data, offsets = texts_bytes(texts)
+    data, offsets = texts_bytes(texts, table)
     starts, ends = word_spans(data)
     return span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 

@@ -22,16 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridmap.llm.common import LOWER_BYTES, mix64, replace_columns, slices, with_fields, written
+from gridmap.llm.common import LETTER_BYTES, mix64, replace_columns, slices, with_fields, written
 
 UNKNOWN, LEAST_SHARE, BESIDE_BEST, HASHES, SLOTS_PER_GRAM, MAX_LANGUAGES = "und", 2e-5, 0.3, 3, 16, 1024
-_LETTERS = bytes(LOWER_BYTES[b] if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
 def grams(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Four-byte windows (little-endian numbers) with a letter in one of the two middle bytes, and the text of each."""
     parts = [b"  " + ("" if t is None else t).encode("utf-8", "surrogatepass") + b"  " for t in texts]
-    raw = np.frombuffer(b"".join(parts).translate(_LETTERS) + b"   ", np.uint8).astype(np.uint32)
+    raw = np.frombuffer(b"".join(parts).translate(LETTER_BYTES) + b"   ", np.uint8).astype(np.uint32)
     key = raw[:-3] | (raw[1:-2] << np.uint32(8)) | (raw[2:-1] << np.uint32(16)) | (raw[3:] << np.uint32(24))
     own = (raw[1:-2] != 32) | (raw[2:-1] != 32)
     ends = np.cumsum([len(p) for p in parts])

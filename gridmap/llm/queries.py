@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmap.llm import exact_dedup as dedup
-from gridmap.llm import html_main, language_id, near_dup, packing, sharding, token_output, toxicity
+from gridmap.llm import decontaminate, html_main, language_id, near_dup, packing, sharding, token_output, toxicity
 from gridmap.llm.common import crc_bucket, read, small_batches
 from gridmap.session import scratch_path
 
@@ -82,3 +82,9 @@ def op7_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_minhash_near_dup")
 def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), k=2)
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontaminate.contaminated(docs, items).withColumn("contaminated", F.lit(True))

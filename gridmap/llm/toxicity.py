@@ -20,18 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridmap.llm.common import LOWER_BYTES, replace_columns, slices, span_hashes, texts_bytes, with_fields, word_spans
+from gridmap.llm.common import LETTER_BYTES, replace_columns, slices, span_hashes, texts_bytes, with_fields, word_spans
 
 SLOT_BITS, PREFIXES, SAMPLE, SELECTED, RANK, THRESHOLD = 20, (4, 5, 6), 12_000, 2048, 8, 0.7
-_LETTERS = bytes(LOWER_BYTES[b] if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
 def term_slots(texts: list) -> list[np.ndarray]:
     """Distinct hash slots of each text's terms, ascending."""
     out = []
     for a, b in slices(texts):
-        data, offsets = texts_bytes(texts[a:b])
-        data = data.translate(_LETTERS)
+        data, offsets = texts_bytes(texts[a:b], LETTER_BYTES)
         starts, ends = word_spans(data)
         doc = np.searchsorted(offsets, starts, side="right") - 1
         keys = [(doc << SLOT_BITS) | (span_hashes(data, starts, ends) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
