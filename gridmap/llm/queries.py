@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmap.llm import exact_dedup as dedup
-from gridmap.llm import decontaminate, html_main, language_id, near_dup, packing, sharding, token_output, toxicity
+from gridmap.llm import decontaminate, html_main, language_id, lm_scoring, near_dup, packing, sharding, token_output, toxicity
 from gridmap.llm.common import crc_bucket, read, small_batches
 from gridmap.session import scratch_path
 
@@ -88,3 +88,11 @@ def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text")
     return decontaminate.contaminated(docs, items).withColumn("contaminated", F.lit(True))
+
+
+@query("op1_lm_scoring")
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 5) == 1, F.lit(True))
+    out = lm_scoring.score(docs, ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_subwords")
