@@ -1,24 +1,60 @@
-"""Corpus cleaning pipeline over ``documents``: every stage is one operator of gridmap.llm."""
+"""Corpus cleaning pipeline over ``documents``: every stage is one operator of gridmap.llm.
+
+Each stage takes what its predecessor kept and returns documents with the same columns; the last one returns the packed
+pieces of those that are left.  Stages are written as Parquet in the shared scratch folder and read again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmap.llm import exact_dedup as dedup
-from gridmap.llm.common import read, small_batches, written
+from gridmap.llm import decontaminate, exact_dedup, near_dup, packing, toxicity
+from gridmap.llm.common import prepare, read, written
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine, fitted on the labelled ones, predicts to be toxic go."""
+    prepare(spark)
+    machine = toxicity.train(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.drop_toxic(docs, machine)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (but for the case of A-Z) the row with the largest doc_id stays."""
-    return dedup.drop_duplicates(docs)
+    prepare(spark)
+    return exact_dedup.drop_duplicates(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 in five-word shingles the smallest doc_id stays."""
+    prepare(spark)
+    return near_dup.drop_near_duplicates(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    prepare(spark)
+    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their place in sequences of 2048 tokens."""
+    prepare(spark)
+    return packing.pack(packing.pieces(docs))
 
 
-STAGES = [("exact_dedup", exact_dedup_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("minhash_near_dedup", near_dedup_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("best_fit_packing", packing_stage),
+]
+#: The models of the first and fourth stage and the packing can't be written in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")

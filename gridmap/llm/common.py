@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridmap.session import scratch_path
+from gridmap.session import scratch_path, ship_package
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -28,7 +28,9 @@ def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def small_batches(spark: SparkSession) -> None:
+def prepare(spark: SparkSession) -> None:
+    """Makes the package known to Python workers and keeps Arrow batches of long documents small."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

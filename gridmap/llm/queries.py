@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridmap.llm import exact_dedup as dedup
 from gridmap.llm import decontaminate, html_main, language_id, lm_scoring, near_dup, packing, sharding, token_output, toxicity
-from gridmap.llm.common import crc_bucket, read, small_batches
+from gridmap.llm.common import crc_bucket, prepare, read
 from gridmap.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,7 +19,7 @@ ORACLE: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            small_batches(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
         run.__name__ = name
         QUERIES[name] = run

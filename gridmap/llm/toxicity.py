@@ -147,6 +147,17 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, text_
     return base.mapInArrow(run, with_fields(base, score="double", predicted="integer"))
 
 
+def drop_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows and columns of ``docs`` that are not predicted toxic."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            keep = [machine.score(texts[a:z]) < threshold for a, z in slices(texts)]
+            yield b.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, training: Column | None = None, sample: int = SAMPLE) -> Machine:
     """``training``: a condition on the column ``id`` that training rows meet."""
     return fit(*sample_rows(docs, labels, training, sample))
