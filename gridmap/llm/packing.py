@@ -100,6 +100,21 @@ def _pack(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     return pdf.assign(bin=bins, offset=offset, certified=n <= lower_bound(sizes, length))
 
 
+def _exchange(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
+    """Packs the pieces of all bins that are not full anew; full bins stay, and all if that needs no fewer bins."""
+    loose = pdf.groupby(["grp", "bin"])["length"].transform("sum") < length
+    open_, full = pdf[loose], pdf[~loose]
+    if not len(open_):
+        return pdf.assign(certified=True)
+    bins = len(open_[["grp", "bin"]].drop_duplicates())
+    better = _pack(open_.drop(columns=["bin", "offset", "certified"]), length)
+    if better["bin"].max() + 1 >= bins:
+        return pdf.assign(certified=bins <= lower_bound(open_["length"].to_numpy(np.int64), length))
+    top = full["bin"].max() + 1 if len(full) else 0
+    better = better.assign(grp=pdf["grp"].min(), bin=better["bin"] + top)
+    return pd.concat([full, better]).assign(certified=bool(better["certified"].all()))
+
+
 def pack(found: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIECES, rounds: int = ROUNDS) -> DataFrame:
     """``found`` (pieces) with sequence_id, offset and certified (its partition met its lower bound)."""
     found = written(found, "pack-pieces")
@@ -110,6 +125,10 @@ def pack(found: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIECE
     packed = written(rest.withColumn("grp", deal("doc_id", "piece", "ids_crc32")).groupBy("grp")
                      .applyInPandas(lambda pdf: _pack(pdf, length)[[*names, "grp", "bin", "offset", "certified"]], PACKED), "pack-0")
     done, todo = packed.where("certified"), packed.where("not certified")
+
+    def exchange(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _exchange(pdf, length)[[*names, "grp", "bin", "offset", "certified"]]
+
     for k in range(1, rounds + 1):
         gaps = todo.select("grp").distinct().count()
         if gaps < 2:
@@ -117,24 +136,7 @@ def pack(found: DataFrame, length: int = LENGTH, group_pieces: int = GROUP_PIECE
         # partitions with gaps, MERGED at a time, in an order that differs by round
         new = F.pmod(F.xxhash64("grp", F.lit(k)), F.lit(max(1, gaps // MERGED)))
 
-        def again(pdf: pd.DataFrame) -> pd.DataFrame:
-            """Packs the pieces of all bins that are not full anew; full bins and a result that is no better stay."""
-            bins = pdf.groupby(["grp", "bin"])["length"].transform("sum")
-            open_ = pdf[bins < length]
-            if not len(open_):
-                return pdf[[*names, "grp", "bin", "offset", "certified"]].assign(certified=True)
-            better = _pack(open_.drop(columns=["bin", "offset", "certified"]), length)
-            if better["bin"].max() + 1 >= len(open_[["grp", "bin"]].drop_duplicates()):
-                ok = len(open_[["grp", "bin"]].drop_duplicates()) <= lower_bound(open_["length"].to_numpy(np.int64), length)
-                return pdf[[*names, "grp", "bin", "offset", "certified"]].assign(certified=ok)
-            closed = pdf[bins == length]
-            at = pdf["grp"].min()
-            top = closed["bin"].max() + 1 if len(closed) else 0
-            better = better.assign(grp=at, bin=better["bin"] + top)
-            return pd.concat([closed, better])[[*names, "grp", "bin", "offset", "certified"]].assign(certified=bool(better["certified"].all()))
-
-        packed = written(todo.withColumn("m", new).groupBy("m").applyInPandas(
-            lambda pdf, f=again: f(pdf.drop(columns=["m"])), PACKED), f"pack-{k}")
+        packed = written(todo.withColumn("m", new).groupBy("m").applyInPandas(exchange, PACKED), f"pack-{k}")
         done, todo = done.unionByName(packed.where("certified")), packed.where("not certified")
     sequence = F.col("grp") * F.lit(1 << 32) + F.col("bin")
     small = done.unionByName(todo).select(*names, sequence.alias("sequence_id"), "offset", "certified")
