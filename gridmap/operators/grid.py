@@ -17,9 +17,10 @@ from gridmap.functions import text as T
 from gridmap.functions.cellformat import format_cell
 
 
-def row_window(cells: DataFrame, start: int = 0, end: int = 15) -> DataFrame:
-    """Rows ``[start, end)`` of every sheet; placed before any wide operation."""
-    return cells.where((F.col("row_idx") >= start) & (F.col("row_idx") < end))
+def row_window(cells: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
+    """Rows ``[start, end)`` of every sheet (all later rows without ``end``); placed before any wide operation."""
+    keep = F.col("row_idx") >= start
+    return cells.where(keep if end is None else keep & (F.col("row_idx") < end))
 
 
 def display_cells(cells: DataFrame) -> DataFrame:
@@ -27,19 +28,27 @@ def display_cells(cells: DataFrame) -> DataFrame:
     return cells.withColumn("display", format_cell("value", "num_format", "is_number"))
 
 
+def gap_filled(cells):
+    """Values of an array of (col_idx, value) sorted by column, with '' for columns that have no cell."""
+    n = F.element_at(cells, -1)["col_idx"] + 1
+    at = lambda c: F.coalesce(F.get(F.filter(cells, lambda x: x["col_idx"] == c), F.lit(0))["value"], F.lit(""))
+    return (F.when(F.size(cells) == n, F.transform(cells, lambda x: x["value"]))
+            .otherwise(F.transform(F.sequence(F.lit(0), n - 1), at)))
+
+
 def _ordered_join(values_col: str, order_col: str, sep: str):
     arr = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(values_col).alias("v"))))
     return F.array_join(F.transform(arr, lambda x: x["v"]), sep)
 
 
 def rows_to_lines(cells: DataFrame, value_col: str = "value", keys=("doc_id",)) -> DataFrame:
-    """One Markdown table line per grid row: ``| a | b | c |`` (0-based line numbers)."""
+    """One Markdown table line per grid row: ``| a | b | c |`` (0-based line numbers); a missing cell is an empty one."""
     keys = list(keys)
     return (cells.withColumn("_v", F.coalesce(F.col(value_col), F.lit("")))
                  .groupBy(*keys, "row_idx")
-                 .agg(_ordered_join("_v", "col_idx", " | ").alias("_j"))
+                 .agg(F.array_sort(F.collect_list(F.struct("col_idx", F.col("_v").alias("value")))).alias("_c"))
                  .select(*keys, F.col("row_idx").alias("line_no"),
-                         F.concat(F.lit("| "), F.col("_j"), F.lit(" |")).alias("line")))
+                         F.concat(F.lit("| "), F.array_join(gap_filled(F.col("_c")), " | "), F.lit(" |")).alias("line")))
 
 
 def text_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,10 +6,11 @@ content_start, n_rows, confidence.  Line / row numbers are 0-based.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmap.functions import text as T
+from gridmap.operators.grid import gap_filled
 from gridmap.plans import defaults as D
 
 LOW_CONFIDENCE = "HEADER_VALIDATION_LOW_CONFIDENCE"
@@ -67,27 +68,28 @@ def detect_header(stats: DataFrame) -> DataFrame:
     non-numeric cells; else the first row.  Content starts at the first later
     row holding a digit (else the next row).  Confidence is the vocabulary
     share (or text share) of the chosen row.
+
+    Partial aggregations only, so a sheet of any length is spread over many
+    tasks.  ``header_numeric`` (numeric cells of the header row) and
+    ``content_digit`` (whether the content row has a digit) save
+    ``validate_header`` from reading the rows again.
     """
     share = F.when(F.col("n_nonblank") > 0, (F.col("n_nonblank") - F.col("n_numeric")) / F.col("n_nonblank"))
     text_key = F.when((F.col("n_alias") == 0) & (F.col("n_nonblank") >= 2), share).otherwise(F.lit(0.0))
-    order = [F.col("n_alias").desc(), text_key.desc(), F.col("row_idx").asc()]
-    w = Window.partitionBy("doc_id").orderBy(*order)
     conf = F.when(F.col("n_alias") > 0, F.col("n_alias") / F.col("n_nonblank")).otherwise(F.coalesce(share, F.lit(0.0)))
-    ranked = (stats.withColumn("_rn", F.row_number().over(w))
-                   .withColumn("_h", F.first(F.when(F.col("_rn") == 1, F.col("row_idx")), ignorenulls=True)
-                               .over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-                   .withColumn("_conf", F.when(F.col("_rn") == 1, conf)))
-    return (ranked.groupBy("doc_id")
-                  .agg(F.first("_h").alias("h"),
-                       F.max("_conf").alias("confidence"),
-                       F.min(F.when((F.col("row_idx") > F.col("_h")) & (F.col("has_digit") == 1),
-                                    F.col("row_idx"))).alias("_cs"),
-                       (F.max("row_idx") + 1).alias("n_rows"))
-                  .select("doc_id", F.col("h").cast("int").alias("header_start"),
-                          F.col("h").cast("int").alias("header_end"),
-                          F.coalesce(F.col("_cs"), F.col("h") + 1).cast("int").alias("content_start"),
-                          F.col("n_rows").cast("int").alias("n_rows"),
-                          F.col("confidence").cast("double").alias("confidence")))
+    best = (stats.groupBy("doc_id")
+                 .agg(F.max(F.struct("n_alias", text_key.alias("t"), (-F.col("row_idx")).alias("r"), conf.alias("conf"),
+                                     F.col("n_numeric").alias("num"))).alias("b"),
+                      (F.max("row_idx") + 1).cast("int").alias("n_rows"))
+                 .select("doc_id", (-F.col("b.r")).cast("int").alias("_h"), "n_rows",
+                         F.col("b.conf").cast("double").alias("confidence"), F.col("b.num").alias("header_numeric")))
+    digits = stats.where(F.col("has_digit") == 1).select("doc_id", "row_idx")
+    content = (digits.join(best.select("doc_id", "_h"), "doc_id").where(F.col("row_idx") > F.col("_h"))
+                     .groupBy("doc_id").agg(F.min("row_idx").cast("int").alias("_cs")))
+    return (best.join(content, "doc_id", "left")
+                .select("doc_id", F.col("_h").alias("header_start"), F.col("_h").alias("header_end"),
+                        F.coalesce(F.col("_cs"), F.col("_h") + 1).cast("int").alias("content_start"), "n_rows", "confidence",
+                        "header_numeric", F.when(F.col("_cs").isNotNull(), 1).otherwise(0).alias("content_digit")))
 
 
 def validate_header(ctx: DataFrame, stats: DataFrame) -> DataFrame:
@@ -96,10 +98,12 @@ def validate_header(ctx: DataFrame, stats: DataFrame) -> DataFrame:
     Checks: 0 <= start <= end < content <= n_rows; no numeric cell in the
     header row; the content row holds a digit.
     """
-    hs = stats.select(F.col("doc_id").alias("_hd"), F.col("row_idx").alias("_hr"), F.col("n_numeric").alias("_hnum"))
-    cs = stats.select(F.col("doc_id").alias("_cd"), F.col("row_idx").alias("_cr"), F.col("has_digit").alias("_cdig"))
-    j = (ctx.join(hs, (F.col("doc_id") == F.col("_hd")) & (F.col("header_end") == F.col("_hr")), "left")
-            .join(cs, (F.col("doc_id") == F.col("_cd")) & (F.col("content_start") == F.col("_cr")), "left"))
+    if {"header_numeric", "content_digit"} <= set(ctx.columns):
+        j = ctx.withColumn("_hnum", F.col("header_numeric")).withColumn("_cdig", F.col("content_digit"))
+    else:
+        hs = stats.select("doc_id", F.col("row_idx").alias("header_end"), F.col("n_numeric").alias("_hnum"))
+        cs = stats.select("doc_id", F.col("row_idx").alias("content_start"), F.col("has_digit").alias("_cdig"))
+        j = ctx.join(hs, ["doc_id", "header_end"], "left").join(cs, ["doc_id", "content_start"], "left")
     c1 = ((F.col("header_start") >= 0) & (F.col("header_start") <= F.col("header_end"))
           & (F.col("header_end") < F.col("content_start")) & (F.col("content_start") <= F.col("n_rows")))
     c2 = F.coalesce(F.col("_hnum"), F.lit(1)) == 0
@@ -181,7 +185,7 @@ def row_summary(cells: DataFrame, aliases: DataFrame) -> DataFrame:
                   F.sum(F.when(nb & F.col("_hit").isNotNull(), 1).otherwise(0)).cast("int").alias("n_alias"),
                   F.sum(F.when(nb & T.is_numeric_text("value"), 1).otherwise(0)).cast("int").alias("n_numeric"),
                   F.max(F.when(T.has_digit("value"), 1).otherwise(0)).cast("int").alias("has_digit")))
-    line = F.concat(F.lit("| "), F.array_join(F.transform("cells", lambda x: x["value"]), " | "), F.lit(" |"))
+    line = F.concat(F.lit("| "), F.array_join(gap_filled(F.col("cells")), " | "), F.lit(" |"))
     return out.withColumn("line", line)
 
 

@@ -12,7 +12,7 @@ linearly with the two tables.
 
 Layout for order key ``k``::
 
-    b = k % 4 banner rows (col 0 only)   rows 0 .. b-1
+    b = k % 4 banner rows (col 0 only)   rows 0 .. b-1   (20 when k % 50 = 7: the header lies far down)
     a blank row when b > 0               row  b
     header row                           row  h = b + (b > 0)
     rule row '---' when k is even        row  h + 1
@@ -42,7 +42,7 @@ CELL_COLUMNS = ["doc_id", "row_idx", "col_idx", "value", "num_format", "is_numbe
 
 
 def _layout(k):
-    b = (k % 4).cast("int")
+    b = F.when(k % 50 == 7, 20).otherwise(k % 4).cast("int")
     s = F.when(k % 2 == 0, 1).otherwise(0)
     h = b + F.when(b > 0, 1).otherwise(0)
     return b, s, h, h + 1 + s
@@ -77,7 +77,9 @@ def corpus_cells(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 
     b_, s_, h_, v_ = F.col("b"), F.col("s"), F.col("h"), F.col("v")
     empty = F.array().cast("array<struct<row_idx:int,col_idx:int,value:string>>")
-    banners = [F.when(b_ > i, F.array(cell(F.lit(i), 0, F.lit(x)))).otherwise(empty) for i, x in enumerate(BANNERS)]
+    texts = F.array(*[F.lit(x) for x in BANNERS])
+    banners = [F.when(b_ > 0, F.transform(F.sequence(F.lit(0), b_ - 1), lambda i: cell(i, 0, F.get(texts, i % len(BANNERS)))))
+               .otherwise(empty)]
     blank = F.when(b_ > 0, F.array(*[cell(b_, c, F.lit("")) for c in range(N_COLS)])).otherwise(empty)
     header = F.array(*[cell(h_, c, F.array(*_variant_array(c))[v_]) for c in range(N_COLS)])
     rule = F.when(s_ == 1, F.array(*[cell(h_ + 1, c, F.lit("---" if c < N_COLS - 1 else ""))
@@ -128,17 +130,16 @@ def sql_corpus_ctes() -> str:
     truth = ", ".join(f"('{s}', '{f}', {c})" for c, (s, f) in enumerate(TRUTH))
     return f"""
 corpus_o AS (
-  SELECT o_orderkey AS doc_id, o_orderdate, CAST(o_orderkey % 4 AS INTEGER) AS b,
-         CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS s,
-         CAST(o_orderkey % 4 AS INTEGER) + CASE WHEN o_orderkey % 4 > 0 THEN 1 ELSE 0 END AS h,
-         CAST(o_orderkey % 3 AS INTEGER) AS v
-  FROM orders),
+  SELECT *, b + CASE WHEN b > 0 THEN 1 ELSE 0 END AS h FROM (
+    SELECT o_orderkey AS doc_id, o_orderdate, CAST(CASE WHEN o_orderkey % 50 = 7 THEN 20 ELSE o_orderkey % 4 END AS INTEGER) AS b,
+           CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS s, CAST(o_orderkey % 3 AS INTEGER) AS v
+    FROM orders)),
 corpus_docs AS (
   SELECT doc_id, 'prices_' || CAST(doc_id AS VARCHAR) || '.' || strftime(o_orderdate, '%Y.%m.%d') AS doc_name,
          {_sql_arr(FILE_TYPES)}[CAST(doc_id % 3 AS INTEGER) + 1] AS file_type
   FROM corpus_o),
 corpus_top AS (
-  SELECT doc_id, CAST(r AS INTEGER) AS row_idx, 0 AS col_idx, {_sql_arr(BANNERS)}[r + 1] AS value
+  SELECT doc_id, CAST(r AS INTEGER) AS row_idx, 0 AS col_idx, {_sql_arr(BANNERS)}[r % {len(BANNERS)} + 1] AS value
   FROM corpus_o, LATERAL (SELECT unnest(range(b)) AS r)
   UNION ALL
   SELECT doc_id, b, CAST(c AS INTEGER), '' FROM corpus_o, LATERAL (SELECT unnest(range({N_COLS})) AS c) WHERE b > 0
@@ -149,7 +150,7 @@ corpus_top AS (
   FROM corpus_o, LATERAL (SELECT unnest(range({N_COLS})) AS c) WHERE s = 1),
 corpus_li AS (
   SELECT l_orderkey AS doc_id,
-         CAST(l_orderkey % 4 AS INTEGER) + CASE WHEN l_orderkey % 4 > 0 THEN 1 ELSE 0 END
+         CASE WHEN l_orderkey % 50 = 7 THEN 21 ELSE CAST(l_orderkey % 4 AS INTEGER) + CASE WHEN l_orderkey % 4 > 0 THEN 1 ELSE 0 END END
            + 1 + CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE 0 END
            + row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) - 1 AS row_idx,
          ['LU' || lpad(CAST(l_partkey AS VARCHAR), 10, '0'),

@@ -120,7 +120,7 @@ CONF_EXTRACTED_ONLY = 0.5
 CONF_NOT_EXTRACTED = 0.0
 CONF_NOT_SCORED = 0.9
 
-# Row window read from each sheet.
+# Rows that the row window operator shows; jobs read whole sheets unless told otherwise.
 START_ROW, END_ROW = 0, 15
 # Prompt budget of the class scorer: max_tokens * share, 4 characters per token.
 CLASS_MAX_TOKENS, CLASS_CONTEXT_PCT = 4000, 0.45

@@ -4,10 +4,11 @@ cells --window--> lines --> class scorer --> class validation --> early exit
       --> config join --> header detection/validation/gate --> section scorer
       --> section validation --> merge --> conflict resolution --> mapping
 
-Every stage is a DataFrame keyed by ``doc_id``.  The row window is applied
-first, so all later per-document gathers are bounded by the window (15 rows by
-default), whatever the size of the source sheets.  Failed documents are
-collected in an ``errors`` table instead of failing the job.
+Every stage is a DataFrame keyed by ``doc_id``.  Whole sheets are read unless
+the caller gives a row window.  Rows are gathered by grid row only, header
+detection is made of partial aggregations, so a long sheet is spread over many
+tasks.  Failed documents are collected in an ``errors`` table instead of
+failing the job.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def configs_frame(spark, configs=None) -> DataFrame:
     return spark.createDataFrame(rows, "config_name string, config_class string")
 
 
-def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_ROW, end_row: int = D.END_ROW,
+def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = 0, end_row: int | None = None,
                   dedup: bool = True, configs=None, checkpoint: bool = True,
                   section_threshold: float | None = None, class_scorer=None) -> MappingResult:
     """Run the whole mapping job.
@@ -63,8 +64,8 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_RO
     the same ladder, and documents whose scoring failed go to ``errors``.
 
     ``checkpoint`` (default on) cuts the lineage at three boundaries with a
-    reliable checkpoint in the shared checkpoint folder: the per-row summary of
-    the windowed cells (bounded by the window, whatever the sheet size), the
+    reliable checkpoint in the shared checkpoint folder: the summary of each
+    grid row, the
     per-document class decisions and the per-document header contexts.  Later stages then start
     from stored data after an executor loss, and the plan stays small even
     though several stages read the same inputs.
@@ -73,7 +74,7 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = D.START_RO
     fd, al, terms = dims.field_defs(spark, configs), dims.aliases(spark, configs), dims.class_terms(spark)
     cut = cut_lineage if checkpoint else (lambda df: df)
 
-    # 1. row window first, then one aggregation per grid row: Markdown line, header statistics and
+    # 1. row window (if any) first, then one aggregation per grid row: Markdown line, header statistics and
     #    the row's cells (everything later stages need), stored with a reliable checkpoint
     win = G.row_window(cells, start_row, end_row).select("doc_id", "row_idx", "col_idx", "value")
     vocab = [a for (_c, _s, _so, _f, _fo, a, _ao) in dims.alias_rows(configs)]   # configuration, not data

@@ -278,7 +278,7 @@ def q_format_profile(spark, sf_dir):
 
 @query("display_cells", _csql(f"""
 SELECT doc_id, row_idx, col_idx, {Q.format_cell('value', 'num_format', 'is_number')} AS display
-FROM corpus_cells WHERE row_idx >= {D.START_ROW} AND row_idx < {D.END_ROW}"""))
+FROM corpus_cells"""))
 def q_display_cells(spark, sf_dir):
     cells, _, _ = corpus(spark, sf_dir)
-    return G.display_cells(G.row_window(cells)).select("doc_id", "row_idx", "col_idx", "display")
+    return G.display_cells(cells).select("doc_id", "row_idx", "col_idx", "display")

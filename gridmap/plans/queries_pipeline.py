@@ -29,7 +29,7 @@ def _run(spark, sf_dir):
 # --------------------------------------------------------------------------- E3, E4, D20, E5, E6, G13
 @query("detect_header", _pl_sql("SELECT * FROM pl_det"))
 def q_detect_header(spark, sf_dir):
-    return _run(spark, sf_dir).detected
+    return _run(spark, sf_dir).detected.drop("header_numeric", "content_digit")
 
 
 @query("validate_header", _pl_sql("SELECT * FROM pl_ctx"))

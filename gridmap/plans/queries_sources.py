@@ -90,9 +90,9 @@ def _customer_books(spark, sf_dir):
 
 @query("xlsx_cells")
 def q_xlsx_cells(spark, sf_dir):
-    """Workbooks written from customer x nation, read back: first sheet, row window, displayed values."""
+    """Workbooks written from customer x nation, read back: first sheet, displayed values."""
     path = _customer_books(spark, sf_dir)
-    cells = WB.read_workbooks(spark, path, D.START_ROW, D.END_ROW, all_sheets=False)
+    cells = WB.read_workbooks(spark, path, all_sheets=False)
     return G.display_cells(cells).select(F.element_at(F.split("path", "/"), -1).alias("file"), "sheet", "row_idx",
                                          "col_idx", "value", "num_format", "display")
 
@@ -173,7 +173,7 @@ def q_context_build(spark, sf_dir):
 @query("render_validation_input")
 def q_render_validation_input(spark, sf_dir):
     cells, docs, orders = corpus(spark, sf_dir)
-    lines = G.rows_to_lines(G.row_window(cells))
+    lines = G.rows_to_lines(cells)
     ctx = corpus_context(orders)
     return PR.render_validation_input(H.focus_content(lines, ctx), ctx)
 
@@ -182,7 +182,7 @@ def q_render_validation_input(spark, sf_dir):
 def q_header_examples(spark, sf_dir):
     """Header-detection examples: first rows as Markdown + true context with a deterministic confidence."""
     cells, _, orders = corpus(spark, sf_dir)
-    lines = G.rows_to_lines(G.row_window(cells))
+    lines = G.rows_to_lines(cells)
     text = G.lines_to_text(lines)
     ctx = corpus_context(orders)
     conf = F.lit(0.9) + F.pmod(F.xxhash64("doc_id"), F.lit(101)) / F.lit(1000.0)
@@ -199,7 +199,7 @@ def q_render_conflict_input(spark, sf_dir):
     cells, docs, orders = corpus(spark, sf_dir)
     res = P.map_documents(cells, docs)
     before = res.mapping.drop("header").withColumnRenamed("header_before", "header")
-    lines = G.rows_to_lines(G.row_window(cells))
+    lines = G.rows_to_lines(cells)
     focus = H.focus_content(lines, res.context)
     return PR.render_conflict_input(focus, before, S.field_conflicts(before))
 

@@ -237,13 +237,12 @@ def corpus_ctes() -> str:
     return sql_corpus_ctes()
 
 
-def mapping_pipeline_ctes(start: int = D.START_ROW, end: int = D.END_ROW) -> list[str]:
+def mapping_pipeline_ctes() -> list[str]:
     """The whole mapping job as CTEs ending in ``pl_final``."""
     configs = ", ".join(f"('{n.replace(' ', '_')}', '{n}')" for n in D.CLASS_CONFIGS)
     return [
         dims_ctes(), corpus_ctes(),
-        f"pl_win AS (SELECT doc_id, row_idx, col_idx, value FROM corpus_cells "
-        f"WHERE row_idx >= {start} AND row_idx < {end})",
+        "pl_win AS (SELECT doc_id, row_idx, col_idx, value FROM corpus_cells)",
         rows_to_lines_cte("pl_lines", "pl_win"),
         tokens_cte("pl_name_toks", "corpus_docs", "doc_name"),
         tokens_cte("pl_line_toks", "pl_lines", "line"),
