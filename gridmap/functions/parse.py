@@ -19,19 +19,24 @@ CONFIDENCE_RE = r"(?is)<confidence>(.*?)</confidence>"
 REASON_RE = r"(?is)<reason>(.*?)</reason>"
 
 
+def _spellings(labels) -> list[tuple[str, str]]:
+    """(spelling, label) in label order, each label followed by its synonyms."""
+    return [(w, x) for x in labels for w in [x, *[k for k, v in D.LABEL_SYNONYMS.items() if v == x]]]
+
+
 def label_exact(raw: Column, labels) -> Column:
     """First label equal to ``raw`` ignoring case (null when none)."""
-    return F.coalesce(*[F.when(F.lower(raw) == F.lit(x.lower()), F.lit(x)) for x in labels])
+    return F.coalesce(*[F.when(F.lower(raw) == F.lit(w.lower()), F.lit(x)) for w, x in _spellings(labels)])
 
 
 def label_contained(raw: Column, labels) -> Column:
     """First label (in label order) contained in ``raw`` ignoring case."""
-    return F.coalesce(*[F.when(F.instr(F.lower(raw), F.lit(x.lower())) > 0, F.lit(x)) for x in labels])
+    return F.coalesce(*[F.when(F.instr(F.lower(raw), F.lit(w.lower())) > 0, F.lit(x)) for w, x in _spellings(labels)])
 
 
 def label_word(answer: Column, labels) -> Column:
     """First label found as a whole word (case-insensitive) anywhere in the answer."""
-    return F.coalesce(*[F.when(answer.rlike("(?i)\\b\\Q" + x + "\\E\\b"), F.lit(x)) for x in labels])
+    return F.coalesce(*[F.when(answer.rlike("(?i)\\b\\Q" + w + "\\E\\b"), F.lit(x)) for w, x in _spellings(labels)])
 
 
 def _tag(answer: Column, pattern: str) -> Column:

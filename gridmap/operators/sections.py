@@ -207,11 +207,14 @@ def resolve_conflicts(mapping: DataFrame) -> DataFrame:
 
 
 def typed_values(values: DataFrame, field_defs: DataFrame) -> DataFrame:
-    """Cast mapped values by declared field type (float/int -> double, date, else string); bad values -> null."""
+    """Cast mapped values by declared field type; a bad value is null, a type that is not known is text."""
     fd = F.broadcast(field_defs.select("section", "field", "field_type").distinct())
     j = values.join(fd, ["section", "field"])
     t = F.col("field_type")
     return j.select("doc_id", "row_idx", "section", "field", "field_type",
                     F.when(t == "float", F.col("value").try_cast("double")).alias("value_double"),
                     F.when(t == "date", F.col("value").try_cast("date")).alias("value_date"),
-                    F.when(t == "string", F.col("value")).alias("value_string"))
+                    F.when(t == "int", F.col("value").try_cast("bigint")).alias("value_long"),
+                    F.when(t == "bool", F.col("value").try_cast("boolean")).alias("value_boolean"),
+                    F.when(t == "datetime", F.col("value").try_cast("timestamp")).alias("value_timestamp"),
+                    F.when(t.isNull() | ~t.isin("float", "date", "int", "bool", "datetime"), F.col("value")).alias("value_string"))

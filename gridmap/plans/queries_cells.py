@@ -252,7 +252,10 @@ def q_project_mapped(spark, sf_dir):
 SELECT p.doc_id, p.row_idx, p.section, p.field, f.field_type,
        CASE WHEN f.field_type = 'float' THEN TRY_CAST(p.value AS DOUBLE) END AS value_double,
        CASE WHEN f.field_type = 'date' THEN TRY_CAST(p.value AS DATE) END AS value_date,
-       CASE WHEN f.field_type = 'string' THEN p.value END AS value_string
+       CASE WHEN f.field_type = 'int' THEN TRY_CAST(p.value AS BIGINT) END AS value_long,
+       CASE WHEN f.field_type = 'bool' THEN TRY_CAST(p.value AS BOOLEAN) END AS value_boolean,
+       CASE WHEN f.field_type = 'datetime' THEN TRY_CAST(p.value AS TIMESTAMP) END AS value_timestamp,
+       CASE WHEN f.field_type NOT IN ('float', 'date', 'int', 'bool', 'datetime') THEN p.value END AS value_string
 FROM pm p JOIN field_defs f ON f.section = p.section AND f.field = p.field""",
                              f"field_defs AS {dims.sql_field_defs()}", SQL_CORPUS_CONTEXT, _MAP_SQL, _PROJ_SQL))
 def q_typed_fields(spark, sf_dir):

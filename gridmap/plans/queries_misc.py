@@ -167,8 +167,9 @@ LEFT JOIN corpus_truth t ON t.doc_id = d.doc_id AND t.section = f.section AND t.
 GROUP BY d.doc_id, f.section"""))
 def q_completeness(spark, sf_dir):
     labels, orders = _truth_labels(spark, sf_dir)
-    docs = K.corpus_docs(orders).select("doc_id", F.lit("Mutual Funds").alias("doc_class"))
-    slots = docs.join(dims.field_defs(spark), "doc_class").select("doc_id", "section", "field")
+    # the class is a column, not a constant that would fold the join key away
+    docs = K.corpus_docs(orders).select("doc_id", F.when(F.col("doc_id").isNotNull(), F.lit("Mutual Funds")).alias("doc_class"))
+    slots = docs.join(F.broadcast(dims.field_defs(spark)), "doc_class").select("doc_id", "section", "field")
     return VO.completeness(slots.join(labels.select("doc_id", "section", "field", "value"),
                                       ["doc_id", "section", "field"], "left"))
 

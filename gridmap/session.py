@@ -2,7 +2,8 @@
 
 On a cluster the operator of the cluster sets ``spark.checkpoint.dir`` to a
 shared, fault-tolerant folder (HDFS / object store).  We only ever *read* that
-setting; a private folder is created only when it is unset (local tests).
+setting; a private folder is created only when it is unset on a local master
+(tests); elsewhere the missing setting is an error.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ def get_spark(master: str | None = None, app: str = "gridmap", shuffle_partition
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
-        "spark.driver.memory": "16g",
         # broadcast only small dimension tables (vocabulary, configs, labels);
         # anything that grows with the data goes through a shuffle join.
         "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
@@ -46,9 +46,12 @@ def get_spark(master: str | None = None, app: str = "gridmap", shuffle_partition
         # bounded by configuration, so doc_id partitions cannot be skewed by one document)
         "spark.sql.requireAllClusterKeysForCoPartition": "false",
     }
-    if shuffle_partitions is None:
-        shuffle_partitions = int(cpus) * 2 if cpus else 16
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        conf["spark.driver.memory"] = "16g"
+    if shuffle_partitions is None and cpus:
+        shuffle_partitions = int(cpus) * 2
+    if shuffle_partitions is not None:  # else the cluster's own setting holds
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -72,8 +75,9 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     path = sc.getConf().get(_CHECKPOINT_KEY, None)
     if not path:
-        # unset: only the case for local tests / single-machine runs
-        path = tempfile.mkdtemp(prefix="gridmap-ckpt-")
+        if not sc.master.startswith("local"):
+            raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="gridmap-ckpt-")  # tests and single-machine runs
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
 

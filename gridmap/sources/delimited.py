@@ -90,44 +90,61 @@ def bom_length(content) -> F.Column:
 
 
 def decode_bytes(content, charset) -> F.Column:
-    """Text of raw bytes in ``charset`` after dropping a byte-order mark.
-
-    UTF-32LE has no Spark decoder and yields null (the document is then
-    quarantined by the caller).
-    """
+    """Text of raw bytes in ``charset`` after dropping a byte-order mark."""
     c, cs = col_(content), col_(charset)
     body = F.substr(c, (bom_length(c) + 1).cast("int"))
+    # Spark reads UTF-32 in big-endian order: turn every four bytes around
+    turned = F.unhex(F.regexp_replace(F.hex(body), "(..)(..)(..)(..)", "$4$3$2$1"))
     out = F.lit(None).cast("string")
-    for name, spark_cs in [("UTF-8", "UTF-8"), ("UTF-16LE", "UTF-16LE"), ("UTF-16BE", "UTF-16BE"),
-                           ("UTF-32BE", "UTF-32"), ("ISO-8859-1", "ISO-8859-1")]:
-        out = F.when(cs == name, F.decode(body, spark_cs)).otherwise(out)
+    for name, spark_cs, data in [("UTF-8", "UTF-8", body), ("UTF-16LE", "UTF-16LE", body), ("UTF-16BE", "UTF-16BE", body),
+                                 ("UTF-32BE", "UTF-32", body), ("UTF-32LE", "UTF-32", turned), ("ISO-8859-1", "ISO-8859-1", body)]:
+        out = F.when(cs == name, F.decode(data, spark_cs)).otherwise(out)
     return out
 
 
+# Characters that stand for a delimiter and a line break inside quotes while a text is cut.
+_HELD = "\x01\x02"
+
+
+def hold_quoted(text, delim: str) -> F.Column:
+    """``text`` with delimiters and line breaks inside double quotes replaced by characters that do not cut.
+
+    The text is cut at every quote and the odd pieces are the quoted ones, so the work is linear however many
+    quotes there are.  A text with an odd number of quotes has a stray one: its quotes are ordinary characters.
+    """
+    t = col_(text)
+    pieces = F.split(t, '"', -1)
+    held = F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.translate(x, delim + "\n", _HELD)).otherwise(x))
+    return F.when(F.size(pieces) % 2 == 1, F.array_join(held, '"')).otherwise(t)
+
+
 def split_record(line, delim: str) -> F.Column:
-    """Split one delimited line into fields; delimiters inside double quotes do not split.
+    """Split one record (from ``hold_quoted``) into fields.
 
-    Leading blanks of a field are skipped and surrounding quotes removed
-    (doubled quotes inside become one).
+    Leading blanks of a field are skipped and surrounding quotes removed (doubled quotes inside become one).
     """
-    d = "\\t" if delim == "\t" else "\\" + delim
-    parts = F.split(col_(line), d + '(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    return F.transform(parts, lambda p: F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(p, '^[ ]+', ''), '^"(.*)"$', '$1'), '""', '"'))
+    def field(x):
+        x = F.ltrim(x)
+        quoted = (F.length(x) >= 2) & F.startswith(x, F.lit('"')) & F.endswith(x, F.lit('"'))
+        x = F.when(quoted, F.substr(x, F.lit(2), F.length(x) - 2)).otherwise(x)
+        return F.replace(F.translate(x, _HELD, delim + "\n"), F.lit('""'), F.lit('"'))
+
+    return F.transform(F.split(col_(line), "\\t" if delim == "\t" else "\\" + delim, -1), field)
 
 
 def csv_grid(docs: DataFrame, text_col: str = "text", delim_col: str = "delimiter") -> DataFrame:
     """Delimited text -> long cells (doc_id, row_idx, col_idx, value), no header inference.
 
-    Blank lines are kept as rows with one empty cell; ragged rows are kept
-    (``n_cells`` tells the width of each row).
+    Line breaks inside quotes stay in their cell.  Blank lines are kept as rows with one empty cell; ragged rows are
+    kept (``n_cells`` tells the width of each row).  A null text has no cells.
     """
-    lines = docs.select("doc_id", F.col(delim_col).alias("_d"),
-                        F.posexplode(F.split(F.regexp_replace(col_(text_col), "\r\n", "\n"), "\n", -1))
-                        .alias("row_idx", "_line"))
-    split = F.lit(None).cast("array<string>")
+    text = F.regexp_replace(col_(text_col), "\r\n", "\n")
+    held, split = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
     for name, ch in NAME_TO_DELIM.items():
+        held = F.when(F.col("_d") == name, hold_quoted(F.col("_t"), ch)).otherwise(held)
         split = F.when(F.col("_d") == name, split_record("_line", ch)).otherwise(split)
+    lines = (docs.select("doc_id", F.col(delim_col).alias("_d"), text.alias("_t"))
+                 .select("doc_id", "_d", F.posexplode(F.split(held, "\n", -1)).alias("row_idx", "_line")))
     rows = lines.select("doc_id", "row_idx", split.alias("_cells"))
     return rows.select("doc_id", "row_idx", F.size("_cells").alias("n_cells"),
                        F.posexplode("_cells").alias("col_idx", "value"))
