@@ -3,13 +3,14 @@
 A document is its set of distinct k-word shingles.  A first permutation places the shingles on a circle of 2^32 places;
 coordinate k of the signature is the least value of a second permutation, shifted by k places, over the set.  Equal sets
 become one class, so exact copies cost one row.  Bands of the signature name buckets.  In a bucket every class is held
-against the first and the last one (two stars, never all pairs), candidates are confirmed on the full sets, and confirmed
-links give components.  A second pass then takes, in each bucket, every class outside the bucket's main component against
-all classes of other components there: no pair that shares a bucket and could still join two components is left out.
+against one of them, picked by a hash that differs by bucket (a star, never all pairs); candidates are confirmed on the
+full sets, and confirmed links give components.  A second pass then takes, in each bucket, every class outside the bucket's
+main component against all classes of other components there, each pair in its first shared bucket only: no pair that
+shares a bucket and could still join two components is left out.
 
-Candidates are dropped early only if their sizes rule the similarity out, or if more than SKETCH_BITS of the one-bit
-sketches of their 160 coordinates differ (at similarity 0.8, 16 differ on average with a deviation of 3.8).  A pair of
-similarity 0.8 shares a bucket with probability 1 - 3e-6.
+Candidates are dropped early only if their sizes rule the similarity out, or if the sketches (four bits of each
+coordinate) differ in more places than pairs of the wanted similarity do on average, plus SPREAD standard deviations.  A
+pair of similarity 0.8 shares a bucket with probability 1 - 3e-6.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; a text of fewer than k words is one shingle;
 rows without a doc_id are returned with themselves as (null) component and kept; rows that repeat an id are one document.
@@ -18,15 +19,16 @@ rows without a doc_id are returned with themselves as (null) component and kept;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmap.llm.common import checked_broadcast, mix64, slices, word_hashes, written
 
-WORDS, SIMILARITY, BANDS, ROWS, SKETCH_BITS = 5, 80, 32, 5, 34
+WORDS, SIMILARITY, BANDS, ROWS, SPREAD = 5, 80, 32, 5, 4.5
 _A, _B, _C = np.uint32(0x7FEB352D), np.uint32(0x846CA68B), np.uint32(0x9E3779B1)
 _BLOCK = 1 << 15
 
@@ -88,7 +90,7 @@ def _digests(flat: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _signature_rows(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     """id, n, d1, d2 (the set's digest), s0.. (sketch) and bands of every row."""
-    sketch = -(-bands * rows // 64)
+    sketch = -(-bands * rows // 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -98,9 +100,9 @@ def _signature_rows(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame
                 n = np.diff(edges)
                 some = np.flatnonzero(n)
                 sig = signatures(flat, np.concatenate([edges[:-1][some], edges[-1:]]), bands * rows)
-                bits = np.zeros((z - a, sketch * 64), np.uint8)
-                bits[some, :bands * rows] = sig & np.uint32(1)
-                words = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
+                four = np.zeros((z - a, sketch * 16), np.uint8)
+                four[some, :bands * rows] = sig & np.uint32(15)
+                words = np.ascontiguousarray(four[:, ::2] | four[:, 1::2] << np.uint8(4)).view(np.int64)
                 key = np.tile(np.arange(bands, dtype=np.uint64), (len(some), 1))
                 for r in range(rows):
                     key = mix64(key) + sig[:, r::rows]
@@ -173,10 +175,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text",
-                    bands: int = BANDS, rows: int = ROWS, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept, one row for each row of ``docs``."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    sketch = [f"s{i}" for i in range(-(-bands * rows // 64))]
+    sketch = [f"s{i}" for i in range(-(-bands * rows // 16))]
+    differ = (1 - similarity / 100) * 15 / 16  # share of places in which four bits differ
+    most = int(bands * rows * differ + SPREAD * (bands * rows * differ * (1 - differ)) ** 0.5)
     sig = written(_signature_rows(docs, k, bands, rows), "near-signatures")
     classes = written(sig.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("node")), "near-classes")
     nodes = written(sig.join(classes.withColumnRenamed("node", "id"), ["d1", "d2", "id"], "left_semi").withColumnRenamed("id", "node"), "near-nodes")
@@ -184,30 +188,37 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similarity: int = SIMILARIT
 
     def similar(df: DataFrame) -> DataFrame:
         """Of pairs with n and sketch of both ends (prefixed x and y), those whose sizes and sketches allow the similarity."""
-        apart = sum((F.bit_count(F.col(f"x{s}").bitwiseXOR(F.col(f"y{s}"))) for s in sketch), F.lit(0))
-        return df.where((100 * F.least("xn", "yn") >= similarity * F.greatest("xn", "yn")) & (apart <= sketch_bits))
+        def places(c: str) -> Column:
+            x = F.col("x" + c).bitwiseXOR(F.col("y" + c))
+            x = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
+            return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+        sizes = 100 * F.least("xn", "yn") >= similarity * F.greatest("xn", "yn")
+        return df.where(sizes & (reduce(Column.__add__, map(places, sketch)) <= most))
 
     def ends(name: str, prefix: str) -> DataFrame:
         return slim.select(F.col("node").alias(name), *[F.col(c).alias(prefix + c) for c in ["n", *sketch]])
 
-    members = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    members = written(members.join(buckets, "key"), "near-members")
-    stars = (members.select(F.explode(F.array("lo", "hi")).alias("u"), F.col("node").alias("v")).where("u <> v")
-             .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    members = nodes.select("node", F.explode("bands").alias("key")).withColumn("h", F.xxhash64("node", "key"))
+    buckets = members.groupBy("key").agg(F.min("h").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+    members = written(members.join(buckets, "key").select("key", "node", (F.col("h") == F.col("hub")).alias("hub")), "near-members")
+    stars = (members.join(members.where("hub").select("key", F.col("node").alias("u")), "key").where("u <> node")
+             .select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct())
     stars = written(similar(stars.join(ends("u", "x"), "u").join(ends("v", "y"), "v")).select("u", "v"), "near-stars")
     links = _verified(docs, stars, nodes, k, similarity, "stars")
     comp = written(components(links), "near-components")
 
-    placed = members.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = written(placed.join(slim, "node"), "near-placed")
+    placed = written(members.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-placed")
     count = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = count.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    main = written(main.select("key", F.col("m.comp").alias("main")), "near-main")
-    mixed = placed.join(main, "key")
-    x = mixed.where("comp <> main").select("key", F.col("node").alias("u"), F.col("comp").alias("cx"), *[F.col(c).alias("x" + c) for c in ["n", *sketch]])
-    y = mixed.select("key", F.col("node").alias("v"), F.col("comp").alias("cy"), *[F.col(c).alias("y" + c) for c in ["n", *sketch]])
-    crossing = similar(x.join(y, "key").where("cx <> cy")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    mixed = placed.join(main.select("key", F.col("m.comp").alias("main")), "key").join(nodes.select("node", "n", "bands", *sketch), "node")
+    mixed = written(mixed, "near-mixed")
+    columns = ["n", "bands", *sketch]
+    x = mixed.where("comp <> main").select("key", F.col("node").alias("u"), F.col("comp").alias("cx"), *[F.col(c).alias("x" + c) for c in columns])
+    y = mixed.select("key", F.col("node").alias("v"), F.col("comp").alias("cy"), *[F.col(c).alias("y" + c) for c in columns])
+    first = F.array_min(F.array_intersect("xbands", "ybands")) == F.col("key")
+    crossing = similar(x.join(y, "key").where("cx <> cy")).where(first)
+    crossing = crossing.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     crossing = written(crossing.join(stars, ["u", "v"], "left_anti"), "near-crossing")
     if not crossing.isEmpty():
         more = _verified(docs, crossing, nodes, k, similarity, "crossing")
