@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -118,18 +119,23 @@ def latent_space(items: DataFrame, weight: np.ndarray, rank: int = RANK, text_co
             texts = b.column(0).to_pylist()
             for k in range(0, len(texts), 200):
                 vocabulary, a = matrix(texts[k:k + 200])
-                z = a.T @ (a @ _omega(vocabulary, width))
-                at = np.repeat(vocabulary, width)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.tile(np.arange(width), len(vocabulary))), pa.array(z.ravel())],
-                                                 names=["slot", "k", "z"])
-
-    n = items.count()
-    width = min(rank, max(1, 4 * n))
-    rows = items.select(text_col).mapInArrow(sketch, "slot long, k long, z double").groupBy("slot", "k").agg(F.sum("z").alias("z")).toPandas()
-    slots = np.unique(rows["slot"].to_numpy(np.int64))
-    z = np.zeros((len(slots), width))
-    z[np.searchsorted(slots, rows["slot"]), rows["k"]] = rows["z"]
-    q, _ = np.linalg.qr(z) if len(slots) else (z, None)
+                z = (a.T @ (a @ _omega(vocabulary, width))).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(vocabulary), pa.array([r.tobytes() for r in z], pa.binary())], names=["slot", "z"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Sums of the rows of each slot (of one group of slots)."""
+        own, inv = np.unique(pdf["slot"].to_numpy(), return_inverse=True)
+        z = np.zeros((len(own), width), np.float32)
+        for i, r in zip(inv, pdf["z"]):
+            z[i] += np.frombuffer(r, np.float32)
+        return pd.DataFrame({"slot": own, "z": [r.tobytes() for r in z]})
+
+    width = min(rank, max(1, 4 * items.count()))
+    rows = (items.select(text_col).mapInArrow(sketch, "slot long, z binary").groupBy(F.pmod("slot", F.lit(256)))
+            .applyInPandas(add, "slot long, z binary").toPandas().sort_values("slot"))
+    slots = rows["slot"].to_numpy(np.int64)
+    z = np.frombuffer(b"".join(rows["z"]), np.float32).reshape(len(slots), width) if len(slots) else np.zeros((0, width), np.float32)
+    q = np.linalg.qr(z)[0] if len(slots) else z
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((q.shape[1], q.shape[1]))
