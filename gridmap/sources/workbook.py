@@ -13,6 +13,7 @@ shared folder.
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import posixpath
 import re
@@ -28,11 +29,31 @@ from pyspark.sql import functions as F
 NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
       "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
       "pr": "http://schemas.openxmlformats.org/package/2006/relationships"}
-# Built-in number format ids of the file format that matter for display.
-BUILTIN_FORMATS = {0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%",
-                   14: "mm-dd-yy", 22: "m/d/yy h:mm", 49: "@"}
+# Built-in number format ids of the file format.
+BUILTIN_FORMATS = {0: "General", 1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?",
+                   13: "# ??/??", 14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM",
+                   20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm", 37: "#,##0 ;(#,##0)", 38: "#,##0 ;[Red](#,##0)",
+                   39: "#,##0.00;(#,##0.00)", 40: "#,##0.00;[Red](#,##0.00)", 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0",
+                   48: "##0.0E+0", 49: "@"}
 CELL_SCHEMA = ("path string, sheet string, sheet_idx int, row_idx int, col_idx int, value string, "
-               "num_format string, is_number boolean")
+               "num_format string, is_number boolean, error string")
+UNREADABLE = "WORKBOOK_UNREADABLE"
+_NOT_CODES = re.compile(r'"[^"]*"|\\.|_.|\*.|\[[^\]]*\]')
+
+
+def is_date_format(fmt: str) -> bool:
+    """Whether a number format shows a date or time (letters of day, month, year, hour or second outside quotes)."""
+    return fmt != "General" and bool(re.search("[dmyhs]", _NOT_CODES.sub("", fmt.split(";")[0]).lower()))
+
+
+def serial_text(serial: float, epoch_1904: bool) -> str:
+    """A serial day number as ISO date, with the time of day if it has one."""
+    if epoch_1904:
+        base = dt.datetime(1904, 1, 1)
+    else:  # the 1900 system counts a 29 February 1900 that never was
+        base = dt.datetime(1899, 12, 30) if serial >= 60 else dt.datetime(1899, 12, 31)
+    t = base + dt.timedelta(seconds=round(serial * 86400))
+    return t.strftime("%Y-%m-%d") if t.time() == dt.time() else t.strftime("%Y-%m-%d %H:%M:%S")
 
 
 def _col_index(ref: str) -> int:
@@ -43,13 +64,13 @@ def _col_index(ref: str) -> int:
     return n - 1
 
 
-def _row_index(ref: str) -> int:
-    return int(re.search(r"[0-9]+", ref).group(0)) - 1
-
-
 def parse_workbook(data: bytes, start_row: int = 0, end_row: int | None = None, sheet: str | None = None,
                    all_sheets: bool = True):
-    """Yield (sheet, sheet_idx, row_idx, col_idx, value, num_format, is_number) for one workbook."""
+    """Yield (sheet, sheet_idx, row_idx, col_idx, value, num_format, is_number) for one workbook.
+
+    Sheets are read as streams, row by row, up to ``end_row``.  Rows and cells without a reference follow the one
+    before; a shared string that does not exist is an empty cell; dates are ISO texts.
+    """
     z = zipfile.ZipFile(io.BytesIO(data))
     names = set(z.namelist())
     shared = []
@@ -64,6 +85,8 @@ def parse_workbook(data: bytes, start_row: int = 0, end_row: int | None = None,
         for xf in st.findall("m:cellXfs/m:xf", NS):
             xf_fmt.append(fmts.get(int(xf.get("numFmtId", "0")), "General"))
     wb = ET.fromstring(z.read("xl/workbook.xml"))
+    properties = wb.find("m:workbookPr", NS)
+    epoch_1904 = properties is not None and properties.get("date1904") in ("1", "true")
     rels = {}
     if "xl/_rels/workbook.xml.rels" in names:
         for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels")).findall("pr:Relationship", NS):
@@ -76,51 +99,85 @@ def parse_workbook(data: bytes, start_row: int = 0, end_row: int | None = None,
             break
         target = rels.get(sh.get(f"{{{NS['r']}}}id"), f"worksheets/sheet{s_idx + 1}.xml")
         path = target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join("xl", target))
-        root = ET.fromstring(z.read(path))
-        for c in root.iter(f"{{{NS['m']}}}c"):
-            ref = c.get("r")
-            r_idx = _row_index(ref)
-            if r_idx < start_row or (end_row is not None and r_idx >= end_row):
-                continue
-            t = c.get("t")
-            v = c.find("m:v", NS)
-            fmt = xf_fmt[int(c.get("s"))] if c.get("s") and int(c.get("s")) < len(xf_fmt) else "General"
-            if t == "s":
-                val, num = shared[int(v.text)], False
-            elif t == "inlineStr":
-                val, num = "".join(x.text or "" for x in c.iter(f"{{{NS['m']}}}t")), False
-            elif t in ("str", "e"):
-                val, num = (v.text if v is not None else None), False
-            elif t == "b":
-                val, num = ("TRUE" if v is not None and v.text == "1" else "FALSE"), False
-            else:
-                val, num = (v.text if v is not None else None), v is not None
-            if val is None:
+        r_idx = -1
+        for _, row in ET.iterparse(z.open(path)):
+            if row.tag != f"{{{NS['m']}}}row":
                 continue
-            yield name, s_idx, r_idx, _col_index(ref), val, fmt, num
-
-
-def read_workbooks(spark: SparkSession, path: str, start_row: int = 0, end_row: int | None = None,
-                   sheet: str | None = None, all_sheets: bool = True) -> DataFrame:
-    """Long cells of every ``*.xlsx`` under ``path`` (row window applied while parsing)."""
+            r_idx = int(row.get("r")) - 1 if (row.get("r") or "").isdigit() else r_idx + 1
+            if end_row is not None and r_idx >= end_row:
+                break
+            c_idx = -1
+            for c in row.findall("m:c", NS) if r_idx >= start_row else ():
+                ref = c.get("r") or ""
+                c_idx = _col_index(ref) if re.match("[A-Z]", ref) else c_idx + 1
+                style = c.get("s") or ""
+                fmt = xf_fmt[int(style)] if style.isdigit() and int(style) < len(xf_fmt) else "General"
+                val, num = _cell_value(c, shared, fmt, epoch_1904)
+                if val is not None:
+                    yield name, s_idx, r_idx, c_idx, val, fmt, num
+            row.clear()
+
+
+def _cell_value(c, shared: list[str], fmt: str, epoch_1904: bool) -> tuple[str | None, bool]:
+    """(text, whether it is a number) of one cell element."""
+    t, v = c.get("t"), c.find("m:v", NS)
+    text = v.text if v is not None else None
+    if t == "s":
+        i = int(text) if (text or "").strip().isdigit() else -1
+        return (shared[i] if 0 <= i < len(shared) else None), False
+    if t == "inlineStr":
+        return "".join(x.text or "" for x in c.iter(f"{{{NS['m']}}}t")), False
+    if t in ("str", "e", "d"):
+        return text, False
+    if t == "b":
+        return ("TRUE" if text == "1" else "FALSE"), False
+    if text is not None and is_date_format(fmt):
+        try:
+            return serial_text(float(text), epoch_1904), False
+        except (ValueError, OverflowError):
+            return text, True
+    return text, text is not None
+
+
+def _scan(spark: SparkSession, path: str, start_row: int, end_row: int | None, sheet: str | None, all_sheets: bool) -> DataFrame:
+    """Cells of every workbook; a workbook that cannot be read gives one row with ``error`` and nothing else."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
                   .option("recursiveFileLookup", "true").load(path).select("path", "content"))
+    names = [c.split()[0] for c in CELL_SCHEMA.split(", ")]
 
     def parse(batches):
         for pdf in batches:
-            out = []
             for p, content in zip(pdf["path"], pdf["content"]):
+                out = []
                 try:
                     for rec in parse_workbook(bytes(content), start_row, end_row, sheet, all_sheets):
-                        out.append((p, *rec))
-                except (zipfile.BadZipFile, KeyError, ET.ParseError):
-                    continue  # unreadable workbook: no cells; the caller quarantines docs without cells
-            yield pd.DataFrame(out, columns=["path", "sheet", "sheet_idx", "row_idx", "col_idx", "value",
-                                             "num_format", "is_number"])
+                        out.append((p, *rec, None))
+                        if len(out) == 50_000:
+                            yield pd.DataFrame(out, columns=names)
+                            out = []
+                except Exception as e:  # whatever is wrong with one file must not end the job
+                    out.append((p, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                if out:
+                    yield pd.DataFrame(out, columns=names).astype({"sheet_idx": "Int32", "row_idx": "Int32", "col_idx": "Int32"})
 
     return files.mapInPandas(parse, CELL_SCHEMA)
 
 
+def read_workbooks(spark: SparkSession, path: str, start_row: int = 0, end_row: int | None = None,
+                   sheet: str | None = None, all_sheets: bool = True) -> DataFrame:
+    """Long cells of every ``*.xlsx`` under ``path`` (row window applied while parsing).
+
+    A file that breaks off midway keeps the cells read so far; ``workbook_errors`` names it.
+    """
+    return _scan(spark, path, start_row, end_row, sheet, all_sheets).where("row_idx is not null").drop("error")
+
+
+def workbook_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(path, code, message) of the workbooks under ``path`` that cannot be read to their end."""
+    return _scan(spark, path, 0, None, None, True).where("error is not null").select(
+        "path", F.lit(UNREADABLE).alias("code"), F.col("error").alias("message"))
+
+
 # ------------------------------------------------------------------ writer
 def _cell_ref(r: int, c: int) -> str:
     s, c1 = "", c + 1

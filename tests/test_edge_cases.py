@@ -75,3 +75,27 @@ def test_label_synonyms(spark):
     assert out[0].v == "Real State" and out[3].v == "Real State"
 
 
+
+
+def test_workbook_dates_missing_references_and_bad_files(spark, tmp_path):
+    import zipfile
+
+    from gridmap.sources import workbook as WB
+
+    assert WB.serial_text(45321, False) == "2024-01-30" and WB.serial_text(45321.75, False) == "2024-01-30 18:00:00"
+    assert WB.serial_text(1, False) == "1900-01-01" and WB.serial_text(0, True) == "1904-01-01"
+    assert [WB.is_date_format(f) for f in ("mm-dd-yy", "h:mm", "General", "#,##0.00", '0 "days"', "[Red]0", "@")] == [True, True] + [False] * 5
+    (tmp_path / "ok.xlsx").write_bytes(WB.build_workbook({"S": [(0, 0, 45321, "mm-dd-yy"), (1, 0, 2.5, "0.00")]}))
+    (tmp_path / "bad.xlsx").write_bytes(b"not a zip")
+    cut = (tmp_path / "ok.xlsx").read_bytes()
+    (tmp_path / "cut.xlsx").write_bytes(cut[:len(cut) // 2])
+    ns = WB.NS["m"]
+    with zipfile.ZipFile(tmp_path / "odd.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{ns}"><sheets><sheet name="T" sheetId="1"/></sheets></workbook>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}"><sheetData><row><c><v>1</v></c><c t="s"><v>99</v></c><c t="inlineStr">'
+                   '<is><t>x</t></is></c></row><row r="5"><c r="C5"><v>2</v></c><c><v>3</v></c></row></sheetData></worksheet>')
+    cells = {(r.path.rsplit("/", 1)[1], r.row_idx, r.col_idx): r.value for r in WB.read_workbooks(spark, str(tmp_path)).collect()}
+    assert cells == {("ok.xlsx", 0, 0): "2024-01-30", ("ok.xlsx", 1, 0): "2.5", ("odd.xlsx", 0, 0): "1", ("odd.xlsx", 0, 2): "x",
+                     ("odd.xlsx", 4, 2): "2", ("odd.xlsx", 4, 3): "3"}
+    errors = {r.path.rsplit("/", 1)[1]: r.code for r in WB.workbook_errors(spark, str(tmp_path)).collect()}
+    assert errors == {"bad.xlsx": WB.UNREADABLE, "cut.xlsx": WB.UNREADABLE}
