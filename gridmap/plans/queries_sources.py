@@ -15,7 +15,8 @@ from gridmap.plans import corpus as K
 from gridmap.plans import defaults as D
 from gridmap.plans import pipeline as P
 from gridmap.plans import results as R
-from gridmap.plans.registry import corpus, corpus_context, query, read
+from gridmap.plans import sqlparts as Q
+from gridmap.plans.registry import SQL_CORPUS_CONTEXT, corpus, corpus_context, query, read
 from gridmap.session import scratch_path
 from gridmap.sources import delimited as DL
 from gridmap.sources import files as FS
@@ -38,7 +39,11 @@ def q_csv_grid(spark, sf_dir):
     return DL.csv_grid(d.join(DL.sniff_delimiter(d), "doc_id"))
 
 
-@query("encoding_choice")
+@query("encoding_choice", """
+SELECT doc_id, lang, CASE WHEN lang = 'de' THEN 'UTF-16LE'
+            WHEN lang = 'es' AND length(text) < strlen(text) AND NOT regexp_matches(text, '[^\\x{00}-\\x{FF}]') THEN 'ISO-8859-1'
+            ELSE 'UTF-8' END AS charset, TRUE AS roundtrip_ok
+FROM documents""")
 def q_encoding_choice(spark, sf_dir):
     """Documents encoded per language (BOMs, UTF-16, Latin-1), then detected and decoded back."""
     d = read(spark, sf_dir, "documents", "doc_id", "lang", "text")
@@ -88,7 +93,23 @@ def _customer_books(spark, sf_dir):
     return out
 
 
-@query("xlsx_cells")
+SQL_BOOKS = """books AS (
+  SELECT regexp_replace(n_name, '[^A-Za-z0-9]', '_', 'g') || '_' || CAST(c_custkey // 500 AS VARCHAR) AS book, c.*
+  FROM customer c JOIN nation ON c_nationkey = n_nationkey),
+book_rows AS (SELECT *, CAST(row_number() OVER (PARTITION BY book ORDER BY c_custkey) AS INTEGER) AS row_idx FROM books),
+book_cells AS (
+  SELECT book, row_idx, 0 AS col_idx, CAST(CAST(c_custkey AS DOUBLE) AS VARCHAR) AS value, '0' AS num_format, TRUE AS is_number FROM book_rows
+  UNION ALL SELECT book, row_idx, 1, c_name, 'General', FALSE FROM book_rows
+  UNION ALL SELECT book, row_idx, 2, CAST(CAST(c_acctbal AS DOUBLE) AS VARCHAR), '#,##0.00', TRUE FROM book_rows
+  UNION ALL SELECT book, row_idx, 3, c_mktsegment, 'General', FALSE FROM book_rows
+  UNION ALL SELECT book, 0, h.i, h.name, 'General', FALSE FROM (SELECT DISTINCT book FROM books),
+    (VALUES (0, 'Code'), (1, 'Name'), (2, 'Balance'), (3, 'Segment')) AS h(i, name))"""
+
+
+@query("xlsx_cells", Q.with_ctes(SQL_BOOKS, select=f"""
+SELECT book || '.xlsx' AS file, 'customers' AS sheet, row_idx, col_idx, value, num_format,
+       {Q.format_cell('value', 'num_format', 'is_number')} AS display
+FROM book_cells"""))
 def q_xlsx_cells(spark, sf_dir):
     """Workbooks written from customer x nation, read back: first sheet, displayed values."""
     path = _customer_books(spark, sf_dir)
@@ -97,7 +118,10 @@ def q_xlsx_cells(spark, sf_dir):
                                          "col_idx", "value", "num_format", "display")
 
 
-@query("all_sheets")
+@query("all_sheets", Q.with_ctes(SQL_BOOKS, select="""
+SELECT book || '.xlsx' AS file, 'customers' AS sheet, 0 AS sheet_idx, count(*) AS n_cells, count(DISTINCT row_idx) AS n_rows
+FROM book_cells GROUP BY book
+UNION ALL SELECT DISTINCT book || '.xlsx', 'notes', 1, 1, 1 FROM books"""))
 def q_all_sheets(spark, sf_dir):
     """Every sheet of every workbook, whole sheets: cells and rows per sheet."""
     path = _customer_books(spark, sf_dir)
@@ -106,7 +130,10 @@ def q_all_sheets(spark, sf_dir):
         F.count(F.lit(1)).alias("n_cells"), F.count_distinct("row_idx").alias("n_rows"))
 
 
-@query("xml_rows")
+@query("xml_rows", """
+SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderpriority,
+       CAST(NULL AS VARCHAR) AS _corrupt_record
+FROM orders""")
 def q_xml_rows(spark, sf_dir):
     """orders written as XML records and read back with the XML source (row tag, permissive)."""
     o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
@@ -163,14 +190,25 @@ def q_assemble_results(spark, sf_dir):
     return R.assemble(P.map_documents(cells, docs), docs)
 
 
-@query("context_build")
+@query("context_build", Q.with_ctes(*Q.mapping_pipeline_ctes(), select="""
+SELECT p.doc_id, '{"ValidationConfidence":' || CAST(CAST(p.confidence AS DOUBLE) AS VARCHAR) || ',"FileName":"' || d.doc_name
+       || '","HeaderStartLine":' || p.header_start || ',"HeaderEndLine":' || p.header_end || ',"ContentStartLine":' || p.content_start
+       || ',"FileType":"' || d.file_type || '"}' AS context_json
+FROM pl_pass p JOIN corpus_docs d ON p.doc_id = d.doc_id"""))
 def q_context_build(spark, sf_dir):
     cells, docs, _ = corpus(spark, sf_dir)
     res = P.map_documents(cells, docs)
     return H.context_struct(res.context, docs).select("doc_id", F.to_json("context").alias("context_json"))
 
 
-@query("render_validation_input")
+@query("render_validation_input", Q.with_ctes(Q.corpus_ctes(), SQL_CORPUS_CONTEXT, Q.rows_to_lines_cte("ls", "corpus_cells"), select=f"""
+SELECT x.doc_id, '# Original Table' || chr(10) || string_agg(l.line, chr(10) ORDER BY l.line_no) || chr(10) || chr(10)
+       || '# Detected Headers' || chr(10) || '```json' || chr(10) || '{{"HeaderStartLine":' || any_value(x.header_start)
+       || ',"HeaderEndLine":' || any_value(x.header_end) || ',"ContentStartLine":' || any_value(x.content_start) || '}}'
+       || chr(10) || '```' AS validation_input
+FROM corpus_ctx x JOIN ls l ON l.doc_id = x.doc_id AND l.line_no >= x.header_start
+     AND l.line_no < x.content_start + {D.FOCUS_CONTENT_ROWS}
+GROUP BY x.doc_id"""))
 def q_render_validation_input(spark, sf_dir):
     cells, docs, orders = corpus(spark, sf_dir)
     lines = G.rows_to_lines(cells)
@@ -178,14 +216,19 @@ def q_render_validation_input(spark, sf_dir):
     return PR.render_validation_input(H.focus_content(lines, ctx), ctx)
 
 
-@query("header_examples")
+@query("header_examples", Q.with_ctes(Q.corpus_ctes(), SQL_CORPUS_CONTEXT, Q.rows_to_lines_cte("ls", "corpus_cells"), select="""
+SELECT x.doc_id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS "table",
+       '{"HeaderStartLine":' || any_value(x.header_start) || ',"HeaderEndLine":' || any_value(x.header_end)
+       || ',"ContentStartLine":' || any_value(x.content_start) || ',"ValidationConfidence":'
+       || CAST(CAST((900 + x.doc_id * 7919 % 101) / 1000.0 AS DECIMAL(4, 3)) AS VARCHAR) || '}' AS expected
+FROM corpus_ctx x JOIN ls l ON l.doc_id = x.doc_id GROUP BY x.doc_id"""))
 def q_header_examples(spark, sf_dir):
-    """Header-detection examples: first rows as Markdown + true context with a deterministic confidence."""
+    """Header-detection examples: the rows as Markdown + true context with a deterministic confidence."""
     cells, _, orders = corpus(spark, sf_dir)
     lines = G.rows_to_lines(cells)
     text = G.lines_to_text(lines)
     ctx = corpus_context(orders)
-    conf = F.lit(0.9) + F.pmod(F.xxhash64("doc_id"), F.lit(101)) / F.lit(1000.0)
+    conf = ((F.lit(900) + F.pmod(F.col("doc_id") * 7919, F.lit(101))) / F.lit(1000.0)).cast("decimal(4,3)")
     js = F.to_json(F.struct(F.col("header_start").alias("HeaderStartLine"),
                             F.col("header_end").alias("HeaderEndLine"),
                             F.col("content_start").alias("ContentStartLine"), conf.alias("ValidationConfidence")))
