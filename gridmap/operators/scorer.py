@@ -3,9 +3,10 @@
 The callable receives a pandas DataFrame batch (id + prompt columns) and
 returns a Series of answer texts.  A client (if any) is created once per
 partition by the callable's own closure; concurrency = number of partitions.
-Calls are retried inside the task; a batch that still fails yields null
-answers with the error text instead of failing the job.  Answers are keyed
-by the prompt hash so a re-run can reuse stored answers.
+Calls are retried inside the task; a batch that still fails is scored row by
+row, and a row that fails alone gets a null answer with the error text instead
+of failing the job.  ``prompt_sha`` (hash of the prompt) tells which prompt an
+answer belongs to.
 """
 
 from __future__ import annotations
@@ -17,29 +18,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ANSWER_SCHEMA = "doc_id long, prompt_sha string, answer string, error string"
-
-
 def score(prompts: DataFrame, fn: Callable[[pd.DataFrame], pd.Series], id_col: str = "doc_id",
           prompt_col: str = "prompt", retries: int = 2, backoff_s: float = 0.5) -> DataFrame:
-    src = prompts.select(F.col(id_col).cast("long").alias("doc_id"), F.col(prompt_col).alias("prompt"),
+    """(doc_id, prompt_sha, answer, error) of every prompt; ids keep their type."""
+    src = prompts.select(F.col(id_col).alias("doc_id"), F.col(prompt_col).alias("prompt"),
                          F.sha2(F.col(prompt_col), 256).alias("prompt_sha"))
 
+    def call(pdf):
+        error = None
+        for attempt in range(retries + 1):
+            try:
+                return list(fn(pdf[["doc_id", "prompt"]])), [None] * len(pdf)
+            except Exception as e:  # noqa: BLE001 - any scorer failure is recorded, not raised
+                error = f"{type(e).__name__}: {e}"
+                time.sleep(backoff_s * (attempt + 1))
+        if len(pdf) == 1:
+            return [None], [error]
+        parts = [call(pdf.iloc[k:k + 1]) for k in range(len(pdf))]
+        return [a[0] for a, _ in parts], [e[0] for _, e in parts]
+
     def run(batches):
         for pdf in batches:
-            answers, error = None, None
-            for attempt in range(retries + 1):
-                try:
-                    answers = fn(pdf[["doc_id", "prompt"]])
-                    break
-                except Exception as e:  # noqa: BLE001 - any scorer failure is recorded, not raised
-                    error = f"{type(e).__name__}: {e}"
-                    time.sleep(backoff_s * (attempt + 1))
-            out = pd.DataFrame({"doc_id": pdf["doc_id"], "prompt_sha": pdf["prompt_sha"]})
-            if answers is None:
-                out["answer"], out["error"] = None, error
-            else:
-                out["answer"], out["error"] = list(answers), None
-            yield out
-
-    return src.mapInPandas(run, ANSWER_SCHEMA)
+            if len(pdf):
+                answers, errors = call(pdf)
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "prompt_sha": pdf["prompt_sha"].to_numpy(),
+                                    "answer": answers, "error": errors})
+
+    kind = src.schema["doc_id"].dataType.simpleString()
+    return src.mapInPandas(run, f"doc_id {kind}, prompt_sha string, answer string, error string")

@@ -152,7 +152,7 @@ def _model_decisions(docs: DataFrame, lines: DataFrame, class_scorer):
     prompt = T.render(D.CLASS_PROMPT, doc_name=F.col("doc_name"),
                       question=T.truncate_to_budget(F.coalesce(F.col("text"), F.lit("")), base,
                                                     D.CLASS_MAX_TOKENS, D.CLASS_CONTEXT_PCT))
-    answers = score(d.select("doc_id", prompt.alias("prompt")), class_scorer)
+    answers = cut_lineage(score(d.select("doc_id", prompt.alias("prompt")), class_scorer))  # stored: each prompt is scored once
     p = parse_class("answer")
     decided = answers.select(
         "doc_id", p["predicted_class"].alias("predicted_class"), F.lit(0).cast("bigint").alias("score"),

@@ -150,7 +150,7 @@ def q_stream_ingest(spark, sf_dir):
     """Files processed as they arrive: same identity step per micro-batch, exactly once per file."""
     from gridmap.streaming.ingest import ingest_folder
     out = ingest_folder(spark, sf_dir, scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt"))
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("epoch")
 
 
 def demo_scorer(pdf: pd.DataFrame) -> pd.Series:
@@ -271,4 +271,4 @@ def q_stream_map_documents(spark, sf_dir):
           .csv(src))
     out = ingest_folder(spark, src, scratch_path(spark, "stream-mapping"), scratch_path(spark, "stream-ckpt"),
                         batch_fn=map_arrivals)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("epoch")

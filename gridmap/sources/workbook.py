@@ -139,10 +139,9 @@ def _cell_value(c, shared: list[str], fmt: str, epoch_1904: bool) -> tuple[str |
     return text, text is not None
 
 
-def _scan(spark: SparkSession, path: str, start_row: int, end_row: int | None, sheet: str | None, all_sheets: bool) -> DataFrame:
-    """Cells of every workbook; a workbook that cannot be read gives one row with ``error`` and nothing else."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
-                  .option("recursiveFileLookup", "true").load(path).select("path", "content"))
+def file_cells(files: DataFrame, start_row: int = 0, end_row: int | None = None, sheet: str | None = None,
+               all_sheets: bool = True) -> DataFrame:
+    """Cells of workbook files (path, content); a workbook that cannot be read gives one row with ``error`` and nothing else."""
     names = [c.split()[0] for c in CELL_SCHEMA.split(", ")]
 
     def parse(batches):
@@ -160,7 +159,13 @@ def _scan(spark: SparkSession, path: str, start_row: int, end_row: int | None, s
                 if out:
                     yield pd.DataFrame(out, columns=names).astype({"sheet_idx": "Int32", "row_idx": "Int32", "col_idx": "Int32"})
 
-    return files.mapInPandas(parse, CELL_SCHEMA)
+    return files.select("path", "content").mapInPandas(parse, CELL_SCHEMA)
+
+
+def _scan(spark: SparkSession, path: str, *how) -> DataFrame:
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
+                  .option("recursiveFileLookup", "true").load(path))
+    return file_cells(files, *how)
 
 
 def read_workbooks(spark: SparkSession, path: str, start_row: int = 0, end_row: int | None = None,

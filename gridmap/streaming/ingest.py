@@ -1,9 +1,11 @@
 """Process files as they arrive (Structured Streaming, file source).
 
 ``readStream`` over a folder with an explicit binary-file schema; every
-micro-batch runs the same batch function (``foreachBatch``); the checkpoint
-makes each file processed exactly once.  Inside a batch, duplicate uploads
-(same name and same content hash) are dropped.
+micro-batch runs the same batch function (``foreachBatch``).  A batch writes
+to a folder of its own (``epoch=<id>``) and replaces it when it is retried, so
+with the stream's checkpoint each file's rows are there exactly once.  Inside a
+batch, of duplicate uploads (same name and same content hash) the one with the
+first path stays.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ def identify(batch: DataFrame) -> DataFrame:
     cols = identity_columns("path")
     x = batch.select("path", "length", "modificationTime", F.sha2("content", 256).alias("sha256"),
                      *[v.alias(k) for k, v in cols.items()])
-    return x.dropDuplicates(["doc_name", "sha256"]).withColumn("doc_id", F.xxhash64("path"))
+    first = x.groupBy("doc_name", "sha256").agg(F.min_by(F.struct(*[c for c in x.columns if c not in ("doc_name", "sha256")]), "path").alias("f"))
+    return first.select("f.*", "doc_name", "sha256").select(*x.columns).withColumn("doc_id", F.xxhash64("path"))
 
 
 def ingest_folder(spark: SparkSession, src: str, out: str, checkpoint: str, batch_fn=identify,
@@ -31,7 +34,7 @@ def ingest_folder(spark: SparkSession, src: str, out: str, checkpoint: str, batc
                    .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 64).load(src))
 
     def sink(df: DataFrame, epoch_id: int) -> None:
-        batch_fn(df).write.mode("append").parquet(out)
+        batch_fn(df).write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
 
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     q = (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
@@ -41,17 +44,19 @@ def ingest_folder(spark: SparkSession, src: str, out: str, checkpoint: str, batc
 
 
 def map_arrivals(batch: DataFrame) -> DataFrame:
-    """Batch function running the whole mapping job on newly arrived delimited files.
+    """Batch function running the whole mapping job on newly arrived delimited files and workbooks (first sheet).
 
     bytes -> charset (BOM / UTF-8 / Latin-1) -> text -> delimiter -> long cells -> ``map_documents``.
-    Files that are not delimited text are left to the batch path (workbooks) and skipped here.
     """
     from gridmap.plans.pipeline import final_mapping, map_documents
     from gridmap.sources import delimited as DL
+    from gridmap.sources import workbook as WB
 
-    ids = identify(batch).where(F.col("file_type").isin("csv", "txt", "dat"))
+    ids = identify(batch).where(F.col("file_type").isin("csv", "txt", "dat", "xlsx"))
     raw = batch.join(ids.select("path", "doc_id", "doc_name", "file_type"), "path")
-    text = raw.select("doc_id", DL.decode_bytes("content", DL.encoding_choice("content")).alias("text"))
+    text = raw.where("file_type <> 'xlsx'").select("doc_id", DL.decode_bytes("content", DL.encoding_choice("content")).alias("text"))
     cells = DL.csv_grid(text.join(DL.sniff_delimiter(text), "doc_id")).select("doc_id", "row_idx", "col_idx", "value")
+    books = WB.file_cells(raw.where("file_type = 'xlsx'"), all_sheets=False).where("row_idx is not null")
+    cells = cells.unionByName(books.join(ids.select("path", "doc_id"), "path").select("doc_id", "row_idx", "col_idx", "value"))
     res = map_documents(cells, ids.select("doc_id", "doc_name", "file_type"))   # same lineage cuts as batch
     return final_mapping(res).join(ids.select("doc_id", "doc_name"), "doc_id")

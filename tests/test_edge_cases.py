@@ -99,3 +99,36 @@ def test_workbook_dates_missing_references_and_bad_files(spark, tmp_path):
                      ("odd.xlsx", 4, 2): "2", ("odd.xlsx", 4, 3): "3"}
     errors = {r.path.rsplit("/", 1)[1]: r.code for r in WB.workbook_errors(spark, str(tmp_path)).collect()}
     assert errors == {"bad.xlsx": WB.UNREADABLE, "cut.xlsx": WB.UNREADABLE}
+
+
+def test_scorer_failures_stay_with_their_row(spark):
+    from gridmap.operators.scorer import score
+
+    def fn(pdf):
+        if pdf["prompt"].str.contains("bad").any():
+            raise ValueError("no")
+        return pdf["prompt"] + "!"
+
+    df = spark.createDataFrame([("a", "x"), ("b", "bad"), ("c", "y")], "doc_id string, prompt string").coalesce(1)
+    out = {r.doc_id: (r.answer, r.error) for r in score(df, fn, retries=1, backoff_s=0.0).collect()}
+    assert out == {"a": ("x!", None), "b": (None, "ValueError: no"), "c": ("y!", None)}
+
+
+def test_stream_batches_replace_themselves(spark, tmp_path):
+    from gridmap.sources import workbook as WB
+    from gridmap.streaming.ingest import identify, ingest_folder, map_arrivals
+
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    (src / "a").mkdir(parents=True)
+    (src / "b").mkdir()
+    book = WB.build_workbook({"P": [(0, c, v, "General") for c, v in enumerate(["ISIN Code", "Fund Name", "NAV", "Currency"])]
+                              + [(1, c, v, "General") for c, v in enumerate(["LU0000000001", "Fund A", 12.5, "EUR"])]})
+    for d in "ab":
+        (src / d / "prices.xlsx").write_bytes(book)
+    rows = spark.read.parquet(ingest_folder(spark, str(src), out, str(tmp_path / "c1"), batch_fn=map_arrivals))
+    assert rows.where("header is not null").select("field").distinct().count() >= 3 and rows.select("doc_id").distinct().count() == 1
+    n = rows.count()
+    ingest_folder(spark, str(src), out, str(tmp_path / "c2"), batch_fn=map_arrivals)  # the first batch once more
+    assert spark.read.parquet(out).count() == n
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(src))
+    assert identify(files).first().path.endswith("/a/prices.xlsx")
