@@ -20,7 +20,10 @@ ADDED = ["keep_id", "group_size", "kept"]
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64,
                      broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(sha, keep_id, group_size) of every group of two or more equal texts; ``sha`` is of the normalised text."""
+    """(sha, keep_id, group_size, copies) of every group of two or more equal texts.
+
+    ``sha`` is of the normalised text, ``copies`` is the number of rows that have the id that stays.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     length = F.octet_length(text).alias("n")
     prefix = F.xxhash64(lower_az(F.substring(text, 1, prefix_chars))).alias("p")
@@ -35,14 +38,16 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         survivors = rows.join(again, ["n", "p"], "left_semi").select("id", full)
     else:  # too many survivors to broadcast their keys: move 32 hex bytes a row, not the text
         survivors = rows.select("id", "n", "p", full).join(again, ["n", "p"], "left_semi").select("id", "sha")
-    return written(survivors.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-                   .where("group_size > 1"), "dedup-groups")
+    by_id = survivors.groupBy("sha", "id").agg(F.count(F.lit(1)).alias("n"))
+    return written(by_id.groupBy("sha").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"),
+                                            F.max(F.struct("id", "n"))["n"].alias("copies")).where("group_size > 1"), "dedup-groups")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 64,
-                sha_col: str | None = None) -> DataFrame:
+                sha_col: str | None = None, groups: DataFrame | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with keep_id, group_size and kept (and the text's hash as ``sha_col``)."""
-    groups, _ = checked_broadcast(duplicate_groups(docs, id_col, text_col, prefix_chars))
+    groups = duplicate_groups(docs, id_col, text_col, prefix_chars) if groups is None else groups
+    groups, _ = checked_broadcast(groups.drop("copies"))
     sha = sha256_hex(lower_az(F.coalesce(F.col(text_col), F.lit(""))))
     base = replace_columns(docs, ADDED + ([sha_col] if sha_col else [])).withColumn("__sha", sha)
     out = base.join(groups.withColumnRenamed("sha", "__sha"), "__sha", "left")
@@ -54,5 +59,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``; of rows that repeat an id and a text one stays."""
-    kept = exact_dedup(docs, id_col, text_col, sha_col="__key").where("kept")
-    return kept.dropDuplicates([id_col, "__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    groups = duplicate_groups(docs, id_col, text_col)
+    kept = exact_dedup(docs, id_col, text_col, sha_col="__key", groups=groups).where("kept")
+    if not groups.where("copies > 1").isEmpty():  # only then do rows have to meet
+        kept = kept.where("group_size = 1").unionByName(kept.where("group_size > 1").dropDuplicates([id_col, "__key"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
