@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gridmap.llm.common import LETTER_BYTES, slices, word_hashes, written
 
-SLOT_BITS, WINDOW, RANK, COSINE, BLOCK_ITEMS = 17, 32, 512, 0.3, 20_000
+SLOT_BITS, WINDOW, RANK, COSINE, BLOCK_ITEMS = 17, 32, 512, 0.35, 20_000
 STRONG, WEAK, ANSWER_WORDS, ANSWER_SHARE = 0.7, 0.5, 5, 0.8
 
 
@@ -194,6 +194,9 @@ class Index:
             x[k] = self.weight[s] @ self.space.basis[self.space.rows(s)]
             norm[k] = np.sqrt((self.weight[s] ** 2).sum())
         self.vectors = x / np.maximum(norm, 1e-9)[:, None]
+        self.least_norm = float(norm.min()) if len(some) else 1.0
+        self.vocabulary = np.unique(np.concatenate([*self.items, np.zeros(0, np.uint64)]))
+        self.row_of = self.space.rows(slots_of(self.vocabulary))
 
     def candidates(self, words: np.ndarray) -> list[tuple[int, int, float]]:
         """(item number, first word of the window, cosine) of one document's windows."""
@@ -201,13 +204,16 @@ class Index:
         if not n or not len(self.vectors):
             return []
         slots = slots_of(words)
-        w, row = self.weight[slots], self.space.rows(slots)
+        w = self.weight[slots]
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        row = np.where(self.vocabulary[at] == words, self.row_of[at], -1)  # other words of a slot are no match
         mass = np.concatenate([[0], np.cumsum(w.astype(np.float64) ** 2)])
         own = np.concatenate([[0], np.cumsum(np.where(row >= 0, w, 0).astype(np.float64) ** 2)])
         start = np.arange(0, max(1, n - WINDOW // 2), WINDOW // 2)
         end = np.minimum(start + WINDOW, n)
         norm = np.sqrt(mass[end] - mass[start])
-        some = np.flatnonzero(np.sqrt(own[end] - own[start]) >= COSINE * norm)  # the cosine can't be larger than this
+        shared = own[end] - own[start]  # the product with a passage is at most this, and at most its root times the passage's norm
+        some = np.flatnonzero((np.sqrt(shared) >= COSINE * norm) & (shared >= COSINE * norm * self.least_norm))
         out = []
         for k in range(0, len(some), 256):
             block = some[k:k + 256]

@@ -86,11 +86,11 @@ def test_latent_space_and_search_equal_brute_force(spark):
         got = {(i, s) for i, s, _ in index.candidates(w)}
         for s in range(0, max(1, len(w) - D.WINDOW // 2), D.WINDOW // 2):
             window = w[s:s + D.WINDOW]
-            own = set(D.slots_of(window).tolist())
+            own = set(window.tolist())
             norm = np.sqrt((weight[D.slots_of(window)] ** 2).sum())
             for i, p in zip(number, some):
-                q = set(D.slots_of(p).tolist())
-                cosine = (weight[list(own & q)] ** 2).sum() / norm / np.sqrt((weight[list(q)] ** 2).sum())
+                of = lambda x: weight[D.slots_of(np.array(sorted(x), np.uint64))]
+                cosine = (of(own & set(p.tolist())) ** 2).sum() / norm / np.sqrt((of(set(p.tolist())) ** 2).sum())
                 if cosine >= D.COSINE + 1e-3:
                     total += 1
                     found += (i, s) in got
