@@ -5,8 +5,9 @@ coordinate k of the signature is the least value of a second permutation, shifte
 become one class, so exact copies cost one row.  Bands of the signature name buckets.  In a bucket every class is held
 against one of them, picked by a hash that differs by bucket (a star, never all pairs); candidates are confirmed on the
 full sets, and confirmed links give components.  A second pass then takes, in each bucket, every class outside the bucket's
-main component against all classes of other components there, each pair in its first shared bucket only: no pair that
-shares a bucket and could still join two components is left out.
+main component against all classes of other components there, each pair in its first shared bucket only; classes with too
+few shingles in common with all other components together are left out first.  No pair that shares a bucket and could
+still join two components is missed.
 
 Candidates are dropped early only if their sizes rule the similarity out, or if the sketches (four bits of each
 coordinate) differ in more places than pairs of the wanted similarity do on average, plus SPREAD standard deviations.  A
@@ -141,11 +142,13 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
             .select("node", "t", "d1", "d2").mapInArrow(run, "node long, items array<long>"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, similarity: int, name: str) -> DataFrame:
+def _wanted_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, k: int, name: str) -> DataFrame:
+    wanted = written(nodes.select("node", "d1", "d2").join(wanted, "node", "left_semi"), f"near-wanted-{name}")
+    return written(_sets(docs, wanted, k), f"near-sets-{name}")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: int, name: str) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough."""
-    ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    wanted = written(nodes.select("node", "d1", "d2").join(ends, "node", "left_semi"), f"near-wanted-{name}")
-    sets = written(_sets(docs, wanted, k), f"near-sets-{name}")
     both = (pairs.join(sets.select(F.col("node").alias("u"), F.col("items").alias("a")), "u")
             .join(sets.select(F.col("node").alias("v"), F.col("items").alias("b")), "v"))
     common = F.size(F.array_intersect("a", "b"))
@@ -205,7 +208,8 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similarity: int = SIMILARIT
     stars = (members.join(members.where("hub").select("key", F.col("node").alias("u")), "key").where("u <> node")
              .select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct())
     stars = written(similar(stars.join(ends("u", "x"), "u").join(ends("v", "y"), "v")).select("u", "v"), "near-stars")
-    links = _verified(docs, stars, nodes, k, similarity, "stars")
+    ends_of = stars.select(F.col("u").alias("node")).union(stars.select("v")).distinct()
+    links = _verified(stars, _wanted_sets(docs, nodes, ends_of, k, "stars"), similarity, "stars")
     comp = written(components(links), "near-components")
 
     placed = written(members.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-placed")
@@ -213,6 +217,14 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similarity: int = SIMILARIT
     main = count.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     mixed = placed.join(main.select("key", F.col("m.comp").alias("main")), "key").join(nodes.select("node", "n", "bands", *sketch), "node")
     mixed = written(mixed, "near-mixed")
+    # a class links to another component only if enough of its shingles occur in other components at all
+    own = written(mixed.select("node", "comp", "n").distinct(), "near-mixed-nodes")
+    sets = _wanted_sets(docs, nodes, own.select("node"), k, "crossing")
+    items = sets.join(own, "node").select("node", "comp", "n", F.explode("items").alias("item"))
+    spread = items.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("item")
+    able = (items.join(spread, "item").groupBy("node", "n").agg(F.count(F.lit(1)).alias("m"))
+            .where(100 * F.col("m") >= similarity * F.col("n")).select("node"))
+    mixed = mixed.join(written(able, "near-able"), "node", "left_semi")
     columns = ["n", "bands", *sketch]
     x = mixed.where("comp <> main").select("key", F.col("node").alias("u"), F.col("comp").alias("cx"), *[F.col(c).alias("x" + c) for c in columns])
     y = mixed.select("key", F.col("node").alias("v"), F.col("comp").alias("cy"), *[F.col(c).alias("y" + c) for c in columns])
@@ -221,7 +233,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, similarity: int = SIMILARIT
     crossing = crossing.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     crossing = written(crossing.join(stars, ["u", "v"], "left_anti"), "near-crossing")
     if not crossing.isEmpty():
-        more = _verified(docs, crossing, nodes, k, similarity, "crossing")
+        more = _verified(crossing, sets, similarity, "crossing")
         if not more.isEmpty():
             comp = written(components(links.union(more)), "near-components")
 
