@@ -74,16 +74,20 @@ class Machine:
 def fit(rows: list[np.ndarray], labels: np.ndarray, selected: int = SELECTED, rank: int = RANK, epochs: int = 30) -> Machine:
     """AdaGrad on the logistic loss, in shuffled batches; only terms of at least 5 rows are selected, by chi-square."""
     y, slots, n = labels.astype(float), 1 << SLOT_BITS, len(rows)
-    none = np.full(slots, -1, np.int64)
+    none = np.full(slots, -1, np.int16)
     if not n or y.min() == y.max():
         return Machine(none, 40.0 if n and y[0] else -40.0, np.zeros(1), np.zeros((1, rank)))
-    flat = np.concatenate(rows)
-    each = np.repeat(y, [len(r) for r in rows])
-    df, pos = np.bincount(flat, minlength=slots).astype(float), np.bincount(flat, weights=each, minlength=slots)
+    df, pos = np.zeros(slots), np.zeros(slots)
+    for k in range(0, n, 256):  # some rows at a time: the driver holds no second copy of the sample
+        some = np.concatenate(rows[k:k + 256])
+        df += np.bincount(some, minlength=slots)
+        pos += np.bincount(some, np.repeat(y[k:k + 256], [len(r) for r in rows[k:k + 256]]), slots)
     p = y.mean()
-    chi = np.where(df >= 5, (pos - df * p) ** 2 / np.maximum(df * p * (1 - p) * (1 - df / (n + 1)), 1e-9), 0)
+    often = np.flatnonzero(df >= 5)
+    d, o = df[often], pos[often]
+    chi = (o - d * p) ** 2 / np.maximum(d * p * (1 - p) * (1 - d / (n + 1)), 1e-9)
     best = np.argsort(-chi, kind="stable")[:selected]
-    best = best[chi[best] > 20]
+    best = often[best[chi[best] > 20]]
     column = none.copy()
     column[best] = np.arange(len(best))
     flat, edges = _csr(rows, column)
