@@ -8,8 +8,9 @@ candidate.  A candidate's longest common subsequence with the item, weighted by
 item if it covers STRONG of it, or WEAK of it together with ANSWER_SHARE of the answer (the item's last words, or a
 column of its own).
 
-The SVD is fitted on the benchmark; while RANK is at least the number of passages it keeps every inner product with them.
-Benchmarks of more than BLOCK_ITEMS items are searched block by block.
+The benchmark is searched in blocks of at most RANK passages (and BLOCK_ITEMS items), each with an SVD of its own: the rank of
+a block's space is never below its number of passages, so it keeps every inner product with them.  The passages of one long
+item may stand in several blocks.
 
 Edge cases: null or empty texts and items without letters match nothing; repeated items are items like others, repeated
 documents give repeated rows of one result row (results are distinct by doc_id and item_id); rows without doc_id are searched and
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from gridmap.llm.common import LETTER_BYTES, slices, word_hashes, written
 
 SLOT_BITS, WINDOW, RANK, COSINE, BLOCK_ITEMS = 17, 32, 512, 0.35, 20_000
+#: Passages that one task deals into blocks.
+DEALT_PASSAGES = 16 * RANK
 STRONG, WEAK, ANSWER_WORDS, ANSWER_SHARE = 0.7, 0.5, 5, 0.8
 
 
@@ -65,17 +68,61 @@ def weights(frequencies: np.ndarray) -> np.ndarray:
     return np.log1p(frequencies[-1] / (1 + frequencies[:-1])).astype(np.float32)
 
 
-def passages(items: list[np.ndarray]) -> tuple[list[int], list[np.ndarray]]:
-    """Windows of WINDOW words over each item (the last one ends with the item): item number and words."""
+def passages(items: list[np.ndarray], spans: list[tuple[int, int]] | None = None) -> tuple[list[int], list[np.ndarray]]:
+    """Windows of WINDOW words over each item (the last one ends with the item): item number and words.
+
+    ``spans``: of each item only its passages from the first number to before the second.
+    """
     number, out = [], []
     for i, w in enumerate(items):
-        starts = [*range(0, max(1, len(w) - WINDOW), WINDOW), *([len(w) - WINDOW] if len(w) > WINDOW else [])]
-        for s in starts if len(w) else []:
+        starts = [*range(0, max(1, len(w) - WINDOW), WINDOW), *([len(w) - WINDOW] if len(w) > WINDOW else [])] if len(w) else []
+        for s in starts[slice(*spans[i])] if spans else starts:
             number.append(i)
             out.append(w[s:s + WINDOW])
     return number, out
 
 
+def n_passages(texts: list) -> np.ndarray:
+    """Number of passages of each text."""
+    n = np.diff(word_hashes(texts, LETTER_BYTES)[1])
+    return np.where(n > WINDOW, -(-(n - WINDOW) // WINDOW) + 1, np.minimum(n, 1))
+
+
+def dealt(items: DataFrame, rank: int) -> DataFrame:
+    """``items`` (i, text, a) with block, first, last: passages first to before last of an item are in a block.
+
+    No block has more than ``rank`` passages or BLOCK_ITEMS items; items without words are left out.
+    """
+    limit = BLOCK_ITEMS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int(n_passages(b.column(0).to_pylist()).sum())])], names=["n"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block, held, n_items = TaskContext.get().partitionId() << 32, 0, 0
+        for b in batches:
+            at, places = [], []
+            for k, n in enumerate(n_passages(b.column(1).to_pylist()).tolist()):
+                first = 0
+                while first < n:
+                    if held == rank or n_items == limit:
+                        block, held, n_items = block + 1, 0, 0
+                    last = min(n, first + rank - held)
+                    at.append(k)
+                    places.append((block, first, last))
+                    held, n_items, first = held + last - first, n_items + 1, last
+            some = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*some.columns, *[pa.array([p[c] for p in places], pa.int64()) for c in range(3)]],
+                                             names=["i", "text", "a", "block", "first", "last"])
+
+    total = items.select("text").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
+    return items.coalesce(max(1, total // DEALT_PASSAGES)).select("i", "text", "a").mapInArrow(
+        deal, "i long, text string, a string, block long, first long, last long")
+
+
 @dataclass
 class Space:
     """Latent space: a row for each slot of the benchmark's vocabulary."""
@@ -97,17 +144,19 @@ def _omega(slots: np.ndarray, rank: int) -> np.ndarray:
     return np.stack([np.random.default_rng(int(s)).standard_normal(rank) for s in slots]) if len(slots) else np.zeros((0, rank))
 
 
-def latent_space(items: DataFrame, weight: np.ndarray, rank: int = RANK, text_col: str = "text") -> Space:
+def latent_space(items: DataFrame, weight: np.ndarray, rank: int = RANK, text_col: str = "text", span_cols: tuple[str, ...] = ()) -> Space:
     """Randomised SVD of the weighted passages of ``items``: sums over passages are made in Spark.
 
+    ``span_cols``: columns of the first passage of a row to take, and of the one after the last.
     One power iteration: Z = A' A Omega, an orthonormal basis of Z, and the singular values from the small Gram matrix of A Q.
     """
     weight_of = items.sparkSession.sparkContext.broadcast(weight)  # 2^SLOT_BITS numbers
 
-    def matrix(texts: list) -> tuple[np.ndarray, np.ndarray]:
-        words, edges = word_hashes(texts, LETTER_BYTES)
-        _, some = passages([words[s:e] for s, e in zip(edges, edges[1:])])
-        vocabulary = np.unique(slots_of(words))
+    def matrix(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        words, edges = word_hashes(b.column(0).to_pylist(), LETTER_BYTES)
+        spans = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist())) if span_cols else None
+        _, some = passages([words[s:e] for s, e in zip(edges, edges[1:])], spans)
+        vocabulary = np.unique(slots_of(np.concatenate([*some, np.zeros(0, np.uint64)])))
         a = np.zeros((len(some), len(vocabulary)))
         for i, w in enumerate(some):
             s = np.unique(slots_of(w))
@@ -116,9 +165,8 @@ def latent_space(items: DataFrame, weight: np.ndarray, rank: int = RANK, text_co
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for k in range(0, len(texts), 200):
-                vocabulary, a = matrix(texts[k:k + 200])
+            for k in range(0, b.num_rows, 200):
+                vocabulary, a = matrix(b.slice(k, 200))
                 z = (a.T @ (a @ _omega(vocabulary, width))).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array(vocabulary), pa.array([r.tobytes() for r in z], pa.binary())], names=["slot", "z"])
 
@@ -130,8 +178,13 @@ def latent_space(items: DataFrame, weight: np.ndarray, rank: int = RANK, text_co
             z[i] += np.frombuffer(r, np.float32)
         return pd.DataFrame({"slot": own, "z": [r.tobytes() for r in z]})
 
-    width = min(rank, max(1, 4 * items.count()))
-    rows = (items.select(text_col).mapInArrow(sketch, "slot long, z binary").groupBy(F.pmod("slot", F.lit(256)))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(matrix(b.slice(k, 200))[1]) for k in range(0, b.num_rows, 200))])], names=["n"])
+
+    items = items.select(text_col, *span_cols)
+    width = min(rank, max(1, items.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0))
+    rows = (items.mapInArrow(sketch, "slot long, z binary").groupBy(F.pmod("slot", F.lit(256)))
             .applyInPandas(add, "slot long, z binary").toPandas().sort_values("slot"))
     slots = rows["slot"].to_numpy(np.int64)
     z = np.frombuffer(b"".join(rows["z"]), np.float32).reshape(len(slots), width) if len(slots) else np.zeros((0, width), np.float32)
@@ -140,16 +193,15 @@ def latent_space(items: DataFrame, weight: np.ndarray, rank: int = RANK, text_co
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((q.shape[1], q.shape[1]))
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for k in range(0, len(texts), 200):
-                vocabulary, a = matrix(texts[k:k + 200])
+            for k in range(0, b.num_rows, 200):
+                vocabulary, a = matrix(b.slice(k, 200))
                 y = a @ q[np.searchsorted(slots, vocabulary)]
                 total += y.T @ y
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["g"])
 
     if not len(slots):
         return Space(slots, z.astype(np.float32), np.zeros(0))
-    total = sum(np.frombuffer(r["g"]).reshape(q.shape[1], -1) for r in items.select(text_col).coalesce(8).mapInArrow(gram, "g binary").collect())
+    total = sum(np.frombuffer(r["g"]).reshape(q.shape[1], -1) for r in items.coalesce(8).mapInArrow(gram, "g binary").collect())
     value, vector = np.linalg.eigh(total)
     order = np.argsort(-value)
     order = order[value[order] > 1e-9 * value.max()][:rank]
@@ -183,9 +235,10 @@ class Index:
     answers: list[np.ndarray]
     weight: np.ndarray
     space: Space
+    spans: list[tuple[int, int]] | None = None  # of the passages of each item that are in the block
 
     def __post_init__(self) -> None:
-        number, some = passages(self.items)
+        number, some = passages(self.items, self.spans)
         self.number = np.array(number, np.int64)
         x = np.zeros((len(some), self.space.basis.shape[1]), np.float32)
         norm = np.ones(len(some), np.float32)
@@ -195,7 +248,7 @@ class Index:
             norm[k] = np.sqrt((self.weight[s] ** 2).sum())
         self.vectors = x / np.maximum(norm, 1e-9)[:, None]
         self.least_norm = float(norm.min()) if len(some) else 1.0
-        self.vocabulary = np.unique(np.concatenate([*self.items, np.zeros(0, np.uint64)]))
+        self.vocabulary = np.unique(np.concatenate([*some, np.zeros(0, np.uint64)]))
         self.row_of = self.space.rows(slots_of(self.vocabulary))
 
     def candidates(self, words: np.ndarray) -> list[tuple[int, int, float]]:
@@ -248,20 +301,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long"
     items = written(benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"),
                                      (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("a")), "bench-items")
-    n = items.count()
-    if not n:
+    items = written(dealt(items, rank), "bench-blocks")
+    blocks = sorted(r["block"] for r in items.select("block").distinct().collect())
+    if not blocks:
         return spark.createDataFrame([], schema)
-    weight = weights(document_frequencies(docs, text_col))
-    blocks, found = -(-n // BLOCK_ITEMS), None
-    for b in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("i", "text"), F.lit(blocks)) == b)
-        space = latent_space(some, weight, rank)
-        rows = some.orderBy("i", "text").collect()  # about BLOCK_ITEMS
+    weight, found = weights(document_frequencies(docs, text_col)), None
+    for b in blocks:
+        some = items.where(F.col("block") == b)
+        space = latent_space(some, weight, rank, span_cols=("first", "last"))
+        rows = some.orderBy("i", "text", "first").collect()  # at most ``rank`` passages
         words, edges = word_hashes([r["text"] for r in rows], LETTER_BYTES)
         texts = [words[s:e] for s, e in zip(edges, edges[1:])]
         own, ends = word_hashes([r["a"] for r in rows], LETTER_BYTES)
         answers = [own[s:e] if e > s else t[-ANSWER_WORDS:] for s, e, t in zip(ends, ends[1:], texts)]
-        index = spark.sparkContext.broadcast(Index([r["i"] for r in rows], texts, answers, weight, space))
+        index = spark.sparkContext.broadcast(Index([r["i"] for r in rows], texts, answers, weight, space, [(r["first"], r["last"]) for r in rows]))
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -274,10 +327,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)],
                                                  names=[c.split()[0] for c in schema.split(", ")])
 
-        part = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(search, schema)
+        part = written(docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).mapInArrow(search, schema), "bench-found")
+        index.destroy()
         found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("lcs_share", "cosine", "answer_share", "first_word")).alias("b")
-    return (written(found, "bench-found").groupBy("doc_id", "item_id").agg(best)
+    return (found.groupBy("doc_id", "item_id").agg(best)
             .select("doc_id", "item_id", "b.cosine", "b.lcs_share", "b.answer_share", "b.first_word"))
 
 

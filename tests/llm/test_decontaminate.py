@@ -110,3 +110,34 @@ def test_covered_is_the_heaviest_common_subsequence():
                 best = max(best, weight[pick].sum())
         share, used = D.covered(a, weight, b)
         assert np.isclose(share, best / weight.sum()) and np.isclose(weight[used].sum(), best)
+
+
+def test_verbatim_copies_of_thousands_of_items_are_found(spark):
+    rnd = random.Random(4)
+    vocabulary = [f"w{''.join(rnd.choice('abcdefgh') for _ in range(6))}" for _ in range(4000)]
+    chance = [1 / (k + 3) for k in range(len(vocabulary))]
+    text = lambda n: rnd.choices(vocabulary, chance, k=n)
+    items = [text(32) for _ in range(3000)]
+    docs = []
+    for d in range(60):
+        words = text(rnd.randrange(40, 120))
+        words[16:16] = items[rnd.randrange(3000)] if d % 3 else []
+        docs.append((d, " ".join(words)))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    whole = [(i, f" {' '.join(w)} ") for i, w in enumerate(items)]
+    want = {(i, k) for i, t in docs for k, w in whole if w in f" {t} "}
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(d, b).collect()}
+    assert len(want) >= 40 and want <= got
+
+
+def test_blocks_hold_no_more_passages_than_their_rank(spark):
+    items = [(i, " ".join(["word"] * n), None) for i, n in enumerate([32] * 900 + [0, 33, 64, 65, 32 * 1200 + 1])]
+    out = D.dealt(spark.createDataFrame(items, "i long, text string, a string").repartition(3), 512).collect()
+    held, spans = {}, {}
+    for r in out:
+        held[r["block"]] = held.get(r["block"], 0) + r["last"] - r["first"]
+        spans.setdefault(r["i"], set()).update(range(r["first"], r["last"]))
+    assert max(held.values()) <= 512
+    number, _ = D.passages([word_hashes([t], LETTER_BYTES)[0] for _, t, _ in items])
+    assert {i: len(s) for i, s in spans.items()} == {i: number.count(i) for i in set(number)}
