@@ -15,6 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Lower-cases A-Z and reads other ASCII than letters as spaces; bytes of other characters stay.
 LETTER_BYTES = bytes(LOWER_BYTES[b] if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+#: The same, but digits stay too.
+WORD_BYTES = bytes(LOWER_BYTES[b] if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 #: Rows that a broadcast side may have; beyond it the join is a shuffle join.
 BROADCAST_ROWS = 200_000
 #: Rows of an Arrow batch, so that a batch of long documents stays small in a Python worker.

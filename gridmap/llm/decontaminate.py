@@ -1,18 +1,19 @@
 """Benchmark passages in documents, paraphrases too, by latent semantic retrieval.
 
-Words are lower-cased runs of letters, weighted by their inverse document frequency over all documents (counted in
+Words are lower-cased runs of letters and digits, weighted by their inverse document frequency over all documents (counted in
 TERM_SLOTS hash slots).  Benchmark items are cut into passages of WINDOW words; a randomised SVD of their weighted term
 vectors, summed up by Spark, gives a space of at most RANK dimensions.  Every window of every document is projected into
 it (stride WINDOW / 2) and held against all passages of the benchmark, in blocks; a cosine of at least COSINE makes a
 candidate.  A candidate's longest common subsequence with the item, weighted by word, decides: the document holds the
 item if it covers STRONG of it, or WEAK of it together with ANSWER_SHARE of the answer (the item's last words, or a
-column of its own).
+column of its own).  Of an item with at least one number (a word with a digit) for every NUMBER_WORDS words, STRONG of the
+numbers must be covered as well: the same wording with other numbers is another item.
 
 The benchmark is searched in blocks of at most RANK passages (and BLOCK_ITEMS items), each with an SVD of its own: the rank of
 a block's space is never below its number of passages, so it keeps every inner product with them.  The passages of one long
 item may stand in several blocks.
 
-Edge cases: null or empty texts and items without letters match nothing; repeated items are items like others, repeated
+Edge cases: null or empty texts and items without letters and digits match nothing; repeated items are items like others, repeated
 documents give repeated rows of one result row (results are distinct by doc_id and item_id); rows without doc_id are searched and
 reported with a null doc_id; an empty table on either side gives an empty result.
 """
@@ -28,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmap.llm.common import LETTER_BYTES, slices, word_hashes, written
+from gridmap.llm.common import WORD_BYTES, slices, texts_bytes, word_hashes, word_spans, written
 
 SLOT_BITS, WINDOW, RANK, COSINE, BLOCK_ITEMS = 17, 32, 512, 0.35, 20_000
 #: Passages that one task deals into blocks.
 DEALT_PASSAGES = 16 * RANK
-STRONG, WEAK, ANSWER_WORDS, ANSWER_SHARE = 0.7, 0.5, 5, 0.8
+STRONG, WEAK, ANSWER_WORDS, ANSWER_SHARE, NUMBER_WORDS = 0.7, 0.5, 5, 0.8, 16
 
 
 def slots_of(words: np.ndarray) -> np.ndarray:
@@ -50,7 +51,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             texts = b.column(0).to_pylist()
             total[-1] += len(texts)
             for a, z in slices(texts):
-                words, edges = word_hashes(texts[a:z], LETTER_BYTES)
+                words, edges = word_hashes(texts[a:z], WORD_BYTES)
                 doc = np.repeat(np.arange(z - a), np.diff(edges))
                 key = np.unique((doc << SLOT_BITS) | slots_of(words))
                 total += np.bincount(key & (n_slots - 1), minlength=n_slots + 1)
@@ -68,6 +69,15 @@ def weights(frequencies: np.ndarray) -> np.ndarray:
     return np.log1p(frequencies[-1] / (1 + frequencies[:-1])).astype(np.float32)
 
 
+def numbers(texts: list) -> np.ndarray:
+    """Which words of all texts have a digit, in the order of ``word_hashes``."""
+    data, _ = texts_bytes(texts, WORD_BYTES)
+    raw = np.frombuffer(data, np.uint8)
+    digits = np.concatenate([[0], np.cumsum((raw >= ord("0")) & (raw <= ord("9")))])
+    starts, ends = word_spans(data)
+    return digits[ends] > digits[starts]
+
+
 def passages(items: list[np.ndarray], spans: list[tuple[int, int]] | None = None) -> tuple[list[int], list[np.ndarray]]:
     """Windows of WINDOW words over each item (the last one ends with the item): item number and words.
 
@@ -84,7 +94,7 @@ def passages(items: list[np.ndarray], spans: list[tuple[int, int]] | None = None
 
 def n_passages(texts: list) -> np.ndarray:
     """Number of passages of each text."""
-    n = np.diff(word_hashes(texts, LETTER_BYTES)[1])
+    n = np.diff(word_hashes(texts, WORD_BYTES)[1])
     return np.where(n > WINDOW, -(-(n - WINDOW) // WINDOW) + 1, np.minimum(n, 1))
 
 
@@ -153,7 +163,7 @@ def latent_space(items: DataFrame, weight: np.ndarray, rank: int = RANK, text_co
     weight_of = items.sparkSession.sparkContext.broadcast(weight)  # 2^SLOT_BITS numbers
 
     def matrix(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        words, edges = word_hashes(b.column(0).to_pylist(), LETTER_BYTES)
+        words, edges = word_hashes(b.column(0).to_pylist(), WORD_BYTES)
         spans = list(zip(b.column(1).to_pylist(), b.column(2).to_pylist())) if span_cols else None
         _, some = passages([words[s:e] for s, e in zip(edges, edges[1:])], spans)
         vocabulary = np.unique(slots_of(np.concatenate([*some, np.zeros(0, np.uint64)])))
@@ -236,6 +246,7 @@ class Index:
     weight: np.ndarray
     space: Space
     spans: list[tuple[int, int]] | None = None  # of the passages of each item that are in the block
+    numbers: list[np.ndarray] | None = None  # which words of each item have a digit
 
     def __post_init__(self) -> None:
         number, some = passages(self.items, self.spans)
@@ -289,6 +300,9 @@ class Index:
                 continue
             share, used = covered(item, self.weight[slots_of(item)], words[max(0, start - len(item)):start + WINDOW + len(item)])
             answer = np.isin(self.answers[i], item[used]).mean() if len(self.answers[i]) else 0.0
+            number = self.numbers[i] if self.numbers else np.zeros(len(item), bool)
+            if number.any() and number.sum() * NUMBER_WORDS >= len(item) and used[number].mean() < STRONG:
+                continue
             if (share >= STRONG or share >= WEAK and answer >= ANSWER_SHARE) and share > best.get(i, (0, 0))[1]:
                 best[i] = (cosine, share, float(answer), start)
         return [(self.ids[i], *b) for i, b in sorted(best.items())]
@@ -310,17 +324,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         some = items.where(F.col("block") == b)
         space = latent_space(some, weight, rank, span_cols=("first", "last"))
         rows = some.orderBy("i", "text", "first").collect()  # at most ``rank`` passages
-        words, edges = word_hashes([r["text"] for r in rows], LETTER_BYTES)
-        texts = [words[s:e] for s, e in zip(edges, edges[1:])]
-        own, ends = word_hashes([r["a"] for r in rows], LETTER_BYTES)
+        words, edges = word_hashes([r["text"] for r in rows], WORD_BYTES)
+        texts, digits = [words[s:e] for s, e in zip(edges, edges[1:])], numbers([r["text"] for r in rows])
+        own, ends = word_hashes([r["a"] for r in rows], WORD_BYTES)
         answers = [own[s:e] if e > s else t[-ANSWER_WORDS:] for s, e, t in zip(ends, ends[1:], texts)]
-        index = spark.sparkContext.broadcast(Index([r["i"] for r in rows], texts, answers, weight, space, [(r["first"], r["last"]) for r in rows]))
+        index = spark.sparkContext.broadcast(Index([r["i"] for r in rows], texts, answers, weight, space, [(r["first"], r["last"]) for r in rows],
+                                                    [digits[s:e] for s, e in zip(edges, edges[1:])]))
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids, texts_, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
                 for a, z in slices(texts_):
-                    words, edges = word_hashes(texts_[a:z], LETTER_BYTES)
+                    words, edges = word_hashes(texts_[a:z], WORD_BYTES)
                     for d, s, e in zip(ids[a:z], edges.tolist(), edges[1:].tolist()):
                         out += [(d, *m) for m in index.value.matches(words[s:e])]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]

@@ -141,3 +141,15 @@ def test_blocks_hold_no_more_passages_than_their_rank(spark):
     assert max(held.values()) <= 512
     number, _ = D.passages([word_hashes([t], LETTER_BYTES)[0] for _, t, _ in items])
     assert {i: len(s) for i, s in spans.items()} == {i: number.count(i) for i in set(number)}
+
+
+def test_numbers_tell_items_apart(spark):
+    items = [(1, "Tom has 5 apples and buys 7"), (2, "12 + 30 = 42; 42 * 2 = 84"), (3, "What is the sum of the two numbers, 317 or 412?")]
+    filler = "this long report is about the weather in the north and about its many rivers "
+    docs = [(0, "Tom has 5 apples and buys 7."), (1, "Tom has 9 apples and buys 3."), (2, filler + "12 + 30 = 42; 42 * 2 = 84 " + filler),
+            (3, filler + "what is the sum of the two numbers, 317 or 412? " + filler), (4, "what is the sum of the two numbers, 25 or 26?"),
+            (5, filler * 3), (6, "11 + 31 = 43; 43 * 3 = 129")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in D.contaminated(d, b).collect()} == {(0, 1), (2, 2), (3, 3)}
+    assert D.numbers([t for _, t in items]).sum() == 2 + 6 + 2
