@@ -3,10 +3,12 @@
 Every element's subtree (tag, texts and inner elements) is hashed.  Spark counts on how many pages of a host each
 subtree stands; those on at least TEMPLATE_PAGES pages and TEMPLATE_SHARE of the host's pages are the host's template
 and are deleted (the share bounds them to 1 / TEMPLATE_SHARE times the elements of a page).  Inside an article or main
-element nothing is deleted for recurring, as copies of an article are no template.  What never is main text goes by its
+element the recurring BOXES go: those in at least TEMPLATE_PAGES different articles (or main elements) of a host, whatever
+its size.  Copies of one article count once, so a copied article stays; paragraphs, headings and cells inside are never
+deleted for recurring, nor is what would leave no text at all.  What never is main text goes by its
 tag (menus, footers, forms, scripts, ...) or by words of its class, id or role (adverts, notices, reader comments, ...).
 
-The text is that of the article elements, else of main elements, else of what is left of the page.  Character references
+The text is that of the article elements or of the rest of main elements, whichever is longer, else what is left of the page.  Character references
 are decoded, white space in a block becomes one space, blocks are joined by a line break.
 
 Edge cases: null or empty html gives an empty text; malformed markup is read leniently (open elements end with what
@@ -35,6 +37,8 @@ DROPPED = RAW | frozenset("nav footer aside form noscript template svg math sele
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead
 tr ul""".split())
+#: Inside an article or main element these may recur as a part of the template.
+BOXES = frozenset("address center details div dl fieldset figure footer header ol search section table ul".split())
 #: An opening tag ends an open element of these kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
         "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
@@ -138,7 +142,19 @@ def subtrees(events: list[list]) -> list[int]:
     return sorted(out)
 
 
-def main_text(events: list[list], template: frozenset | set = frozenset()) -> str:
+def inner_boxes(events: list[list]) -> list[tuple[int, int]]:
+    """Distinct (hash of a box, hash of the article or main element that it stands in) of the page."""
+    out, around = set(), []
+    for e in events:
+        if e[1] in ("article", "main") and e[0] != TEXT:
+            around.append(e[3]) if e[0] == OPEN else around.pop()
+        elif e[0] == OPEN and around and e[1] in BOXES:
+            out.add((e[3], around[-1]))
+    return sorted(out)
+
+
+def main_text(events: list[list], template: frozenset | set = frozenset(), boxes: frozenset | set = frozenset()) -> str:
+    """``template``: subtrees to delete outside of article and main elements; ``boxes``: inside of them."""
     found: dict[str, list[str]] = {"article": [], "main": [], "": []}
     run: list[str] = []
     open_, skip = {"article": 0, "main": 0}, 0
@@ -164,14 +180,18 @@ def main_text(events: list[list], template: frozenset | set = frozenset()) -> st
         elif tag == "br" and e[0] == OPEN:
             run.append(" ")
         if e[0] == OPEN:
-            if e[2] or tag == "header" and not inner or not inner and e[3] in template and tag not in ("article", "main", "body", "html"):
+            if (e[2] or tag == "header" and not inner or inner and tag in BOXES and e[3] in boxes
+                    or not inner and e[3] in template and tag not in ("article", "main", "body", "html")):
                 skip = 1
             elif tag in open_:
                 open_[tag] += 1
         elif tag in open_:
             open_[tag] -= 1
     block()
-    return "\n".join(found["article"] or found["main"] or found[""])
+    article, main = "\n".join(found["article"]), "\n".join(found["main"])
+    if boxes and not article and not main:
+        return main_text(events, template)
+    return (main if len(main) > len(article) else article) or "\n".join(found[""])
 
 
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -194,6 +214,23 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
             .groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("template")))
 
 
+def box_hits(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, page, boxes): by the md5 of its html, each page's boxes that recur in articles or main elements of its host."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(host, page, *box) for host, page, text in zip(*[c.to_pylist() for c in b.columns]) for box in inner_boxes(parse(text))]
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["host", "page", "key", "around"])
+
+    boxes = (pages.select(host_of(url_col).alias("host"), F.md5(F.col(html_col).cast("binary")).alias("page"), F.col(html_col)).where("host <> ''")
+             .mapInArrow(found, "host string, page string, key long, around long"))
+    boxes = written(boxes, "html-boxes")
+    often = boxes.groupBy("host", "key").agg(F.countDistinct("around").alias("n")).where(f"n >= {TEMPLATE_PAGES}").select("host", "key")
+    often, _ = checked_broadcast(written(often, "html-often"))
+    return boxes.join(often, ["host", "key"]).groupBy("host", "page").agg(F.sort_array(F.collect_set("key")).alias("boxes"))
+
+
 def host_of(url_col: str) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")))
 
@@ -201,14 +238,19 @@ def host_of(url_col: str) -> Column:
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """All rows and columns of ``pages`` but the html, with text and n_chars."""
     templates, _ = checked_broadcast(written(site_templates(pages, url_col, html_col), "html-templates"), 20_000)
+    hits, _ = checked_broadcast(written(box_hits(pages, url_col, html_col), "html-hits"), 20_000)
     base = replace_columns(pages, ["text", "n_chars"])
-    rows = base.withColumn("__host", host_of(url_col)).join(templates.withColumnRenamed("host", "__host"), "__host", "left").drop("__host")
+    rows = base.withColumns({"__host": host_of(url_col), "__page": F.md5(F.col(html_col).cast("binary"))})
+    rows = rows.join(templates.withColumnRenamed("host", "__host"), "__host", "left")
+    rows = rows.join(hits.select(F.col("host").alias("__host"), F.col("page").alias("__page"), F.col("boxes").alias("__boxes")),
+                     ["__host", "__page"], "left").drop("__host", "__page")
     out = [c for c in base.columns if c != html_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            texts = [main_text(parse(page), set(t or ())) for page, t in zip(col[html_col].to_pylist(), col["template"].to_pylist())]
+            texts = [main_text(parse(page), set(t or ()), set(x or ()))
+                     for page, t, x in zip(*[col[c].to_pylist() for c in (html_col, "template", "__boxes")])]
             yield pa.RecordBatch.from_arrays([*[col[c] for c in out], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                              names=[*out, "text", "n_chars"])
 

@@ -58,3 +58,24 @@ def test_template_counts_equal_brute_force(spark):
     want = {k for k, n in want.items() if n >= H.TEMPLATE_PAGES and n >= pages[k[0]] * H.TEMPLATE_SHARE}
     got = H.site_templates(spark.createDataFrame(rows, "url string, html string").repartition(4)).collect()
     assert {(r["host"], k) for r in got for k in r["template"]} == want
+
+
+def test_recurring_boxes_inside_articles_and_main_go(spark):
+    box = "<div><b>Jane Roe</b> writes here</div>"
+    rows = [(i, f"http://a.example/{i}", f"<body><article><p>story {i}</p><p>See below.</p>{box}</article></body>") for i in range(8)]
+    rows += [(100 + i, f"http://a.example/x{i}", "<body><article><div><p>copied</p></div></article></body>") for i in range(9)]
+    rows += [(200 + i, f"http://b.example/{i}", f"<body><main><p>body {i} of the page</p><section>more from us</section></main></body>") for i in range(6)]
+    rows += [(300 + i, f"http://a.example/y{i}", f"<body><p>plain {i}</p></body>") for i in range(200)]  # the boxes are on few pages
+    rows += [(600, "http://c.example/1", f"<body><article><p>other host</p>{box}</article></body>"),
+             (601, "http://a.example/z", f"<body><article><!-- 1 -->{box}</article></body>"), (602, "http://a.example/n", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    out = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
+    assert len(out) == len(rows)
+    assert all(out[i] == f"story {i}\nSee below." for i in range(8)) and all(out[100 + i] == "copied" for i in range(9))
+    assert all(out[200 + i] == f"body {i} of the page" for i in range(6)) and out[300] == "plain 0"
+    assert (out[600], out[601], out[602]) == ("other host\nJane Roe writes here", "Jane Roe writes here", "")
+
+
+def test_teaser_articles_do_not_replace_the_body():
+    page = "<main><p>the real body of this page, at some length</p><article>teaser one</article><article>teaser two</article></main>"
+    assert H.main_text(H.parse(page)) == "the real body of this page, at some length"
