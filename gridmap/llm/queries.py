@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmap.llm import exact_dedup as dedup
-from gridmap.llm import decontaminate, html_main, language_id, lm_scoring, near_dup, packing, sharding, token_output, toxicity
-from gridmap.llm.common import crc_bucket, prepare, read
+from gridmap.llm import decontaminate, html_main, language_id, lm_scoring, near_dup, packing, periodic_runs, sharding, token_output, toxicity
+from gridmap.llm.common import crc_bucket, prepare, read, sha256_hex
 from gridmap.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,31 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(crc_bucket(F.col("doc_id"), 5) == 1, F.lit(True))
     out = lm_scoring.score(docs, ~held_out)
     return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_subwords")
+
+
+def periodic_damage(doc_id: Column, words: Column) -> Column:
+    """Every tenth document (crc32 of its id) gets a periodic tail: word i >= a becomes word a + (i - a) % p."""
+    h, n = F.crc32(doc_id.cast("string").cast("binary")), F.size(words).cast("long")
+    g = F.floor(h / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    copies = F.array_repeat(F.slice(words, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int"))
+    changed = F.slice(F.concat(F.slice(words, F.lit(1), a.cast("int")), F.flatten(copies)), F.lit(1), n.cast("int"))
+    return F.when((h % 10 == 0) & (n > 0), changed)
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    damaged = docs.select("doc_id", "text", F.when(hit, words).alias("w"))
+    damaged = damaged.select("doc_id", F.coalesce(F.array_join(periodic_damage(F.col("doc_id"), F.col("w")), " "), "text").alias("text"))
+    found = periodic_runs.periodic_runs(damaged)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(r.length * best.period > best.length * r.period, r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    listed = F.when(F.size(lines) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    out = found.select("doc_id", "runs", "collapsed", best.alias("best"), listed.alias("listed"))
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                      F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+                      sha256_hex(F.col("listed")).alias("runs_sha256"), sha256_hex(F.col("collapsed")).alias("collapsed_sha256"))
