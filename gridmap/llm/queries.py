@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmap.llm import exact_dedup as dedup
-from gridmap.llm import decontaminate, html_main, language_id, lm_scoring, near_dup, packing, periodic_runs, sharding, token_output, toxicity
+from gridmap.llm import (conversation_repair, decontaminate, html_main, language_id, lm_scoring, near_dup, packing, periodic_runs,
+                         sharding, token_output, toxicity)
 from gridmap.llm.common import crc_bucket, prepare, read, sha256_hex
 from gridmap.session import scratch_path
 
@@ -124,3 +125,26 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
                       F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
                       sha256_hex(F.col("listed")).alias("runs_sha256"), sha256_hex(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+def damaged_turns(turns: DataFrame) -> DataFrame:
+    """Rows of conversations with nulls as one space and a fault in every fourth row, by crc32 of ``conv_id:turn`` modulo 20."""
+    key = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    hit = F.crc32(key.cast("binary")) % 20
+    text = F.when(hit == 1, "").when(hit == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(hit == 4, "user").otherwise(F.col("role"))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
+    rows = rows.where(hit != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), hit.alias("hit"))
+    again = F.explode(F.when(F.col("hit") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", "role", "text", again.alias("copy")).drop("copy")
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    found = conversation_repair.reports(damaged_turns(turns)).withColumnRenamed("conv_id", "c")
+    every = turns.select("conv_id").distinct()
+    out = every.join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    counts = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", sha256_hex(F.lit(""))).alias("repaired_sha256"))
