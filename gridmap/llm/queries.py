@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridmap.llm import exact_dedup as dedup
 from gridmap.llm import (conversation_repair, decontaminate, html_main, language_id, lm_scoring, near_dup, packing, periodic_runs,
-                         sharding, token_output, toxicity)
+                         quality_rules, sharding, token_output, toxicity)
 from gridmap.llm.common import crc_bucket, prepare, read, sha256_hex
 from gridmap.session import scratch_path
 
@@ -148,3 +148,11 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
                       F.coalesce("repaired_sha256", sha256_hex(F.lit(""))).alias("repaired_sha256"))
+
+
+@query("op12_quality_rules")
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    ensemble = quality_rules.train(docs, read(spark, sf_dir, "labels", "doc_id", "quality"), crc_bucket(F.col("id"), 3) != 1)
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 3) == 1, F.lit(True))
+    return quality_rules.score(docs, ensemble).select("doc_id", held_out.alias("held_out"), "score", "predicted")
