@@ -31,6 +31,16 @@ def strip(c) -> Column:
     return F.btrim(col_(c), F.lit(STRIP_CHARS))
 
 
+def words_key(c) -> Column:
+    """Lower-case words (runs of letters and digits) with one space between: the text without its formatting."""
+    return F.btrim(F.regexp_replace(F.lower(col_(c)), "[^\\p{L}\\p{N}]+", " "))
+
+
+def spelling_key(c) -> Column:
+    """``words_key``, or the stripped lower-case text where it has neither letters nor digits."""
+    return F.coalesce(F.nullif(words_key(c), F.lit("")), F.lower(strip(c)))
+
+
 def split_lines(c) -> Column:
     """strip the text, then split on newline (``text.strip().split('\\n')``)."""
     return F.split(strip(c), "\n", -1)

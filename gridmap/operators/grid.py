@@ -31,9 +31,9 @@ def display_cells(cells: DataFrame) -> DataFrame:
 def gap_filled(cells):
     """Values of an array of (col_idx, value) sorted by column, with '' for columns that have no cell."""
     n = F.element_at(cells, -1)["col_idx"] + 1
-    at = lambda c: F.coalesce(F.get(F.filter(cells, lambda x: x["col_idx"] == c), F.lit(0))["value"], F.lit(""))
-    return (F.when(F.size(cells) == n, F.transform(cells, lambda x: x["value"]))
-            .otherwise(F.transform(F.sequence(F.lit(0), n - 1), at)))
+    before = lambda i: F.coalesce(F.get(cells, i - 1)["col_idx"], F.lit(-1))
+    filled = lambda x, i: F.concat(F.array_repeat(F.lit(""), x["col_idx"] - before(i) - 1), F.array(x["value"]))
+    return F.when(F.size(cells) == n, F.transform(cells, lambda x: x["value"])).otherwise(F.flatten(F.transform(cells, filled)))
 
 
 def _ordered_join(values_col: str, order_col: str, sep: str):

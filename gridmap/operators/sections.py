@@ -59,11 +59,9 @@ def extract_sections(header_cells: DataFrame, docs: DataFrame, field_defs: DataF
     """Deterministic section scorer: field -> header cell by vocabulary lookup.
 
     ``header_cells``: doc_id, col_idx, header (header text per column);
-    ``docs``: doc_id, doc_class.  A header matching a field spelling exactly
-    wins over a case-insensitive match; ties go to the leftmost column.  On a
-    case-insensitive hit the answer is the vocabulary spelling (as a model
-    would answer), which section validation then corrects.  Fields without a
-    match stay null.  Section confidence = mapped fields / fields.
+    ``docs``: doc_id, doc_class.  See ``best_matches`` for what matches and what
+    wins.  Fields without a match stay null.  Section confidence = mapped
+    fields / fields.
     """
     best = best_matches(header_cells, docs, aliases).select("doc_id", "section", "field", "col_idx", "header",
                                                              "match_kind")
@@ -75,58 +73,167 @@ def extract_sections(header_cells: DataFrame, docs: DataFrame, field_defs: DataF
                     (F.count("header").over(ws) / F.count(F.lit(1)).over(ws)).alias("confidence"))
 
 
+#: How a header cell fits a spelling, from the best to the weakest way.
+EXACT, CASE, FORMATTING, CONTAINED, DISTANCE = range(1, 6)
+
+
+def allowed_distance(length) -> F.Column:
+    """Edit distance that a text of this length (of the longer of two) may have from a spelling."""
+    n = T.col_(length)
+    return F.when(n >= 16, 3).when(n >= 9, 2).when(n >= 5, 1).otherwise(0)
+
+
+def _bigrams(key):
+    return F.transform(F.sequence(F.lit(1), F.length(key) - 1), lambda i: F.substr(key, i, F.lit(2)))
+
+
+def similar_spellings(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Similarity join of header texts with the vocabulary of their class.
+
+    ``texts``: doc_class, key (distinct ``spelling_key`` texts).  Result: doc_class, key, the columns of ``aliases``, kind and
+    similarity.  CONTAINED: the words of a spelling stand next to each other in the text, or the (two or more) words of the text in a
+    spelling; similarity is the share of the longer one.  DISTANCE: the edit distance is at most ``allowed_distance``;
+    similarity is 1 less its share of the longer length.  A pair that is both counts as contained.
+
+    Both go through an index of the vocabulary, so no text is held against all spellings.  Words: a pair is a candidate when all
+    distinct words of one side are matched.  Bigrams: texts at distance d of length n (the longer one) share n - 1 - 2 d bigrams at least,
+    and lengths differ by d at most; candidates are verified.  The index is configuration-sized and broadcast; the texts are
+    partially aggregated.
+    """
+    vocabulary = aliases.withColumn("_a", T.spelling_key("alias"))
+    alias_columns = [c for c in aliases.columns if c != "doc_class"]
+    words = F.array_distinct(F.split("_a", " "))
+    index = F.broadcast(vocabulary.select("doc_class", *alias_columns, "_a", F.size(words).alias("_na"), F.explode(words).alias("_w")))
+    own = F.array_distinct(F.split("key", " "))
+    tokens = texts.select("doc_class", "key", F.size(own).alias("_nt"), F.explode(own).alias("_w"))
+    group = ["doc_class", "key", *alias_columns, "_a"]
+    shared = tokens.join(index, ["doc_class", "_w"]).groupBy(*group, "_na", "_nt").agg(F.count(F.lit(1)).alias("_n"))
+
+    def inside(inner, outer):
+        return F.instr(F.concat(F.lit(" "), F.col(outer), F.lit(" ")), F.concat(F.lit(" "), F.col(inner), F.lit(" "))) > 0
+
+    shorter, longer = F.least(F.length("key"), F.length("_a")), F.greatest(F.length("key"), F.length("_a"))
+    contained = shared.where(((F.col("_n") == F.col("_na")) & inside("_a", "key"))
+                             | ((F.col("_n") == F.col("_nt")) & (F.size(F.split("key", " ")) > 1) & inside("key", "_a")))
+    contained = contained.select(*group, F.lit(CONTAINED).alias("kind"), (shorter / longer).alias("similarity"))
+
+    grams = F.broadcast(vocabulary.where(F.length("_a") >= 4).select("doc_class", *alias_columns, "_a", F.explode(_bigrams(F.col("_a"))).alias("_g")))
+    pairs = texts.where(F.length("key") >= 4).select("doc_class", "key", F.explode(_bigrams(F.col("key"))).alias("_g")).join(grams, ["doc_class", "_g"])
+    close = pairs.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    allowed = allowed_distance(longer)
+    close = close.where((longer - shorter <= allowed) & (F.col("_n") >= longer - 1 - 2 * allowed))
+    close = close.withColumn("_d", F.levenshtein("key", "_a")).where(F.col("_d") <= allowed)
+    close = close.select(*group, F.lit(DISTANCE).alias("kind"), (1 - F.col("_d") / longer).alias("similarity"))
+    best = contained.unionByName(close).groupBy(*group).agg(F.min(F.struct("kind", (-F.col("similarity")).alias("s"))).alias("_b"))
+    return best.select("doc_class", "key", *alias_columns, F.col("_b.kind").alias("kind"), (-F.col("_b.s")).alias("similarity"))
+
+
+def match_candidates(header_cells: DataFrame, docs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """All fits of header cells and fields: doc_id, doc_class, col_idx, header, the columns of ``aliases``, kind, similarity.
+
+    A cell whose ``spelling_key`` equals that of a spelling fits the fields that have it, as EXACT, CASE (the same but for case) or
+    FORMATTING (the same words).  Only the distinct texts of other cells go through ``similar_spellings``.
+    """
+    hc = (header_cells.where(~T.is_blank("header")).select("doc_id", "col_idx", "header", T.spelling_key("header").alias("key"))
+                      .join(docs.select("doc_id", "doc_class"), "doc_id"))
+    al = F.broadcast(aliases.withColumn("key", T.spelling_key("alias")))
+    h, a = T.strip("header"), T.strip("alias")
+    kind = F.when(h == a, EXACT).when(F.lower(h) == F.lower(a), CASE).otherwise(FORMATTING)
+    same = hc.join(al, ["doc_class", "key"]).withColumns({"kind": kind, "similarity": F.lit(1.0)})
+    # of the spellings of one field that a cell equals, its best one
+    other = hc.join(al.select("doc_class", "key").distinct(), ["doc_class", "key"], "left_anti")
+    similar = similar_spellings(other.select("doc_class", "key").distinct(), aliases)
+    columns = ["doc_id", "doc_class", "col_idx", "header", *[c for c in aliases.columns if c != "doc_class"], "kind", "similarity"]
+    return same.select(*columns).unionByName(other.join(similar, ["doc_class", "key"]).select(*columns))
+
+
 def best_matches(header_cells: DataFrame, docs: DataFrame, aliases: DataFrame) -> DataFrame:
     """Mapped fields only: (doc_id, doc_class, section, section_ord, field, field_ord, col_idx, header, match_kind).
 
-    Header cells are equi-joined with the broadcast vocabulary on their
-    normalised text; per field the exact spelling beats a case-insensitive
-    one, then the leftmost column, then vocabulary order.  Rows exist only
-    for fields that matched (a handful per document).
+    Per field the best kind of fit wins (exact spelling, other case, other formatting, containment, edit distance), then the
+    higher similarity, the leftmost column, vocabulary order.  The answer is the cell's text, but the vocabulary's spelling where
+    case or formatting differ (as a model would answer), which section validation then corrects.  Rows exist only for fields that
+    matched (a handful per document).
     """
-    hc = (header_cells.where(~T.is_blank("header"))
-                      .withColumn("_k", F.lower(T.strip("header")))
-                      .join(docs.select("doc_id", "doc_class"), "doc_id"))
-    al = F.broadcast(aliases.withColumn("_k", F.lower(T.strip("alias"))))
-    cand = hc.join(al, ["doc_class", "_k"])
-    kind = F.when(T.strip("header") == T.strip("alias"), 1).otherwise(2)
-    cand = cand.withColumn("_kind", kind)
-    w = Window.partitionBy("doc_id", "section", "field").orderBy("_kind", "col_idx", "alias_ord")
+    cand = match_candidates(header_cells, docs, aliases)
+    w = Window.partitionBy("doc_id", "section", "field").orderBy("kind", F.col("similarity").desc(), "col_idx", "alias_ord")
+    answer = F.when(F.col("kind").isin(CASE, FORMATTING), F.col("alias")).otherwise(F.col("header"))
     return (cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
                 .select("doc_id", "doc_class", "section", "section_ord", "field", "field_ord", "col_idx",
-                        F.when(F.col("_kind") == 1, F.col("header")).otherwise(F.col("alias")).alias("header"),
-                        F.col("_kind").alias("match_kind")))
+                        answer.alias("header"), F.col("kind").alias("match_kind")))
+
+
+#: Types of corrections.
+WRONG, CASING, FORMAT, MISSING, EXTRA = "wrong mapping", "capitalization", "formatting", "missing", "extra"
+
+
+def _assigned(open_slots: DataFrame, free: DataFrame) -> DataFrame:
+    """One-to-one assignment of open fields and free cells of a document by mutual best fit: doc_id, section, field, _fcol, _fcell.
+
+    Fits are ranked by kind, similarity, column, section and field; a pair is taken when no better pair with its field or its cell is
+    left, which one pass over a document's ranked fits settles.  A document has at most (fields x fitting spellings) of them.
+    """
+    fit = open_slots.join(free, ["doc_id", "section", "field"])
+    one = F.struct(F.col("kind").alias("k"), (-F.col("similarity")).alias("s"), F.col("col_idx").alias("c"), F.col("section_ord").alias("so"),
+                   F.col("field_ord").alias("fo"), F.col("section").alias("section"), F.col("field").alias("field"), F.col("cell").alias("cell"))
+    ranked = fit.groupBy("doc_id").agg(F.array_sort(F.collect_set(one)).alias("fits"))
+    taken = F.aggregate("fits", F.slice("fits", 1, 0), lambda acc, x: F.when(
+        F.exists(acc, lambda y: (y.c == x.c) | ((y.section == x.section) & (y.field == x.field))), acc).otherwise(F.concat(acc, F.array(x))))
+    return ranked.select("doc_id", F.explode(taken).alias("x")).select("doc_id", "x.section", "x.field", F.col("x.c").alias("_fcol"), F.col("x.cell").alias("_fcell"))
+
+
+def validate_sections(mapping: DataFrame, header_cells: DataFrame, aliases: DataFrame | None = None):
+    """Check every answer against the real header cells of the document and list the corrections.
 
+    ``mapping``: doc_id, doc_class, section, section_ord, field, field_ord, header, ...; of the answers
 
-def validate_sections(mapping: DataFrame, header_cells: DataFrame):
-    """Check every mapped header against the real header cells of the document.
+    * one that is a cell's text is kept; one that differs from a cell only in case, or only in spaces, punctuation and case, is
+      replaced by that cell's text (``capitalization``, ``formatting``);
+    * one that is no cell, or a cell that doesn't fit the field while a free cell does, is replaced by that free cell (``wrong
+      mapping``); without a free cell an answer that is no cell becomes null (``extra``);
+    * a field without an answer takes a free cell that fits (``missing``).
 
-    exact -> kept; same text in another case -> replaced by the cell text
-    (capitalization); no such cell -> null (wrong mapping).  Returns
-    (validated mapping with ``validation_confidence`` per section, corrections).
+    A cell is free when no kept answer of the document names it; fits come from the vocabulary (``match_candidates``) and are
+    assigned one to one (``_assigned``).  Without ``aliases`` there are no fits.  Returns (validated mapping with
+    ``validation_confidence`` per section: answers that were right / answers and missing ones, corrections).
     """
     cells = header_cells.where(~T.is_blank("header")).select(
-        "doc_id", F.col("header").alias("_cell"), F.col("col_idx").alias("_ccol"),
-        F.lower(T.strip("header")).alias("_k"))
-    m = mapping.withColumn("_k", F.lower(T.strip("header")))
-    j = m.join(cells, ["doc_id", "_k"], "left")
-    pref = F.when(T.strip("_cell") == T.strip("header"), 0).otherwise(1)
+        "doc_id", F.col("header").alias("_cell"), F.col("col_idx").alias("_ccol"), T.spelling_key("header").alias("_k"))
+    j = mapping.withColumn("_k", T.spelling_key("header")).join(cells, ["doc_id", "_k"], "left")
+    cell, answer = T.strip("_cell"), T.strip("header")
+    pref = F.when(cell == answer, 0).when(F.lower(cell) == F.lower(answer), 1).otherwise(2)
     w = Window.partitionBy("doc_id", "section", "field").orderBy(pref, F.col("_ccol").asc_nulls_last())
-    j = j.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
-    status = (F.when(F.col("header").isNull(), F.lit("none"))
-               .when(F.col("_cell").isNull(), F.lit("wrong mapping"))
-               .when(T.strip("_cell") == T.strip("header"), F.lit("ok"))
-               .otherwise(F.lit("capitalization")))
+    j = j.withColumn("_pref", pref).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+    status = (F.when(F.col("header").isNull(), F.lit("none")).when(F.col("_cell").isNull(), F.lit(EXTRA))
+               .when(F.col("_pref") == 0, F.lit("ok")).when(F.col("_pref") == 1, F.lit(CASING)).otherwise(F.lit(FORMAT)))
     j = j.withColumn("_status", status)
-    new_header = (F.when(F.col("_status") == "wrong mapping", F.lit(None).cast("string"))
-                   .when(F.col("_status") == "capitalization", F.col("_cell"))
-                   .otherwise(F.col("header")))
+    if aliases is None:
+        j = j.withColumns({"_fcol": F.lit(None).cast("int"), "_fcell": F.lit(None).cast("string")})
+    else:
+        classes = mapping.select("doc_id", "doc_class").distinct()
+        fits = match_candidates(header_cells, classes, aliases).groupBy("doc_id", "section", "field", "col_idx").agg(
+            F.min(F.struct("kind", (-F.col("similarity")).alias("s"))).alias("_b"), F.first("header").alias("cell"))
+        fits = fits.select("doc_id", "section", "field", "col_idx", "cell", F.col("_b.kind").alias("kind"), (-F.col("_b.s")).alias("similarity"))
+        own = fits.select("doc_id", "section", "field", F.col("col_idx").alias("_ccol"), F.lit(1).alias("_fit"))
+        j = j.join(own, ["doc_id", "section", "field", "_ccol"], "left")
+        # answers that name a cell which fits their field hold it; then those that name one which doesn't, unless something better is free
+        named = F.col("_status").isin("ok", CASING, FORMAT)
+        held = j.where(named & F.col("_fit").isNotNull()).select("doc_id", F.col("_ccol").alias("col_idx")).distinct()
+        open_slots = j.where(~named | F.col("_fit").isNull()).select("doc_id", "section", "section_ord", "field", "field_ord")
+        taken = _assigned(open_slots, fits.join(held, ["doc_id", "col_idx"], "left_anti"))
+        j = j.join(taken, ["doc_id", "section", "field"], "left")
+    found = F.col("_fcell").isNotNull()
+    j = j.withColumn("_status", F.when(found & (F.col("_status") == "none"), F.lit(MISSING)).when(found, F.lit(WRONG)).otherwise(F.col("_status")))
+    new_header = (F.when(found, F.col("_fcell")).when(F.col("_status") == EXTRA, F.lit(None).cast("string"))
+                   .when(F.col("_status").isin(CASING, FORMAT), F.col("_cell")).otherwise(F.col("header")))
+    new_col = F.when(found, F.col("_fcol")).when(F.col("_cell").isNotNull(), F.col("_ccol"))
     ws = Window.partitionBy("doc_id", "section")
-    n_mapped = F.sum(F.when(F.col("header").isNotNull(), 1).otherwise(0)).over(ws)
+    n_due = F.sum(F.when(F.col("_status") != "none", 1).otherwise(0)).over(ws)
     n_ok = F.sum(F.when(F.col("_status") == "ok", 1).otherwise(0)).over(ws)
-    out = j.select(*[c for c in mapping.columns if c not in ("header",)],
-                   new_header.alias("header"), F.col("header").alias("extracted_header"), "_status",
-                   F.when(n_mapped == 0, F.lit(1.0)).otherwise(n_ok / n_mapped).alias("validation_confidence"))
-    corrections = out.where(F.col("_status").isin("wrong mapping", "capitalization")).select(
+    out = j.select(*[c for c in mapping.columns if c not in ("header", "col_idx")],
+                   new_col.cast("int").alias("col_idx"), new_header.alias("header"), F.col("header").alias("extracted_header"), "_status",
+                   F.when(n_due == 0, F.lit(1.0)).otherwise(n_ok / n_due).alias("validation_confidence"))
+    corrections = out.where(~F.col("_status").isin("ok", "none")).select(
         "doc_id", "section", "field", F.col("extracted_header").alias("original_value"),
         F.col("header").alias("corrected_value"), F.col("_status").alias("error_type"))
     return out.drop("_status"), corrections
@@ -191,16 +298,24 @@ def name_similarity(field, header) -> F.Column:
 def resolve_conflicts(mapping: DataFrame) -> DataFrame:
     """Keep one field per claimed header; the others become null.
 
-    Winner order: section confidence, name similarity of field and header,
-    section order, field order.  Fields not in a conflict are unchanged.
-    Skewed headers are fine: the window only ranks rows of one (doc, header).
+    Winner order: section confidence, name similarity of field and header, consistency with the section, section order, field
+    order.  Consistency counts fields of the same section whose header nobody else claims: first the columns right beside the
+    contested one (where ``mapping`` has ``col_idx``), then all of them.  Fields not in a conflict are unchanged.
+    Windows hold the rows of one (doc, header) or (doc, section), both bounded by the configured fields.
     """
     eligible = (F.col("header").isNotNull() & (F.col("section") != "Context")
                 & (F.col("field") != "ValidationConfidence"))
-    w = Window.partitionBy("doc_id", F.when(eligible, F.col("header"))).orderBy(
-        F.col("confidence").desc_nulls_last(), name_similarity("field", "header").desc(),
-        F.col("section_ord").asc(), F.col("field_ord").asc())
-    r = mapping.withColumn("_rn", F.when(eligible, F.row_number().over(w)))
+    claimed = Window.partitionBy("doc_id", F.when(eligible, F.col("header")))
+    r = mapping.withColumn("_sure", F.coalesce(eligible & (F.count(F.lit(1)).over(claimed) == 1), F.lit(False)))
+    section = Window.partitionBy("doc_id", "section")
+    beside = F.lit(0)
+    if "col_idx" in mapping.columns:
+        r = r.withColumn("_cols", F.collect_set(F.when(F.col("_sure"), F.col("col_idx"))).over(section))
+        beside = F.array_contains("_cols", F.col("col_idx") - 1).cast("int") + F.array_contains("_cols", F.col("col_idx") + 1).cast("int")
+    r = r.withColumns({"_beside": F.coalesce(beside, F.lit(0)), "_settled": F.count(F.when(F.col("_sure"), 1)).over(section)})
+    w = claimed.orderBy(F.col("confidence").desc_nulls_last(), name_similarity("field", "header").desc(), F.col("_beside").desc(),
+                        F.col("_settled").desc(), F.col("section_ord").asc(), F.col("field_ord").asc())
+    r = r.withColumn("_rn", F.when(eligible, F.row_number().over(w)))
     return r.select(*[c for c in mapping.columns if c != "header"],
                     F.col("header").alias("header_before"),
                     F.when(F.coalesce(F.col("_rn"), F.lit(1)) == 1, F.col("header")).alias("header"))

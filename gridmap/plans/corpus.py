@@ -14,10 +14,14 @@ Layout for order key ``k``::
 
     b = k % 4 banner rows (col 0 only)   rows 0 .. b-1   (20 when k % 50 = 7: the header lies far down)
     a blank row when b > 0               row  b
-    header row                           row  h = b + (b > 0)
-    rule row '---' when k is even        row  h + 1
-    content: n-th line item of the order row  c0 + n - 1,  c0 = h + 1 + (k even)
+    nh header rows                       rows h .. h + nh - 1,  h = b + (b > 0)
+    rule row '---' when k is even        row  h + nh
+    content: n-th line item of the order row  c0 + n - 1,  c0 = h + nh + (k even)
              (ranked by line number, part, supplier, price, ship date)
+
+How a header is spelt depends on ``k % 10``: 3 deals the words of a header over two rows (not the variant of single words), 4 has
+lower case, 5 other punctuation, 6 a letter missing in texts of at least six, 7 three rows (first variant, longer texts), 8 a longer
+text in two columns.  When ``k % 20 = 9`` a row of terms and values, which looks like a header, stands in place of the banner.
 """
 
 from __future__ import annotations
@@ -32,6 +36,9 @@ HEADER_VARIANTS = [
     ["Code ISIN", "FONDS", "VL", "Devise", "Date VL", ""],
     ["CODE_ISIN", "Descrizione", "Quota", "Divisa", "Datum", ""],
 ]
+LONG_HEADERS = ["ISIN Code", "Fund Name and Class", "NAV per share", "Share currency", "NAV Date", ""]
+TERMS_ROW = ["Currency", "Price", "12.5", "Date", "NAV", "Quota"]
+LONGER = {1: " of the share", 2: " (latest)"}  # column -> ending of longer header texts
 FILE_TYPES = ["csv", "xls", "xlsx"]
 N_COLS = 6
 # column -> (section, field) of the true mapping
@@ -45,7 +52,28 @@ def _layout(k):
     b = F.when(k % 50 == 7, 20).otherwise(k % 4).cast("int")
     s = F.when(k % 2 == 0, 1).otherwise(0)
     h = b + F.when(b > 0, 1).otherwise(0)
-    return b, s, h, h + 1 + s
+    nh = F.when((k % 10 == 7) & (k % 3 == 0), 3).when((k % 10 == 3) & (k % 3 != 2), 2).otherwise(1)
+    return b, s, h, nh, h + nh + s
+
+
+def _header_text(k, col_idx: int):
+    """The whole header text of a column of document ``k``."""
+    base = F.array(*_variant_array(col_idx))[(k % 3).cast("int")]
+    text = (F.when((k % 10 == 7) & (k % 3 == 0), F.lit(LONG_HEADERS[col_idx]))
+            .when(k % 10 == 4, F.lower(base))
+            .when((k % 10 == 5) & (base != ""), F.concat(F.replace(base, F.lit(" "), F.lit("-")), F.lit(":")))
+            .when((k % 10 == 6) & (F.length(base) >= 6), F.concat(F.substring(base, 1, 2), F.substring(base, 4, 100))))
+    if col_idx in LONGER:
+        text = text.when(k % 10 == 8, F.concat(base, F.lit(LONGER[col_idx])))
+    return text.otherwise(base)
+
+
+def _header_part(text, nh, j):
+    """What of a header text stands in header row ``j`` of ``nh``: one word each, the rest in the last."""
+    first, second = F.split_part(text, F.lit(" "), F.lit(1)), F.split_part(text, F.lit(" "), F.lit(2))
+    rest1 = F.substr(text, F.length(first) + 2)
+    rest2 = F.substr(text, F.length(first) + F.length(second) + 3)
+    return F.when(nh == 1, text).when(j == 0, first).when(nh == 2, rest1).when(j == 1, second).otherwise(rest2)
 
 
 def corpus_docs(orders: DataFrame) -> DataFrame:
@@ -66,8 +94,9 @@ def _variant_array(col_idx):
 def corpus_cells(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """Long cells table ``(doc_id, row_idx, col_idx, value, num_format, is_number)``."""
     k = F.col("o_orderkey")
-    b, s, h, _c0 = _layout(k)
-    o = orders.select(k.alias("doc_id"), b.alias("b"), s.alias("s"), h.alias("h"), (k % 3).cast("int").alias("v"))
+    b, s, h, nh, _c0 = _layout(k)
+    o = orders.select(k.alias("doc_id"), b.alias("b"), s.alias("s"), h.alias("h"), nh.alias("nh"),
+                      F.array(*[_header_text(k, c) for c in range(N_COLS)]).alias("texts"))
 
     # all top rows of a document (banners, blank row, header, rule row) from one scan of orders:
     # one array of (row, col, value) structs per order, exploded once
@@ -75,21 +104,24 @@ def corpus_cells(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
         return F.struct(r.cast("int").alias("row_idx"), F.lit(c).alias("col_idx") if isinstance(c, int)
                         else c.cast("int").alias("col_idx"), v.alias("value"))
 
-    b_, s_, h_, v_ = F.col("b"), F.col("s"), F.col("h"), F.col("v")
+    b_, s_, h_, nh_ = F.col("b"), F.col("s"), F.col("h"), F.col("nh")
     empty = F.array().cast("array<struct<row_idx:int,col_idx:int,value:string>>")
     texts = F.array(*[F.lit(x) for x in BANNERS])
-    banners = [F.when(b_ > 0, F.transform(F.sequence(F.lit(0), b_ - 1), lambda i: cell(i, 0, F.get(texts, i % len(BANNERS)))))
+    terms = F.array(*[cell(F.lit(0), c, F.lit(t)) for c, t in enumerate(TERMS_ROW)])
+    banners = [F.when(F.col("doc_id") % 20 == 9, terms)
+               .when(b_ > 0, F.transform(F.sequence(F.lit(0), b_ - 1), lambda i: cell(i, 0, F.get(texts, i % len(BANNERS)))))
                .otherwise(empty)]
     blank = F.when(b_ > 0, F.array(*[cell(b_, c, F.lit("")) for c in range(N_COLS)])).otherwise(empty)
-    header = F.array(*[cell(h_, c, F.array(*_variant_array(c))[v_]) for c in range(N_COLS)])
-    rule = F.when(s_ == 1, F.array(*[cell(h_ + 1, c, F.lit("---" if c < N_COLS - 1 else ""))
+    header = F.flatten(F.transform(F.sequence(F.lit(0), nh_ - 1), lambda j: F.array(
+        *[cell(h_ + j, c, _header_part(F.get("texts", F.lit(c)), nh_, j)) for c in range(N_COLS)])))
+    rule = F.when(s_ == 1, F.array(*[cell(h_ + nh_, c, F.lit("---" if c < N_COLS - 1 else ""))
                                      for c in range(N_COLS)])).otherwise(empty)
     top = (o.select("doc_id", F.explode(F.concat(*banners, blank, header, rule)).alias("x"))
             .select("doc_id", "x.row_idx", "x.col_idx", "x.value")
             .withColumn("num_format", F.lit("General")).withColumn("is_number", F.lit(False)))
 
     lk = F.col("l_orderkey")
-    _b, _s, _h, c0 = _layout(lk)
+    *_top, c0 = _layout(lk)
     vals = F.array(
         F.concat(F.lit("LU"), F.lpad(F.col("l_partkey").cast("string"), 10, "0")),
         F.concat(F.lit("Fund "), F.col("l_suppkey").cast("string")),
@@ -110,10 +142,8 @@ def corpus_cells(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
 def corpus_truth(orders: DataFrame) -> DataFrame:
     """True mapping ``(doc_id, section, field, header, col_idx)`` of every document."""
     k = F.col("o_orderkey")
-    v = (k % 3).cast("int")
     entries = F.array(*[
-        F.struct(F.lit(sec).alias("section"), F.lit(fld).alias("field"), F.lit(c).alias("col_idx"),
-                 F.array(*_variant_array(c))[v].alias("header"))
+        F.struct(F.lit(sec).alias("section"), F.lit(fld).alias("field"), F.lit(c).alias("col_idx"), _header_text(k, c).alias("header"))
         for c, (sec, fld) in enumerate(TRUTH)])
     return (orders.select(k.alias("doc_id"), F.explode(entries).alias("t"))
                   .select("doc_id", "t.section", "t.field", "t.header", "t.col_idx"))
@@ -127,31 +157,45 @@ def _sql_arr(xs):
 def sql_corpus_ctes() -> str:
     """DuckDB CTEs ``corpus_docs``, ``corpus_cells``, ``corpus_truth`` (oracle side)."""
     hv = "[" + ", ".join(_sql_arr(v) for v in HEADER_VARIANTS) + "]"
+    base = f"({hv})[v + 1][c + 1]"
+    longer = " ".join(f"WHEN c = {c} AND doc_id % 10 = 8 THEN {base} || '{t}'" for c, t in LONGER.items())
+    text = f"""CASE WHEN nh = 3 THEN {_sql_arr(LONG_HEADERS)}[c + 1] WHEN doc_id % 10 = 4 THEN lower({base})
+                WHEN doc_id % 10 = 5 AND {base} <> '' THEN replace({base}, ' ', '-') || ':'
+                WHEN doc_id % 10 = 6 AND length({base}) >= 6 THEN substr({base}, 1, 2) || substr({base}, 4) {longer} ELSE {base} END"""
+    first, second = "split_part(header, ' ', 1)", "split_part(header, ' ', 2)"
+    part = f"""CASE WHEN nh = 1 THEN header WHEN j = 0 THEN {first} WHEN nh = 2 THEN substr(header, length({first}) + 2)
+                WHEN j = 1 THEN {second} ELSE substr(header, length({first}) + length({second}) + 3) END"""
+    nh = "CASE WHEN {k} % 10 = 7 AND {k} % 3 = 0 THEN 3 WHEN {k} % 10 = 3 AND {k} % 3 <> 2 THEN 2 ELSE 1 END"
     truth = ", ".join(f"('{s}', '{f}', {c})" for c, (s, f) in enumerate(TRUTH))
     return f"""
 corpus_o AS (
   SELECT *, b + CASE WHEN b > 0 THEN 1 ELSE 0 END AS h FROM (
-    SELECT o_orderkey AS doc_id, o_orderdate, CAST(CASE WHEN o_orderkey % 50 = 7 THEN 20 ELSE o_orderkey % 4 END AS INTEGER) AS b,
+    SELECT o_orderkey AS doc_id, o_orderdate, {nh.format(k='o_orderkey')} AS nh, CAST(CASE WHEN o_orderkey % 50 = 7 THEN 20 ELSE o_orderkey % 4 END AS INTEGER) AS b,
            CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS s, CAST(o_orderkey % 3 AS INTEGER) AS v
     FROM orders)),
 corpus_docs AS (
   SELECT doc_id, 'prices_' || CAST(doc_id AS VARCHAR) || '.' || strftime(o_orderdate, '%Y.%m.%d') AS doc_name,
          {_sql_arr(FILE_TYPES)}[CAST(doc_id % 3 AS INTEGER) + 1] AS file_type
   FROM corpus_o),
+corpus_headers AS (
+  SELECT *, {text} AS header FROM corpus_o, LATERAL (SELECT unnest(range({N_COLS})) AS c)),
 corpus_top AS (
   SELECT doc_id, CAST(r AS INTEGER) AS row_idx, 0 AS col_idx, {_sql_arr(BANNERS)}[r % {len(BANNERS)} + 1] AS value
-  FROM corpus_o, LATERAL (SELECT unnest(range(b)) AS r)
+  FROM corpus_o, LATERAL (SELECT unnest(range(b)) AS r) WHERE doc_id % 20 <> 9
+  UNION ALL
+  SELECT doc_id, 0, CAST(c AS INTEGER), {_sql_arr(TERMS_ROW)}[c + 1]
+  FROM corpus_o, LATERAL (SELECT unnest(range({N_COLS})) AS c) WHERE doc_id % 20 = 9
   UNION ALL
   SELECT doc_id, b, CAST(c AS INTEGER), '' FROM corpus_o, LATERAL (SELECT unnest(range({N_COLS})) AS c) WHERE b > 0
   UNION ALL
-  SELECT doc_id, h, CAST(c AS INTEGER), ({hv})[v + 1][c + 1] FROM corpus_o, LATERAL (SELECT unnest(range({N_COLS})) AS c)
+  SELECT doc_id, CAST(h + j AS INTEGER), CAST(c AS INTEGER), {part} FROM corpus_headers, LATERAL (SELECT unnest(range(nh)) AS j)
   UNION ALL
-  SELECT doc_id, h + 1, CAST(c AS INTEGER), CASE WHEN c < {N_COLS - 1} THEN '---' ELSE '' END
+  SELECT doc_id, h + nh, CAST(c AS INTEGER), CASE WHEN c < {N_COLS - 1} THEN '---' ELSE '' END
   FROM corpus_o, LATERAL (SELECT unnest(range({N_COLS})) AS c) WHERE s = 1),
 corpus_li AS (
   SELECT l_orderkey AS doc_id,
          CASE WHEN l_orderkey % 50 = 7 THEN 21 ELSE CAST(l_orderkey % 4 AS INTEGER) + CASE WHEN l_orderkey % 4 > 0 THEN 1 ELSE 0 END END
-           + 1 + CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE 0 END
+           + {nh.format(k='l_orderkey')} + CASE WHEN l_orderkey % 2 = 0 THEN 1 ELSE 0 END
            + row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) - 1 AS row_idx,
          ['LU' || lpad(CAST(l_partkey AS VARCHAR), 10, '0'),
           'Fund ' || CAST(l_suppkey AS VARCHAR),
@@ -160,7 +204,7 @@ corpus_li AS (
           strftime(l_shipdate, '%Y-%m-%d'),
           ''] AS vals
   FROM lineitem),
-corpus_cells AS (
+corpus_cells AS MATERIALIZED (
   SELECT doc_id, row_idx, col_idx, value, 'General' AS num_format, FALSE AS is_number FROM corpus_top
   UNION ALL
   SELECT doc_id, CAST(row_idx AS INTEGER), CAST(c AS INTEGER), vals[c + 1],
@@ -168,5 +212,5 @@ corpus_cells AS (
          c = 2
   FROM corpus_li, LATERAL (SELECT unnest(range({N_COLS})) AS c)),
 corpus_truth AS (
-  SELECT doc_id, t.section, t.field, ({hv})[v + 1][t.col_idx + 1] AS header, t.col_idx
-  FROM corpus_o, (VALUES {truth}) AS t(section, field, col_idx))"""
+  SELECT doc_id, t.section, t.field, o.header, t.col_idx
+  FROM corpus_headers o JOIN (VALUES {truth}) AS t(section, field, col_idx) ON o.c = t.col_idx)"""

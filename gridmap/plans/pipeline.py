@@ -95,9 +95,11 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = 0, end_row
     active = matched.select("doc_id", "doc_class")
 
     # 3. header detection, validation and gate (on the per-row statistics of active documents)
-    stats = rows.join(active.select("doc_id"), "doc_id", "left_semi").drop("cells", "line")
-    detected = H.detect_header(stats)
-    ctx = cut(H.validate_header(detected, stats))
+    todo_rows = rows.join(active.select("doc_id"), "doc_id", "left_semi")
+    stats = todo_rows.drop("cells", "line")
+    blocks = H.header_blocks(todo_rows, vocab)
+    detected = H.detect_header(stats, blocks)
+    ctx = cut(H.validate_header(detected, stats, blocks))
     passed, hdr_errors = H.header_gate(ctx)
 
     # 4. section scorer, validation, merge, conflict resolution
@@ -109,7 +111,7 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = 0, end_row
     best = S.best_matches(hdr_cells, docs_ok, al)
     checked, corrections = S.validate_sections(best.withColumn("confidence", F.lit(None).cast("double")), hdr_cells)
     merged_small = S.section_merge(checked.select(
-        "doc_id", "doc_class", "section", "section_ord", "field", "field_ord",
+        "doc_id", "doc_class", "section", "section_ord", "field", "field_ord", "col_idx",
         F.lit(True).alias("has_extracted"), "extracted_header", F.lit(True).alias("has_validated"),
         F.col("header").alias("validated_header"), F.col("validation_confidence").alias("validated_confidence")))
     resolved = (S.resolve_conflicts(merged_small) if dedup

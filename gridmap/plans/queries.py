@@ -136,9 +136,8 @@ def q_grid_markdown(spark, sf_dir):
 
 
 def _drop_sql(keys: str) -> str:
-    return _corpus_sql(f"""SELECT doc_id, row_idx, col_idx, value FROM corpus_cells c
-        WHERE EXISTS (SELECT 1 FROM corpus_cells x WHERE {' AND '.join(f'x.{k} = c.{k}' for k in keys.split(','))}
-                      AND NOT {Q.is_blank('x.value')})""")
+    return _corpus_sql(f"""SELECT doc_id, row_idx, col_idx, value FROM corpus_cells
+        QUALIFY max(CASE WHEN {Q.is_blank('value')} THEN 0 ELSE 1 END) OVER (PARTITION BY {keys}) = 1""")
 
 
 @query("drop_empty_cols", _drop_sql("doc_id,col_idx"))

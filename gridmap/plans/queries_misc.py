@@ -317,11 +317,9 @@ SELECT section, field, CAST(sum(CASE WHEN t.header IS NOT NULL THEN 1 ELSE 0 END
        CAST(sum(CASE WHEN p.header IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS predicted,
        CAST(sum(CASE WHEN p.header IS NOT NULL AND p.header = t.header THEN 1 ELSE 0 END) AS BIGINT) AS tp
 FROM (SELECT doc_id, section, field, header FROM pl_final) p
-FULL OUTER JOIN (SELECT doc_id, section, field, header FROM corpus_truth
-                 WHERE doc_id IN (SELECT doc_id FROM pl_final)) t USING (doc_id, section, field)
+FULL OUTER JOIN (SELECT doc_id, section, field, header FROM corpus_truth) t USING (doc_id, section, field)
 GROUP BY section, field"""))
 def q_mapping_f1(spark, sf_dir):
     cells, docs, orders = corpus(spark, sf_dir)
     pred = P.final_mapping(P.map_documents(cells, docs)).select("doc_id", "section", "field", "header")
-    truth = K.corpus_truth(orders).join(pred.select("doc_id").distinct(), "doc_id", "left_semi")
-    return EV.mapping_scores(pred, truth.select("doc_id", "section", "field", "header"))
+    return EV.mapping_scores(pred, K.corpus_truth(orders).select("doc_id", "section", "field", "header"))

@@ -43,10 +43,11 @@ def corpus(spark: SparkSession, sf_dir: str):
 def corpus_context(orders: DataFrame) -> DataFrame:
     """True header context of every corpus document (from the layout rule)."""
     k = F.col("o_orderkey")
-    b, s, h, c0 = K._layout(k)
-    return orders.select(k.alias("doc_id"), h.cast("int").alias("header_start"), h.cast("int").alias("header_end"),
+    _b, _s, h, nh, c0 = K._layout(k)
+    return orders.select(k.alias("doc_id"), h.cast("int").alias("header_start"), (h + nh - 1).cast("int").alias("header_end"),
                          c0.cast("int").alias("content_start"))
 
 
 SQL_CORPUS_CONTEXT = """corpus_ctx AS (
-  SELECT doc_id, h AS header_start, h AS header_end, CAST(h + 1 + s AS INTEGER) AS content_start FROM corpus_o)"""
+  SELECT doc_id, h AS header_start, CAST(h + nh - 1 AS INTEGER) AS header_end, CAST(h + nh + s AS INTEGER) AS content_start
+  FROM corpus_o)"""

@@ -110,74 +110,142 @@ def validate_class_cte(name: str, classified: str, name_best: str, content_best:
     ON c.doc_id = b.doc_id)"""
 
 
+def words_key(e: str) -> str:
+    return f"trim(regexp_replace(lower({e}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
+def spelling_key(e: str) -> str:
+    return f"coalesce(nullif({words_key(e)}, ''), lower({strip(e)}))"
+
+
 def row_stats_cte(name: str, cells: str) -> str:
+    from gridmap.operators.headers import parts_of
+
+    keys = sorted({r[5].strip().lower() for r in dims.alias_rows()})
+    parts = ", ".join("(" + dims.sql_lit(p) + ")" for p in parts_of(keys))
+    nb = f"NOT {is_blank('c.value')}"
+
+    def count(cond: str) -> str:
+        return f"CAST(sum(CASE WHEN {nb} AND {cond} THEN 1 ELSE 0 END) AS INTEGER)"
+
     return f"""{name}_keys AS (SELECT DISTINCT lower({strip('alias')}) AS k FROM aliases),
-{name} AS (
-  SELECT c.doc_id, c.row_idx,
-         CAST(sum(CASE WHEN NOT {is_blank('c.value')} THEN 1 ELSE 0 END) AS INTEGER) AS n_nonblank,
-         CAST(sum(CASE WHEN NOT {is_blank('c.value')} AND a.k IS NOT NULL THEN 1 ELSE 0 END) AS INTEGER) AS n_alias,
-         CAST(sum(CASE WHEN NOT {is_blank('c.value')} AND {is_numeric_text('c.value')} THEN 1 ELSE 0 END)
-              AS INTEGER) AS n_numeric,
+{name}_parts AS (SELECT * FROM (VALUES {parts}) AS t(k)),
+{name} AS MATERIALIZED (
+  SELECT c.doc_id, c.row_idx, {count('TRUE')} AS n_nonblank, {count('a.k IS NOT NULL')} AS n_alias,
+         {count('p.k IS NOT NULL')} AS n_part, {count(is_numeric_text('c.value'))} AS n_numeric,
          CAST(max(CASE WHEN {has_digit('c.value')} THEN 1 ELSE 0 END) AS INTEGER) AS has_digit
-  FROM {cells} c LEFT JOIN {name}_keys a ON lower({strip('c.value')}) = a.k
+  FROM {cells} c LEFT JOIN {name}_keys a ON lower({strip('c.value')}) = a.k LEFT JOIN {name}_parts p ON lower({strip('c.value')}) = p.k
   GROUP BY c.doc_id, c.row_idx)"""
 
 
-def detect_header_cte(name: str, stats: str) -> str:
+def header_blocks_cte(name: str, cells: str, stats: str) -> str:
+    """Blocks of two or three neighbouring header-like rows with the hits of their joined texts."""
+    return f"""{name}_like AS MATERIALIZED (SELECT doc_id, row_idx FROM {stats} WHERE n_part > 0 AND has_digit = 0),
+{name}_all AS MATERIALIZED (
+  SELECT a.doc_id, a.row_idx AS s, b.row_idx AS e FROM {name}_like a JOIN {name}_like b ON b.doc_id = a.doc_id AND b.row_idx = a.row_idx + 1
+  UNION ALL
+  SELECT a.doc_id, a.row_idx, c.row_idx FROM {name}_like a JOIN {name}_like b ON b.doc_id = a.doc_id AND b.row_idx = a.row_idx + 1
+  JOIN {name}_like c ON c.doc_id = a.doc_id AND c.row_idx = a.row_idx + 2),
+{name}_texts AS (
+  SELECT x.doc_id, x.s, x.e, c.col_idx, string_agg(c.value, ' ' ORDER BY c.row_idx) AS t
+  FROM {name}_all x JOIN {cells} c ON c.doc_id = x.doc_id AND c.row_idx BETWEEN x.s AND x.e WHERE NOT {is_blank('c.value')}
+  GROUP BY x.doc_id, x.s, x.e, c.col_idx),
+{name} AS MATERIALIZED (
+  SELECT doc_id, s, e, count(a.k) AS n_alias, count(*) AS n_texts FROM {name}_texts
+  LEFT JOIN {stats}_keys a ON lower({strip('t')}) = a.k GROUP BY doc_id, s, e HAVING count(a.k) > 0)"""
+
+
+def header_candidates_cte(name: str, stats: str, blocks: str) -> str:
     share = "CASE WHEN n_nonblank > 0 THEN (n_nonblank - n_numeric) / n_nonblank END"
-    text_key = f"CASE WHEN n_alias = 0 AND n_nonblank >= 2 THEN {share} ELSE 0.0 END"
-    conf = f"CASE WHEN n_alias > 0 THEN n_alias / n_nonblank ELSE coalesce({share}, 0.0) END"
-    return f"""{name}_rk AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n_alias DESC, {text_key} DESC, row_idx) AS rn,
-         {conf} AS conf
-  FROM {stats}),
-{name}_h AS (SELECT doc_id, row_idx AS h, conf FROM {name}_rk WHERE rn = 1),
-{name} AS (
-  SELECT h.doc_id, CAST(h.h AS INTEGER) AS header_start, CAST(h.h AS INTEGER) AS header_end,
-         CAST(coalesce(min(CASE WHEN s.row_idx > h.h AND s.has_digit = 1 THEN s.row_idx END), h.h + 1) AS INTEGER)
-           AS content_start,
-         CAST(max(s.row_idx) + 1 AS INTEGER) AS n_rows, CAST(h.conf AS DOUBLE) AS confidence
-  FROM {name}_h h JOIN {stats} s ON s.doc_id = h.doc_id
-  GROUP BY h.doc_id, h.h, h.conf)"""
+    return f"""{name} AS (
+  SELECT doc_id, row_idx AS s, row_idx AS e, n_alias, CASE WHEN n_alias = 0 AND n_nonblank >= 2 THEN {share} ELSE 0.0 END AS txt,
+         CASE WHEN n_alias > 0 THEN n_alias / n_nonblank ELSE coalesce({share}, 0.0) END AS conf, n_numeric FROM {stats}
+  UNION ALL
+  SELECT doc_id, s, e, n_alias, 0.0, n_alias / n_texts, 0 FROM {blocks})"""
 
 
-def validate_header_cte(name: str, ctx: str, stats: str) -> str:
-    c1 = ("(x.header_start >= 0 AND x.header_start <= x.header_end AND x.header_end < x.content_start "
-          "AND x.content_start <= x.n_rows)")
-    c2 = "(coalesce(hs.n_numeric, 1) = 0)"
-    c3 = "(coalesce(cs.has_digit, 0) = 1)"
+def detect_header_cte(name: str, stats: str, candidates: str) -> str:
+    return f"""{name}_h AS (
+  SELECT doc_id, s, e, conf, max(e) OVER (PARTITION BY doc_id) + 1 AS n FROM {candidates}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n_alias DESC, txt DESC, e - s, s) = 1),
+{name} AS MATERIALIZED (
+  SELECT h.doc_id, CAST(h.s AS INTEGER) AS header_start, CAST(h.e AS INTEGER) AS header_end,
+         CAST(coalesce(min(CASE WHEN r.row_idx > h.e AND r.has_digit = 1 THEN r.row_idx END), h.e + 1) AS INTEGER) AS content_start,
+         CAST(h.n AS INTEGER) AS n_rows, CAST(h.conf AS DOUBLE) AS confidence
+  FROM {name}_h h JOIN {stats} r ON r.doc_id = h.doc_id
+  GROUP BY h.doc_id, h.s, h.e, h.n, h.conf)"""
 
-    def b(c):
-        return f"CASE WHEN coalesce({c}, FALSE) THEN 1 ELSE 0 END"
 
-    return f"""{name} AS (
+def validate_header_cte(name: str, ctx: str, stats: str, candidates: str) -> str:
+    from gridmap.operators.headers import REACH
+
+    def passed(s, e, c, n, numeric, digit):
+        checks = [f"{s} >= 0 AND {s} <= {e} AND {e} < {c} AND {c} <= {n}", f"coalesce({numeric}, 1) = 0", f"coalesce({digit}, 0) = 1"]
+        return " + ".join(f"CASE WHEN coalesce({x}, FALSE) THEN 1 ELSE 0 END" for x in checks)
+
+    return f"""{name}_checked AS MATERIALIZED (
   SELECT x.doc_id, x.header_start, x.header_end, x.content_start, x.n_rows,
-         ({b(c1)} + {b(c2)} + {b(c3)}) / 3.0 AS confidence
+         {passed('x.header_start', 'x.header_end', 'x.content_start', 'x.n_rows', 'hs.n_numeric', 'cs.has_digit')} AS passed
   FROM {ctx} x LEFT JOIN {stats} hs ON hs.doc_id = x.doc_id AND hs.row_idx = x.header_end
-               LEFT JOIN {stats} cs ON cs.doc_id = x.doc_id AND cs.row_idx = x.content_start)"""
+               LEFT JOIN {stats} cs ON cs.doc_id = x.doc_id AND cs.row_idx = x.content_start),
+{name}_near AS (
+  SELECT c.doc_id, c.s, c.e, c.n_alias, c.n_numeric, f.header_start AS anchor, f.n_rows, min(d.row_idx) AS cs
+  FROM {candidates} c JOIN {name}_checked f ON f.doc_id = c.doc_id AND f.passed < 3 AND abs(c.s - f.header_start) <= {REACH}
+  LEFT JOIN {stats} d ON d.doc_id = c.doc_id AND d.has_digit = 1 AND d.row_idx > c.e
+                     AND d.row_idx BETWEEN f.header_start - {REACH} AND f.header_start + {2 * REACH}
+  GROUP BY ALL),
+{name}_better AS (
+  SELECT doc_id, s, e, coalesce(cs, e + 1) AS c,
+         {passed('s', 'e', 'coalesce(cs, e + 1)', 'n_rows', 'n_numeric', 'CASE WHEN cs IS NULL THEN 0 ELSE 1 END')} AS p
+  FROM {name}_near QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY p DESC, n_alias DESC, abs(s - anchor), s, e) = 1),
+{name} AS MATERIALIZED (
+  SELECT x.doc_id, CAST(CASE WHEN b.p > x.passed THEN b.s ELSE x.header_start END AS INTEGER) AS header_start,
+         CAST(CASE WHEN b.p > x.passed THEN b.e ELSE x.header_end END AS INTEGER) AS header_end,
+         CAST(CASE WHEN b.p > x.passed THEN b.c ELSE x.content_start END AS INTEGER) AS content_start, x.n_rows,
+         greatest(x.passed, coalesce(b.p, 0)) / 3.0 AS confidence, coalesce(b.p > x.passed, FALSE) AS moved
+  FROM {name}_checked x LEFT JOIN {name}_better b ON b.doc_id = x.doc_id)"""
 
 
 def flatten_headers_cte(name: str, cells: str, ctx: str) -> str:
-    return f"""{name} AS (
+    return f"""{name} AS MATERIALIZED (
   SELECT c.doc_id, c.col_idx, string_agg(c.value, ' ' ORDER BY c.row_idx) AS header
   FROM {cells} c JOIN {ctx} x ON c.doc_id = x.doc_id
   WHERE c.row_idx BETWEEN x.header_start AND x.header_end AND NOT {is_blank('c.value')}
   GROUP BY c.doc_id, c.col_idx)"""
 
 
-def extract_sections_cte(name: str, hdr: str, docs_cls: str) -> str:
+def match_candidates_cte(name: str, hdr: str, docs_cls: str) -> str:
+    """All fits of header cells and spellings; texts that equal no spelling are held against all of them."""
+    longer = "greatest(length(key), length(akey))"
+    allowed = f"CASE WHEN {longer} >= 16 THEN 3 WHEN {longer} >= 9 THEN 2 WHEN {longer} >= 5 THEN 1 ELSE 0 END"
+    inside = "instr(' ' || key || ' ', ' ' || akey || ' ') > 0 OR (instr(' ' || akey || ' ', ' ' || key || ' ') > 0 AND instr(key, ' ') > 0)"
+    near = f"length(key) >= 4 AND length(akey) >= 4 AND levenshtein(key, akey) <= {allowed}"
+    h, a = strip("header"), strip("alias")
+    return f"""{name}_al AS MATERIALIZED (SELECT *, {spelling_key('alias')} AS akey FROM aliases),
+{name}_hc AS MATERIALIZED (
+  SELECT h.doc_id, d.doc_class, h.col_idx, h.header, {spelling_key('h.header')} AS key
+  FROM {hdr} h JOIN {docs_cls} d ON h.doc_id = d.doc_id WHERE NOT {is_blank('h.header')}),
+{name}_odd AS MATERIALIZED (
+  SELECT DISTINCT doc_class, key FROM {name}_hc WHERE (doc_class, key) NOT IN (SELECT (doc_class, akey) FROM {name}_al)),
+{name}_sim AS MATERIALIZED (
+  SELECT t.key, a.*, CASE WHEN {inside} THEN 4 ELSE 5 END AS kind,
+         CASE WHEN {inside} THEN least(length(key), length(akey)) / {longer} ELSE 1 - levenshtein(key, akey) / {longer} END AS similarity
+  FROM {name}_odd t JOIN {name}_al a ON a.doc_class = t.doc_class WHERE {inside} OR ({near})),
+{name} AS MATERIALIZED (
+  SELECT c.doc_id, c.doc_class, c.col_idx, c.header, a.section, a.section_ord, a.field, a.field_ord, a.alias, a.alias_ord,
+         CASE WHEN {h} = {a} THEN 1 WHEN lower({h}) = lower({a}) THEN 2 ELSE 3 END AS kind, 1.0 AS similarity
+  FROM {name}_hc c JOIN {name}_al a ON a.doc_class = c.doc_class AND a.akey = c.key
+  UNION ALL
+  SELECT c.doc_id, c.doc_class, c.col_idx, c.header, a.section, a.section_ord, a.field, a.field_ord, a.alias, a.alias_ord, a.kind, a.similarity
+  FROM {name}_hc c JOIN {name}_sim a ON a.doc_class = c.doc_class AND a.key = c.key)"""
+
+
+def extract_sections_cte(name: str, candidates: str, docs_cls: str) -> str:
     return f"""{name}_best AS (
-  SELECT doc_id, section, field, col_idx, header, match_kind FROM (
-    SELECT h.doc_id, a.section, a.field, h.col_idx,
-           CASE WHEN {strip('h.header')} = {strip('a.alias')} THEN h.header ELSE a.alias END AS header,
-           CASE WHEN {strip('h.header')} = {strip('a.alias')} THEN 1 ELSE 2 END AS match_kind,
-           row_number() OVER (PARTITION BY h.doc_id, a.section, a.field
-                              ORDER BY CASE WHEN {strip('h.header')} = {strip('a.alias')} THEN 1 ELSE 2 END,
-                                       h.col_idx, a.alias_ord) AS rn
-    FROM {hdr} h JOIN {docs_cls} d ON h.doc_id = d.doc_id
-    JOIN aliases a ON a.doc_class = d.doc_class AND lower({strip('h.header')}) = lower({strip('a.alias')})
-    WHERE NOT {is_blank('h.header')}) WHERE rn = 1),
-{name} AS (
+  SELECT doc_id, section, field, col_idx, CASE WHEN kind IN (2, 3) THEN alias ELSE header END AS header, kind AS match_kind
+  FROM {candidates}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, section, field ORDER BY kind, similarity DESC, col_idx, alias_ord) = 1),
+{name} AS MATERIALIZED (
   SELECT d.doc_id, d.doc_class, f.section, f.section_ord, f.field, f.field_ord, f.field_type,
          b.header, b.col_idx, b.match_kind,
          count(b.header) OVER (PARTITION BY d.doc_id, f.section) / count(*) OVER (PARTITION BY d.doc_id, f.section)
@@ -186,28 +254,51 @@ def extract_sections_cte(name: str, hdr: str, docs_cls: str) -> str:
   LEFT JOIN {name}_best b ON b.doc_id = d.doc_id AND b.section = f.section AND b.field = f.field)"""
 
 
-def validate_sections_cte(name: str, mapping: str, hdr: str) -> str:
-    return f"""{name}_j AS (
-  SELECT * FROM (
-    SELECT m.*, c.header AS cell, c.col_idx AS ccol,
-           row_number() OVER (PARTITION BY m.doc_id, m.section, m.field
-                              ORDER BY CASE WHEN {strip('c.header')} = {strip('m.header')} THEN 0 ELSE 1 END,
-                                       c.col_idx NULLS LAST) AS rn
-    FROM {mapping} m LEFT JOIN (SELECT * FROM {hdr} WHERE NOT {is_blank('header')}) c
-      ON c.doc_id = m.doc_id AND lower({strip('c.header')}) = lower({strip('m.header')})) WHERE rn = 1),
-{name}_s AS (
-  SELECT *, CASE WHEN header IS NULL THEN 'none' WHEN cell IS NULL THEN 'wrong mapping'
-                 WHEN {strip('cell')} = {strip('header')} THEN 'ok' ELSE 'capitalization' END AS status
-  FROM {name}_j),
-{name} AS (
-  SELECT doc_id, doc_class, section, section_ord, field, field_ord, field_type, col_idx, match_kind, confidence,
-         CASE WHEN status = 'wrong mapping' THEN NULL WHEN status = 'capitalization' THEN cell ELSE header END
-           AS header,
+def validate_sections_cte(name: str, mapping: str, hdr: str, candidates: str | None = None, rounds: int = 6) -> str:
+    """``candidates``: fits of cells and fields, for missing and wrong answers; they are assigned in rounds of mutual best pairs."""
+    c, m = strip("c.header"), strip("m.header")
+    pref = f"CASE WHEN {c} = {m} THEN 0 WHEN lower({c}) = lower({m}) THEN 1 ELSE 2 END"
+    ctes = [f"""{name}_j AS MATERIALIZED (
+  SELECT m.*, c.header AS cell, c.col_idx AS ccol,
+         CASE WHEN m.header IS NULL THEN 'none' WHEN c.header IS NULL THEN 'extra' WHEN {c} = {m} THEN 'ok'
+              WHEN lower({c}) = lower({m}) THEN 'capitalization' ELSE 'formatting' END AS found
+  FROM {mapping} m LEFT JOIN (SELECT * FROM {hdr} WHERE NOT {is_blank('header')}) c
+    ON c.doc_id = m.doc_id AND {spelling_key('c.header')} = {spelling_key('m.header')}
+  QUALIFY row_number() OVER (PARTITION BY m.doc_id, m.section, m.field ORDER BY {pref}, c.col_idx NULLS LAST) = 1)"""]
+    taken = f"(SELECT CAST(NULL AS BIGINT) AS doc_id, '' AS section, '' AS field, CAST(NULL AS INTEGER) AS col_idx, '' AS cell WHERE FALSE)"
+    if candidates:
+        ctes.append(f"""{name}_fits AS MATERIALIZED (
+  SELECT doc_id, section, field, col_idx, header AS cell, kind, similarity FROM {candidates}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, section, field, col_idx ORDER BY kind, similarity DESC) = 1),
+{name}_fj AS MATERIALIZED (
+  SELECT j.*, f.doc_id IS NOT NULL AS fit FROM {name}_j j LEFT JOIN {name}_fits f
+    ON f.doc_id = j.doc_id AND f.section = j.section AND f.field = j.field AND f.col_idx = j.ccol),
+{name}_r0 AS MATERIALIZED (
+  SELECT f.*, row_number() OVER (PARTITION BY f.doc_id ORDER BY f.kind, f.similarity DESC, f.col_idx, j.section_ord, j.field_ord) AS rn
+  FROM {name}_fits f JOIN {name}_fj j ON f.doc_id = j.doc_id AND f.section = j.section AND f.field = j.field
+  WHERE (j.found IN ('none', 'extra') OR NOT j.fit)
+    AND (f.doc_id, f.col_idx) NOT IN (SELECT (doc_id, ccol) FROM {name}_fj WHERE found NOT IN ('none', 'extra') AND fit))""")
+        for i in range(rounds):
+            ctes.append(f"""{name}_t{i} AS MATERIALIZED (
+  SELECT * FROM {name}_r{i} QUALIFY rn = min(rn) OVER (PARTITION BY doc_id, section, field) AND rn = min(rn) OVER (PARTITION BY doc_id, col_idx)),
+{name}_r{i + 1} AS MATERIALIZED (
+  SELECT r.* FROM {name}_r{i} r WHERE NOT EXISTS (SELECT 1 FROM {name}_t{i} t WHERE t.doc_id = r.doc_id AND t.col_idx = r.col_idx)
+    AND NOT EXISTS (SELECT 1 FROM {name}_t{i} t WHERE t.doc_id = r.doc_id AND t.section = r.section AND t.field = r.field))""")
+        taken = "(" + " UNION ALL ".join(f"SELECT doc_id, section, field, col_idx, cell FROM {name}_t{i}" for i in range(rounds)) + ")"
+    ctes.append(f"""{name}_s AS MATERIALIZED (
+  SELECT j.*, t.cell AS tcell, t.col_idx AS tcol,
+         CASE WHEN t.cell IS NOT NULL AND j.found = 'none' THEN 'missing' WHEN t.cell IS NOT NULL THEN 'wrong mapping' ELSE j.found END AS status
+  FROM {name}_j j LEFT JOIN {taken} t ON t.doc_id = j.doc_id AND t.section = j.section AND t.field = j.field),
+{name} AS MATERIALIZED (
+  SELECT doc_id, doc_class, section, section_ord, field, field_ord, field_type, match_kind, confidence,
+         coalesce(tcol, ccol) AS col_idx,
+         CASE WHEN tcell IS NOT NULL THEN tcell WHEN status = 'extra' THEN NULL WHEN status IN ('capitalization', 'formatting') THEN cell
+              ELSE header END AS header,
          header AS extracted_header, status,
-         CASE WHEN sum(CASE WHEN header IS NOT NULL THEN 1 ELSE 0 END) OVER w = 0 THEN 1.0
-              ELSE sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) OVER w
-                   / sum(CASE WHEN header IS NOT NULL THEN 1 ELSE 0 END) OVER w END AS validation_confidence
-  FROM {name}_s WINDOW w AS (PARTITION BY doc_id, section))"""
+         CASE WHEN count(*) FILTER (WHERE status <> 'none') OVER w = 0 THEN 1.0
+              ELSE count(*) FILTER (WHERE status = 'ok') OVER w / count(*) FILTER (WHERE status <> 'none') OVER w END AS validation_confidence
+  FROM {name}_s WINDOW w AS (PARTITION BY doc_id, section))""")
+    return ",\n".join(ctes)
 
 
 def name_similarity(f: str, h: str) -> str:
@@ -218,14 +309,21 @@ def name_similarity(f: str, h: str) -> str:
 
 def resolve_conflicts_cte(name: str, mapping: str) -> str:
     elig = "(header IS NOT NULL AND section <> 'Context' AND field <> 'ValidationConfidence')"
-    return f"""{name} AS (
-  SELECT * EXCLUDE (rn, header), header AS header_before,
+    cols = "list(CASE WHEN sure THEN col_idx END) OVER s"
+    return f"""{name}_sure AS (
+  SELECT *, {elig} AND count(*) OVER (PARTITION BY doc_id, CASE WHEN {elig} THEN header END) = 1 AS sure FROM {mapping}),
+{name}_near AS (
+  SELECT *, CASE WHEN list_contains({cols}, col_idx - 1) THEN 1 ELSE 0 END + CASE WHEN list_contains({cols}, col_idx + 1) THEN 1 ELSE 0 END AS beside,
+         count(*) FILTER (WHERE sure) OVER s AS settled
+  FROM {name}_sure WINDOW s AS (PARTITION BY doc_id, section)),
+{name} AS (
+  SELECT * EXCLUDE (rn, header, sure, beside, settled), header AS header_before,
          CASE WHEN coalesce(rn, 1) = 1 THEN header END AS header
   FROM (SELECT *, CASE WHEN {elig} THEN row_number() OVER (
                      PARTITION BY doc_id, CASE WHEN {elig} THEN header END
-                     ORDER BY confidence DESC NULLS LAST, {name_similarity('field', 'header')} DESC,
+                     ORDER BY confidence DESC NULLS LAST, {name_similarity('field', 'header')} DESC, beside DESC, settled DESC,
                               section_ord, field_ord) END AS rn
-        FROM {mapping}))"""
+        FROM {name}_near))"""
 
 
 def dims_ctes() -> str:
@@ -253,20 +351,23 @@ def mapping_pipeline_ctes() -> list[str]:
         best_label_cte("pl_cbest", "pl_line_toks"),
         validate_class_cte("pl_checked", "pl_cls", "pl_nbest", "pl_cbest"),
         f"pl_cfg AS (SELECT * FROM (VALUES {configs}) AS t(config_name, config_class))",
-        f"pl_active AS (SELECT c.doc_id, c.validated_class AS doc_class FROM pl_checked c "
+        f"pl_active AS MATERIALIZED (SELECT c.doc_id, c.validated_class AS doc_class FROM pl_checked c "
         f"JOIN pl_cfg g ON replace(c.validated_class, ' ', '_') = g.config_name "
         f"WHERE c.validated_class <> '{D.NONE_LABEL}')",
-        "pl_win_a AS (SELECT * FROM pl_win WHERE doc_id IN (SELECT doc_id FROM pl_active))",
+        "pl_win_a AS MATERIALIZED (SELECT * FROM pl_win WHERE doc_id IN (SELECT doc_id FROM pl_active))",
         row_stats_cte("pl_stats", "pl_win_a"),
-        detect_header_cte("pl_det", "pl_stats"),
-        validate_header_cte("pl_ctx", "pl_det", "pl_stats"),
+        header_blocks_cte("pl_blocks", "pl_win_a", "pl_stats"),
+        header_candidates_cte("pl_cand", "pl_stats", "pl_blocks"),
+        detect_header_cte("pl_det", "pl_stats", "pl_cand"),
+        validate_header_cte("pl_ctx", "pl_det", "pl_stats", "pl_cand"),
         f"pl_pass AS (SELECT * FROM pl_ctx WHERE coalesce(confidence >= {D.HEADER_CONFIDENCE_THRESHOLD}, FALSE))",
         flatten_headers_cte("pl_hdr", "pl_win_a", "pl_pass"),
         "pl_docs_ok AS (SELECT * FROM pl_active WHERE doc_id IN (SELECT doc_id FROM pl_pass))",
-        extract_sections_cte("pl_ext", "pl_hdr", "pl_docs_ok"),
+        match_candidates_cte("pl_fit", "pl_hdr", "pl_docs_ok"),
+        extract_sections_cte("pl_ext", "pl_fit", "pl_docs_ok"),
         validate_sections_cte("pl_val", "pl_ext", "pl_hdr"),
         """pl_merged AS (
-  SELECT e.doc_id, e.doc_class, e.section, e.section_ord, e.field, e.field_ord, e.field_type,
+  SELECT e.doc_id, e.doc_class, e.section, e.section_ord, e.field, e.field_ord, e.field_type, v.col_idx,
          v.header AS header, coalesce(v.validation_confidence, 0.9) AS confidence, 'validated' AS source
   FROM pl_ext e JOIN pl_val v ON e.doc_id = v.doc_id AND e.section = v.section AND e.field = v.field)""",
         resolve_conflicts_cte("pl_final", "pl_merged"),
