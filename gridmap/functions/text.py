@@ -31,6 +31,12 @@ def strip(c) -> Column:
     return F.btrim(col_(c), F.lit(STRIP_CHARS))
 
 
+def is_one_of(column: str, values) -> Column:
+    """Whether a column is one of many fixed texts (one expression, where ``isin`` would make an object of each text)."""
+    texts = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"`{column}` IN ({texts})") if texts else F.lit(False)
+
+
 def words_key(c) -> Column:
     """Lower-case words (runs of letters and digits) with one space between: the text without its formatting."""
     return F.btrim(F.regexp_replace(F.lower(col_(c)), "[^\\p{L}\\p{N}]+", " "))

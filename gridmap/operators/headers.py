@@ -84,7 +84,7 @@ def _marked(cells: DataFrame, aliases) -> DataFrame:
     key = F.lower(T.strip("value"))
     if isinstance(aliases, (list, tuple, set, frozenset)):
         keys = sorted({str(a).strip(T.STRIP_CHARS).lower() for a in aliases})
-        return cells.withColumns({"_hit": F.when(key.isin(keys), 1), "_part": F.when(key.isin(parts_of(keys)), 1)})
+        return cells.withColumn("_k", key).withColumns({"_hit": F.when(T.is_one_of("_k", keys), 1), "_part": F.when(T.is_one_of("_k", parts_of(keys)), 1)})
     c = cells.withColumn("_k", key)
     c = c.join(alias_keys(aliases).withColumn("_hit", F.lit(1)), "_k", "left")
     return c.join(_alias_parts(aliases).withColumn("_part", F.lit(1)), "_k", "left")
@@ -109,11 +109,12 @@ def header_blocks(rows: DataFrame, aliases) -> DataFrame:
              .select("doc_id", "s", (F.col("row_idx") - F.col("s")).alias("j"), F.explode("cells").alias("c"))
              .select("doc_id", "s", "j", F.col("c.col_idx").alias("col_idx"), F.col("c.value").alias("value")).where(~T.is_blank("value")))
     parts = [F.max(F.when(F.col("j") == j, F.col("value"))).alias(f"t{j}") for j in range(MAX_HEADER_ROWS)]
-    columns = cells.groupBy("doc_id", "s", "col_idx").agg(*parts)
+    columns = cells.repartition("doc_id", "s").groupBy("doc_id", "s", "col_idx").agg(*parts)  # one exchange for both groupings
     texts = [F.concat_ws(" ", *[f"t{j}" for j in range(n)]) for n in range(2, MAX_HEADER_ROWS + 1)]
     if isinstance(aliases, (list, tuple, set, frozenset)):
         keys = sorted({str(a).strip(T.STRIP_CHARS).lower() for a in aliases})
-        hits = [F.lower(T.strip(t)).isin(keys) for t in texts]
+        columns = columns.withColumns({f"_k{n}": F.lower(T.strip(t)) for n, t in enumerate(texts)})
+        hits = [T.is_one_of(f"_k{n}", keys) for n in range(len(texts))]
     else:
         for n, t in enumerate(texts):
             columns = columns.withColumn("_k", F.lower(T.strip(t))).join(alias_keys(aliases).withColumn(f"_h{n}", F.lit(1)), "_k", "left").drop("_k")

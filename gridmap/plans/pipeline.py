@@ -13,7 +13,9 @@ failing the job.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,9 +42,18 @@ class MappingResult:
     header_cells: DataFrame   # header text per (doc, column)
     detected: DataFrame = None      # header scorer output before validation
     validated_ctx: DataFrame = None  # header context after validation (before the gate)
-    extracted: DataFrame = None     # section scorer output
-    validated: DataFrame = None     # section validation output
     active: DataFrame = None        # documents with a configured class
+    full_width: Callable = None     # builds the section scorer's output for all fields
+
+    @cached_property
+    def extracted(self) -> DataFrame:
+        """Section scorer output, a row for each field; built only when asked for (stage queries, debugging)."""
+        return self.full_width()
+
+    @cached_property
+    def validated(self) -> DataFrame:
+        """Section validation output, a row for each field."""
+        return S.validate_sections(self.extracted, self.header_cells)[0]
 
 
 def configs_frame(spark, configs=None) -> DataFrame:
@@ -63,10 +74,10 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = 0, end_row
     answers) used instead of the rule class scorer; its answers are parsed by
     the same ladder, and documents whose scoring failed go to ``errors``.
 
-    ``checkpoint`` (default on) cuts the lineage at three boundaries with a
+    ``checkpoint`` (default on) cuts the lineage at four boundaries with a
     reliable checkpoint in the shared checkpoint folder: the summary of each
-    grid row, the
-    per-document class decisions and the per-document header contexts.  Later stages then start
+    grid row, the per-document class decisions, the detected headers and the
+    validated header contexts.  Later stages then start
     from stored data after an executor loss, and the plan stays small even
     though several stages read the same inputs.
     """
@@ -98,7 +109,7 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = 0, end_row
     todo_rows = rows.join(active.select("doc_id"), "doc_id", "left_semi")
     stats = todo_rows.drop("cells", "line")
     blocks = H.header_blocks(todo_rows, vocab)
-    detected = H.detect_header(stats, blocks)
+    detected = cut(H.detect_header(stats, blocks))
     ctx = cut(H.validate_header(detected, stats, blocks))
     passed, hdr_errors = H.header_gate(ctx)
 
@@ -130,16 +141,12 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = 0, end_row
     if section_threshold is not None:   # optional section gate (off by default)
         mapping = mapping.withColumn("header", F.when(F.col("confidence") >= section_threshold, F.col("header")))
 
-    # full-width stage outputs, computed only when asked for (stage queries, debugging)
-    extracted = S.extract_sections(hdr_cells, docs_ok, fd, al)
-    validated, _ = S.validate_sections(extracted, hdr_cells)
-
     errors = cfg_errors.select(*ERROR_COLUMNS).unionByName(hdr_errors.select(*ERROR_COLUMNS))
     if scorer_errors is not None:
         errors = errors.unionByName(scorer_errors.select(*ERROR_COLUMNS))
     return MappingResult(mapping=mapping, context=passed, classes=decided, finished=finished,
                          errors=errors, corrections=corrections, header_cells=hdr_cells, detected=detected,
-                         validated_ctx=ctx, extracted=extracted, validated=validated, active=active)
+                         validated_ctx=ctx, active=active, full_width=lambda: S.extract_sections(hdr_cells, docs_ok, fd, al))
 
 
 def _model_decisions(docs: DataFrame, lines: DataFrame, class_scorer):
