@@ -15,6 +15,14 @@ from gridmap.plans import defaults as D
 MSG_COLUMNS = ["conv_id", "msg_idx", "role", "content"]
 
 
+def turn_pairs(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, user_text, assistant_text): a user turn and the assistant reply at turn + 1 (an equi-join)."""
+    u = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("user_text"))
+    a = turns.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("assistant_text"))
+    return u.join(a, ["conv_id", "turn"])
+
+
 def example_pairs(turns: DataFrame, k: int | None = None) -> DataFrame:
     """(conv_id, turn, user_text, assistant_text, pair_no): a user turn and the assistant reply at turn + 1.
 
@@ -24,10 +32,7 @@ def example_pairs(turns: DataFrame, k: int | None = None) -> DataFrame:
     (partial aggregation, no ordered window over a conversation); with
     ``k=None`` every pair is numbered with a window.
     """
-    u = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("user_text"))
-    a = turns.where(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("assistant_text"))
-    pairs = u.join(a, ["conv_id", "turn"])
+    pairs = turn_pairs(turns)
     if k is None:
         wp = Window.partitionBy("conv_id").orderBy("turn")
         return pairs.withColumn("pair_no", F.row_number().over(wp))
@@ -81,7 +86,7 @@ def tool_call_id(*cols) -> F.Column:
 
 def tool_messages(turns: DataFrame, output_text: str = D.TOOL_OUTPUT_TEXT) -> DataFrame:
     """Per example pair: human input, an ai message calling a tool (id), and the tool's output."""
-    p = example_pairs(turns, None)
+    p = turn_pairs(turns)
     cid = tool_call_id(F.col("conv_id"), F.col("turn"))
     base = p.select("conv_id", "turn", "user_text", cid.alias("tool_call_id"))
     human = base.select("conv_id", "turn", F.lit(0).alias("msg_idx"), F.lit("human").alias("role"),

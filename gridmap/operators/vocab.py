@@ -1,7 +1,8 @@
-"""Label profiling: header vocabulary, structure merge, completeness.
+"""Label profiling: header vocabulary (as text, for prompts) and completeness.
 
-Labels are long rows (doc_id, section, field, value); nested label files are
-flattened by the JSON source, so merging structures is a plain group-by.
+Labels are long rows (doc_id, section, field, value).  ``structures`` has the
+vocabulary as rows, for keys with any number of values, and merges nested
+label documents.
 """
 
 from __future__ import annotations
@@ -31,15 +32,3 @@ def completeness(slots: DataFrame) -> DataFrame:
     return (slots.groupBy("doc_id", "section")
                  .agg(F.count(F.lit(1)).alias("n_fields"), F.sum(blank).cast("bigint").alias("n_blank"))
                  .withColumn("blank_share", F.col("n_blank") / F.col("n_fields")))
-
-
-def json_pairs(df: DataFrame, id_cols, json_col: str) -> DataFrame:
-    """(ids..., key, value) for the top-level keys of a JSON object column; unparsable rows give none."""
-    m = F.from_json(F.col(json_col), "map<string,string>")
-    return df.select(*id_cols, F.explode(m).alias("key", "value"))
-
-
-def structure_merge(pairs: DataFrame, group_cols) -> DataFrame:
-    """Union of keys per group; for each key the distinct values, sorted."""
-    return (pairs.groupBy(*group_cols, "key")
-                 .agg(F.count_distinct("value").alias("n_values"), sorted_distinct_text("value").alias("values")))

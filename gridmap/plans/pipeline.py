@@ -64,7 +64,7 @@ def configs_frame(spark, configs=None) -> DataFrame:
 
 def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = 0, end_row: int | None = None,
                   dedup: bool = True, configs=None, checkpoint: bool = True,
-                  section_threshold: float | None = None, class_scorer=None) -> MappingResult:
+                  section_threshold: float | None = None, class_scorer=None, answer_store: str | None = None) -> MappingResult:
     """Run the whole mapping job.
 
     ``cells``: doc_id, row_idx, col_idx, value (+ num_format, is_number);
@@ -72,7 +72,9 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = 0, end_row
 
     ``class_scorer``: optional user callable (pandas batch of doc_id/prompt ->
     answers) used instead of the rule class scorer; its answers are parsed by
-    the same ladder, and documents whose scoring failed go to ``errors``.
+    the same ladder, and documents whose scoring failed go to ``errors``.  Whole
+    sheets are scored, in windows of the prompt budget.  ``answer_store``: folder
+    of answers by prompt hash; prompts answered there are not sent again.
 
     ``checkpoint`` (default on) cuts the lineage at four boundaries with a
     reliable checkpoint in the shared checkpoint folder: the summary of each
@@ -98,7 +100,7 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = 0, end_row
         scores = C.source_scores(C.tokens(docs, "doc_name"), C.tokens(lines, "line"), terms)
         decided = cut(C.class_decisions(docs, scores))
     else:
-        decided, scorer_errors = _model_decisions(docs, lines, class_scorer)
+        decided, scorer_errors = _model_decisions(docs, lines, class_scorer, answer_store)
         decided = cut(decided)
     todo, finished = C.early_exit(decided)
     matched, cfg_errors = S.config_join(todo.select("doc_id", F.col("validated_class").alias("doc_class")),
@@ -149,26 +151,23 @@ def map_documents(cells: DataFrame, docs: DataFrame, start_row: int = 0, end_row
                          validated_ctx=ctx, active=active, full_width=lambda: S.extract_sections(hdr_cells, docs_ok, fd, al))
 
 
-def _model_decisions(docs: DataFrame, lines: DataFrame, class_scorer):
-    """Class decisions from a user scorer: windowed text -> budgeted prompt -> answer -> parse ladder."""
-    from gridmap.functions import text as T
-    from gridmap.functions.parse import parse_class
-    from gridmap.operators.scorer import score
-
-    text = G.lines_to_text(lines)        # windowed lines only: bounded per document
-    d = docs.join(text, "doc_id", "left")
-    base = T.token_estimate(T.render(D.CLASS_PROMPT, doc_name=F.col("doc_name"), question=F.lit("")))
-    prompt = T.render(D.CLASS_PROMPT, doc_name=F.col("doc_name"),
-                      question=T.truncate_to_budget(F.coalesce(F.col("text"), F.lit("")), base,
-                                                    D.CLASS_MAX_TOKENS, D.CLASS_CONTEXT_PCT))
-    answers = cut_lineage(score(d.select("doc_id", prompt.alias("prompt")), class_scorer))  # stored: each prompt is scored once
-    p = parse_class("answer")
-    decided = answers.select(
-        "doc_id", p["predicted_class"].alias("predicted_class"), F.lit(0).cast("bigint").alias("score"),
-        p["confidence"].alias("confidence"), "answer",
-        F.when(F.col("answer").isNull(), F.lit(D.NONE_LABEL)).otherwise(p["predicted_class"]).alias("validated_class"),
-        p["confidence"].alias("validation_confidence"), F.lit("answer of the supplied scorer").alias("validation_reason"))
-    errors = answers.where(F.col("answer").isNull()).select(
+def _model_decisions(docs: DataFrame, lines: DataFrame, class_scorer, store: str | None = None):
+    """Class decisions from a user scorer over whole sheets: windows of lines -> prompts -> answers -> one class a document."""
+    from gridmap.operators import scorer as SC
+    from gridmap.session import scratch_path
+
+    named = docs.select("doc_id", "doc_name", SC.class_budget(F.col("doc_name")).alias("budget"))
+    windows = SC.line_windows(lines, named.select("doc_id", "budget"))
+    windows = named.select("doc_id", "doc_name").join(windows, "doc_id", "left")  # a document without lines has one empty window
+    prompts = SC.class_prompts(windows.withColumn("window", F.coalesce("window", F.lit(0))))
+    answers = SC.stored_answers(prompts, class_scorer, store or scratch_path(docs.sparkSession, "answers"))
+    merged = cut_lineage(SC.merge_classes(answers))
+    failed = F.col("n_failed") == F.col("n_windows")
+    decided = merged.select(
+        "doc_id", "predicted_class", F.col("n_votes").alias("score"), "confidence", F.col("predicted_class").alias("validated_class"),
+        F.col("confidence").alias("validation_confidence"),
+        F.concat(F.lit("named by "), F.col("n_votes"), F.lit(" of "), F.col("n_windows"), F.lit(" windows")).alias("validation_reason"))
+    errors = merged.where(failed).select(
         "doc_id", F.lit("classification").alias("stage"), F.lit("SCORER_FAILED").alias("code"),
         F.coalesce(F.col("error"), F.lit("no answer")).alias("message"), F.lit("ERROR").alias("severity"))
     return decided, errors

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridmap.functions import text as T
 from gridmap.operators import evaluate as EV
 from gridmap.operators import prompts as PR
+from gridmap.operators import structures as ST
 from gridmap.operators import vocab as VO
 from gridmap.plans import corpus as K
 from gridmap.plans import defaults as D
@@ -175,12 +176,33 @@ def q_completeness(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- events.props: A15, D17, G3
-@query("label_scan", """
-SELECT event_id, k AS key, json_extract_string(props, '$."' || k || '"') AS value
-FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events WHERE json_valid(props))""")
+# nested label documents, one for each event: objects, lists of objects and of texts, empty and null values
+_NESTED_SQL = """nested AS (
+  SELECT event_id, event_type, '{"user":{"id":' || user_id || ',"tags":["' || event_type || '","' || upper(event_type) || '",""]},"items":[{"k":'
+         || json_extract_string(props, '$.k') || ',"note":"  "},{"k":' || user_id || ',"extra":{"day":"' || strftime(ts, '%Y-%m-%d')
+         || '","more":[]}}],"props":' || props || ',"none":null}' AS doc
+  FROM events WHERE json_valid(props)),
+leaves AS (
+  SELECT n.event_id, n.event_type, regexp_replace(substr(t.fullkey, 3), '\\[[0-9]+\\]', '[]', 'g') AS path,
+         array_to_string(regexp_extract_all(t.fullkey, '\\[([0-9]+)\\]', 1), '.') AS place,
+         CASE t.type WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'empty' WHEN 'OBJECT' THEN 'empty'
+                     WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind,
+         CASE WHEN t.type NOT IN ('NULL', 'ARRAY', 'OBJECT') THEN t.atom ->> '$' END AS value
+  FROM nested n, json_tree(n.doc) t
+  WHERE t.type NOT IN ('ARRAY', 'OBJECT') OR t.value IN ('[]', '{}'))"""
+
+
+def _nested(spark, sf_dir):
+    e = read(spark, sf_dir, "events", "event_id", "event_type", "user_id", "ts", "props").where(F.try_parse_json("props").isNotNull())
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "string")
+    parts = ['{"user":{"id":', F.col("user_id"), ',"tags":["', F.col("event_type"), '","', F.upper("event_type"), '",""]},"items":[{"k":', k,
+             ',"note":"  "},{"k":', F.col("user_id"), ',"extra":{"day":"', F.date_format("ts", "yyyy-MM-dd"), '","more":[]}}],"props":', F.col("props"), ',"none":null}']
+    return e.select("event_id", "event_type", F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]).alias("doc"))
+
+
+@query("label_scan", Q.with_ctes(_NESTED_SQL, select="SELECT event_id, path, place, kind, value FROM leaves"))
 def q_label_scan(spark, sf_dir):
-    e = read(spark, sf_dir, "events", "event_id", "props")
-    return VO.json_pairs(e, ["event_id"], "props")
+    return ST.walk_json(_nested(spark, sf_dir), ["event_id"], "doc")
 
 
 @query("parse_structured", """
@@ -192,14 +214,33 @@ def q_parse_structured(spark, sf_dir):
     return parse_structured(e, "props", "k int").select("event_id", "parsed.k", "is_valid")
 
 
-@query("structure_merge", """
-SELECT event_type, key, count(*) AS n_values, string_agg(value, ', ' ORDER BY lower(value), value) AS "values"
-FROM (SELECT DISTINCT event_type, k AS key, json_extract_string(props, '$."' || k || '"') AS value
-      FROM (SELECT event_type, props, unnest(json_keys(props)) AS k FROM events WHERE json_valid(props)))
-GROUP BY event_type, key""")
+_MERGED_SQL = f"""merged AS (
+  SELECT event_type, path, row_number() OVER (PARTITION BY event_type, path ORDER BY lower(value), value) - 1 AS position, value
+  FROM (SELECT DISTINCT event_type, path, value FROM leaves WHERE NOT {Q.is_blank('value')}))"""
+
+
+@query("structure_merge", Q.with_ctes(_NESTED_SQL, _MERGED_SQL, select="SELECT * FROM merged"))
 def q_structure_merge(spark, sf_dir):
-    e = read(spark, sf_dir, "events", "event_type", "props")
-    return VO.structure_merge(VO.json_pairs(e, ["event_type"], "props"), ["event_type"])
+    return ST.merge_structures(_nested(spark, sf_dir), ["event_type"], "doc")
+
+
+@query("vocabulary_json", Q.with_ctes(_NESTED_SQL, _MERGED_SQL, select="""
+SELECT event_type, '{' || string_agg('"' || path || '":[' || vals || ']', ',' ORDER BY path) || '}' AS json
+FROM (SELECT event_type, path, string_agg('"' || value || '"', ',' ORDER BY position) AS vals FROM merged WHERE position < 20 GROUP BY ALL)
+GROUP BY event_type"""))
+def q_vocabulary_json(spark, sf_dir):
+    """The merged structure as JSON, at most 20 values a path (what a prompt shows)."""
+    return ST.vocabulary_json(ST.merge_structures(_nested(spark, sf_dir), ["event_type"], "doc"), ["event_type"], 20)
+
+
+@query("vocabulary_rows", """
+SELECT n_name, c_mktsegment, row_number() OVER (PARTITION BY n_name, c_mktsegment ORDER BY lower(c_name), c_name) - 1 AS position, c_name
+FROM (SELECT DISTINCT n_name, c_mktsegment, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE trim(c_name) <> '')""")
+def q_vocabulary_rows(spark, sf_dir):
+    """Vocabulary of any size: a row for each distinct value with its position."""
+    c = read(spark, sf_dir, "customer", "c_nationkey", "c_mktsegment", "c_name")
+    n = read(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    return ST.ordered_distinct(c.join(n, c.c_nationkey == n.n_nationkey), ["n_name", "c_mktsegment"], "c_name")
 
 
 # --------------------------------------------------------------------------- events as run records: G5-G7, B4

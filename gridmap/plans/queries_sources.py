@@ -3,6 +3,8 @@ streaming ingestion, the user scorer hook and JSON results."""
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -145,12 +147,23 @@ def q_xml_rows(spark, sf_dir):
                  .option("columnNameOfCorruptRecord", "_corrupt_record").schema(schema).load(path))
 
 
-@query("stream_ingest")
+@query("stream_ingest", """
+SELECT DISTINCT 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS doc_name, sha256(t) AS sha256, strlen(t) AS length
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents
+      UNION ALL SELECT doc_id, coalesce(text, '') || ' v2' FROM documents WHERE doc_id % 3 = 0)""")
 def q_stream_ingest(spark, sf_dir):
-    """Files processed as they arrive: same identity step per micro-batch, exactly once per file."""
-    from gridmap.streaming.ingest import ingest_folder
-    out = ingest_folder(spark, sf_dir, scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt"))
-    return spark.read.parquet(out).drop("epoch")
+    """Documents uploaded in four triggers, many of them again and some changed: each (name, content) gives one result."""
+    from gridmap.streaming.ingest import first_uploads, run_batches
+    d = read(spark, sf_dir, "documents", "doc_id", "text")
+    text, path = F.coalesce("text", F.lit("")), scratch_path(spark, "uploads")
+    for k, part in enumerate([d.select("doc_id", text.alias("t")), d.where("doc_id % 2 = 0").select("doc_id", text.alias("t")),
+                              d.where("doc_id % 3 = 0").select("doc_id", F.concat(text, F.lit(" v2")).alias("t")), d.select("doc_id", text.alias("t"))]):
+        up = part.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("doc_name"), F.col("t").cast("binary").alias("content"))
+        up.withColumn("uploaded_at", F.lit(f"2024-01-0{k + 1} 00:00:00").cast("timestamp")).write.mode("append").parquet(path)
+    schema = "doc_name string, content binary, uploaded_at timestamp"
+    uploads = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(path)
+    first = first_uploads(uploads).select("doc_name", "sha256", F.octet_length("content").cast("long").alias("length"))
+    return spark.read.parquet(run_batches(first, scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt"))).drop("epoch")
 
 
 def demo_scorer(pdf: pd.DataFrame) -> pd.Series:
@@ -158,23 +171,54 @@ def demo_scorer(pdf: pd.DataFrame) -> pd.Series:
     text = pdf["prompt"].str.lower()
     out = pd.Series(["<class>None of those</class><confidence>Low</confidence>"] * len(pdf), index=pdf.index)
     for word, label in [("etf", "ETF"), ("bond", "Bonds"), ("stock", "Stocks"), ("fund", "Mutual Funds")]:
-        hit = text.str.contains(rf"\b{word}", regex=True) & out.str.contains("None of those")
+        hit = text.str.contains(rf"\b{word}", regex=True, flags=re.ASCII) & out.str.contains("None of those")
         out[hit] = f"<class>{label}</class><confidence>Medium</confidence>"
     return out
 
 
-@query("score_hook")
+def _demo_label(prompt: str) -> str:
+    """The demo scorer's label in SQL."""
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower({prompt}), '\\b{w}') THEN '{x}'" for w, x in [
+        ("etf", "ETF"), ("bond", "Bonds"), ("stock", "Stocks"), ("fund", "Mutual Funds")]) + f" ELSE '{D.NONE_LABEL}' END"
+
+
+def _sql_prompt(name: str, part: str) -> str:
+    template = "'" + D.CLASS_PROMPT.replace("'", "''") + "'"
+    return f"replace(replace({template}, '{{doc_name}}', {name}), '{{question}}', {part})"
+
+
+def _sql_budget(name: str) -> str:
+    base = f"CAST(floor(length({_sql_prompt(name, chr(39) * 2)}) / 4) AS BIGINT)"
+    return f"greatest({int(D.CLASS_MAX_TOKENS * D.CLASS_CONTEXT_PCT)} - {base}, 1) * 4"
+
+
+def _sql_merged(labelled: str) -> list[str]:
+    """The class that most windows (doc_id, label) name, ties by label order."""
+    order = "CASE label " + " ".join(f"WHEN '{x}' THEN {i}" for i, x in enumerate(D.CLASS_LABELS)) + " END"
+    return [f"votes AS (SELECT doc_id, label, count(*) AS n FROM {labelled} GROUP BY ALL)",
+            f"""merged_class AS (
+  SELECT doc_id, coalesce(arg_min(label, -1000 * n + {order}) FILTER (WHERE label <> '{D.NONE_LABEL}'), '{D.NONE_LABEL}') AS predicted_class,
+         CAST(sum(n) AS BIGINT) AS n_windows, CAST(coalesce(max(n) FILTER (WHERE label <> '{D.NONE_LABEL}'), 0) AS BIGINT) AS n_votes
+  FROM votes GROUP BY doc_id)"""]
+
+
+@query("score_hook", Q.with_ctes(
+    f"named AS (SELECT doc_id, 'doc_' || CAST(doc_id AS VARCHAR) || '_' || source AS doc_name, coalesce(text, '') AS t FROM documents)",
+    f"budgets AS (SELECT *, {_sql_budget('doc_name')} AS budget FROM named)",
+    f"""labelled AS (
+  SELECT doc_id, {_demo_label(_sql_prompt('doc_name', 'substr(t, CAST(w * budget + 1 AS BIGINT), budget)'))} AS label
+  FROM budgets, LATERAL (SELECT unnest(range(CAST(greatest(ceil(length(t) / budget), 1) AS BIGINT))) AS w))""",
+    *_sql_merged("labelled"), select=f"""
+SELECT doc_id, predicted_class, CASE WHEN predicted_class = '{D.NONE_LABEL}' THEN 'Low' ELSE 'Medium' END AS confidence, n_windows, n_votes
+FROM merged_class"""))
 def q_score_hook(spark, sf_dir):
-    """Class prompts of all documents scored by a user callable (mapInPandas), then parsed."""
-    from gridmap.operators.scorer import score
+    """Whole documents in prompt-sized windows, scored by a user callable (mapInPandas) through an answer store, merged."""
+    from gridmap.operators import scorer as SC
     d = read(spark, sf_dir, "documents", "doc_id", "text", "source")
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit("_"), F.col("source"))
-    base = T.token_estimate(T.render(D.CLASS_PROMPT, doc_name=name, question=F.lit("")))
-    prompts = d.select("doc_id", T.render(D.CLASS_PROMPT, doc_name=name,
-                                          question=T.truncate_to_budget("text", base)).alias("prompt"))
-    answers = score(prompts, demo_scorer)
-    return answers.select("doc_id", "answer", PA.parse_class("answer").alias("p")).select(
-        "doc_id", "p.predicted_class", "p.confidence")
+    windows = SC.text_windows(d.select("doc_id", name.alias("doc_name"), "text"), SC.class_budget(F.col("doc_name")))
+    answers = SC.stored_answers(SC.class_prompts(windows), demo_scorer, scratch_path(spark, "answers"))
+    return SC.merge_classes(answers).select("doc_id", "predicted_class", "confidence", "n_windows", "n_votes")
 
 
 @query("result_json")

@@ -3,9 +3,10 @@
 ``readStream`` over a folder with an explicit binary-file schema; every
 micro-batch runs the same batch function (``foreachBatch``).  A batch writes
 to a folder of its own (``epoch=<id>``) and replaces it when it is retried, so
-with the stream's checkpoint each file's rows are there exactly once.  Inside a
-batch, of duplicate uploads (same name and same content hash) the one with the
-first path stays.
+with the stream's checkpoint each file's rows are there exactly once.  Of
+duplicate uploads (same name and same content hash) the first one counts: the
+stream keeps the keys it has seen as state (``first_uploads``), so that also
+holds across batches and restarts; inside a batch the first path stays.
 """
 
 from __future__ import annotations
@@ -27,11 +28,39 @@ def identify(batch: DataFrame) -> DataFrame:
     return first.select("f.*", "doc_name", "sha256").select(*x.columns).withColumn("doc_id", F.xxhash64("path"))
 
 
+def first_uploads(uploads: DataFrame, horizon: str | None = None, time_col: str = "uploaded_at") -> DataFrame:
+    """The uploads of a stream (columns doc_name, content, ...) whose name and content hash did not come before, with ``sha256``.
+
+    Every key that was seen is kept in the state store.  With ``horizon`` (such as '30 days', by ``time_col``) keys older than that
+    are forgotten, so the state stays bounded; an upload repeated later than that counts as new.
+    """
+    keyed = uploads.withColumn("sha256", F.sha2("content", 256))
+    if horizon is None:
+        return keyed.dropDuplicates(["doc_name", "sha256"])
+    return keyed.withWatermark(time_col, horizon).dropDuplicatesWithinWatermark(["doc_name", "sha256"])
+
+
+def run_batches(stream: DataFrame, out: str, checkpoint: str) -> str:
+    """Writes a stream batch by batch into ``out``/epoch=<id> until all that is there has been processed; a retried batch replaces itself."""
+    def sink(df: DataFrame, epoch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
+
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return out
+
+
 def ingest_folder(spark: SparkSession, src: str, out: str, checkpoint: str, batch_fn=identify,
-                  available_now: bool = True):
-    """Run the stream until every file present has been processed; return ``out`` (parquet)."""
+                  available_now: bool = True, once: bool = True, horizon: str | None = None, files_per_batch: int = 64):
+    """Run the stream until every file present has been processed; return ``out`` (parquet).
+
+    ``once`` (default on): an upload of the same file name and content is processed once, also across batches and restarts;
+    ``horizon``: see ``first_uploads``.
+    """
     stream = (spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
-                   .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 64).load(src))
+                   .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(src))
+    if once:
+        names = stream.withColumn("doc_name", F.element_at(F.split("path", "/"), -1)).withColumn("uploaded_at", F.col("modificationTime"))
+        stream = first_uploads(names, horizon).select("path", "modificationTime", "length", "content")
 
     def sink(df: DataFrame, epoch_id: int) -> None:
         batch_fn(df).write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
