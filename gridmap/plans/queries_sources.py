@@ -25,22 +25,94 @@ from gridmap.sources import files as FS
 from gridmap.sources import workbook as WB
 
 
-@query("scan_files")
+@query("scan_files", f"""
+SELECT k.file_type, k.supported, k.code, count(DISTINCT c_nationkey) AS n_files, TRUE AS have_content
+FROM customer, (VALUES ('csv', TRUE, NULL), ('json', FALSE, '{FS.UNSUPPORTED_CODE}')) AS k(file_type, supported, code) GROUP BY ALL""")
 def q_scan_files(spark, sf_dir):
-    """List the input folder; every non-spreadsheet file is flagged (and would be quarantined)."""
-    files = FS.scan_files(spark, sf_dir)
+    """Customers written as one CSV and one JSON file for each nation; the folders are listed, other types than sheets are flagged."""
+    c = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey").repartition("c_nationkey")
+    root = scratch_path(spark, "listed")
+    c.write.partitionBy("c_nationkey").csv(f"{root}/a", header=True)
+    c.write.partitionBy("c_nationkey").json(f"{root}/b")
+    files = FS.scan_files(spark, root)
     _, bad = FS.split_supported(files)
-    return files.select("doc_id", "base", "doc_name", "file_type", "supported", "length").join(
-        bad.select("doc_id", "code"), "doc_id", "left")
+    coded = files.join(bad.select("doc_id", "code"), "doc_id", "left")
+    return coded.groupBy("file_type", "supported", "code").agg(F.count_distinct("path").alias("n_files"), (F.min("length") > 0).alias("have_content"))
 
 
-@query("csv_grid")
+def _sql_character(name: str) -> str:
+    return "CASE " + name + " " + " ".join(f"WHEN '{n}' THEN chr({ord(c)})" for n, c in DL.NAME_TO_DELIM.items()) + " END"
+
+
+def _sql_grid(delimiters: str) -> str:
+    """Quotes held, lines and fields cut, as ``csv_grid`` does."""
+    held = "list_transform(p, lambda x, i: CASE WHEN i % 2 = 0 THEN translate(x, d || chr(10), chr(1) || chr(2)) ELSE x END)"
+    quoted = "length(x) >= 2 AND starts_with(x, chr(34)) AND ends_with(x, chr(34))"
+    return f"""pieces AS (
+  SELECT doc_id, d, string_split(t, chr(34)) AS p, t FROM (SELECT x.doc_id, replace(x.text, chr(13) || chr(10), chr(10)) AS t, {_sql_character('s.delimiter')} AS d
+  FROM documents x JOIN ({delimiters}) s ON s.doc_id = x.doc_id WHERE x.text IS NOT NULL)),
+lines AS (
+  SELECT doc_id, d, ls[i] AS line, CAST(i - 1 AS INTEGER) AS row_idx FROM (
+    SELECT doc_id, d, string_split(CASE WHEN len(p) % 2 = 1 THEN array_to_string({held}, chr(34)) ELSE t END, chr(10)) AS ls FROM pieces),
+    LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
+fields AS (
+  SELECT doc_id, row_idx, d, fs, CAST(i - 1 AS INTEGER) AS col_idx, ltrim(fs[i], ' ') AS x FROM (SELECT *, string_split(line, d) AS fs FROM lines),
+    LATERAL (SELECT unnest(range(1, len(fs) + 1)) AS i)),
+grid AS (
+  SELECT doc_id, row_idx, CAST(len(fs) AS INTEGER) AS n_cells, col_idx,
+         replace(translate(CASE WHEN {quoted} THEN substr(x, 2, length(x) - 2) ELSE x END, chr(1) || chr(2), d || chr(10)), chr(34) || chr(34), chr(34)) AS value
+  FROM fields)"""
+
+
+def _grid_oracle() -> str:
+    from gridmap.plans.queries_cells import _sniff_sql
+
+    return Q.with_ctes(_sql_grid(_sniff_sql()), select="SELECT * FROM grid")
+
+
+@query("csv_grid", _grid_oracle)
 def q_csv_grid(spark, sf_dir):
     """Each document text read as delimited text with its sniffed delimiter -> long cells."""
     d = read(spark, sf_dir, "documents", "doc_id", "text")
     return DL.csv_grid(d.join(DL.sniff_delimiter(d), "doc_id"))
 
 
+@query("config_scan", """
+SELECT c_custkey, CASE WHEN bad OR c_custkey % 4 = 1 THEN 'input' ELSE c_name END AS input_dir,
+       CASE WHEN bad OR wrong THEN 0 ELSE CAST(c_custkey % 5 AS INTEGER) END AS start_row,
+       CASE WHEN bad OR c_custkey % 4 = 2 THEN 15 ELSE 40 END AS end_row, NOT bad AND c_custkey % 2 = 0 AS all_sheets,
+       CASE WHEN bad THEN 'INVALID_JSON' WHEN wrong THEN 'CONFIG_INVALID_TYPE' ELSE 'OK' END AS status
+FROM (SELECT *, c_custkey % 11 = 5 AS bad, c_custkey % 7 = 3 AS wrong FROM customer)""")
+def q_config_scan(spark, sf_dir):
+    """A configuration text for each customer: keys left out take their defaults, broken and ill-typed ones are told apart."""
+    c = read(spark, sf_dir, "customer", "c_custkey", "c_name")
+    k = F.col("c_custkey")
+    start = F.when(k % 7 == 3, F.lit('"many"')).otherwise((k % 5).cast("string"))
+    text = F.concat(F.lit('{'), F.when(k % 4 == 1, "").otherwise(F.concat(F.lit('"input_dir":"'), F.col("c_name"), F.lit('",'))),
+                    F.when(k % 4 == 2, "").otherwise('"end_row":40,'), F.lit('"start_row":'), start,
+                    F.when(k % 2 == 0, ',"all_sheets":true').otherwise(""), F.when(k % 11 == 5, "").otherwise("}"))
+    from gridmap.sources.labels import parse_configs
+    found = parse_configs(c.select(k.cast("string").alias("path"), text.alias("text")))
+    return found.select(F.col("path").cast("long").alias("c_custkey"), "input_dir", "start_row", "end_row", "all_sheets", "status")
+
+
+@query("prompt_dim", """
+SELECT name, template, CASE WHEN template IS NULL THEN 'PROMPT_FILE_NOT_FOUND' ELSE 'OK' END AS status FROM (
+  SELECT p_brand || '_' || CAST(p_partkey AS VARCHAR) || '.md' AS name,
+         CASE WHEN p_partkey % 3 <> 0 THEN 'Describe {doc_name}, a ' || p_type || ', in one line.' END AS template
+  FROM part WHERE p_size <= 25)""")
+def q_prompt_dim(spark, sf_dir):
+    """Templates of parts (two of three are *.md files) looked up by the names that small parts require."""
+    from gridmap.sources.labels import missing_prompts, prompt_table
+    p = read(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type", "p_size")
+    name = F.concat(F.col("p_brand"), F.lit("_"), F.col("p_partkey").cast("string"))
+    files = p.select(F.concat(F.lit("/prompts/"), name, F.when(F.col("p_partkey") % 3 != 0, ".md").otherwise(".txt")).alias("path"),
+                     F.concat(F.lit("Describe {doc_name}, a "), F.col("p_type"), F.lit(", in one line.")).alias("template"))
+    table, required = prompt_table(files), p.where("p_size <= 25").select(F.concat(name, F.lit(".md")).alias("name"))
+    missing = missing_prompts(required, table).select("name", F.lit(None).cast("string").alias("template"), F.col("code").alias("status"))
+    return required.join(table, "name").select("name", "template", F.lit("OK").alias("status")).unionByName(missing)
+
+
 @query("encoding_choice", """
 SELECT doc_id, lang, CASE WHEN lang = 'de' THEN 'UTF-16LE'
             WHEN lang = 'es' AND length(text) < strlen(text) AND NOT regexp_matches(text, '[^\\x{00}-\\x{FF}]') THEN 'ISO-8859-1'
@@ -132,19 +204,33 @@ def q_all_sheets(spark, sf_dir):
         F.count(F.lit(1)).alias("n_cells"), F.count_distinct("row_idx").alias("n_rows"))
 
 
+def _xml_record(k, fields):
+    """A record of an order, some of them damaged: no end tag, tags out of order, a bare '<'."""
+    inner = F.concat(*[F.concat(F.lit(f"<{f}>"), F.col(f).cast("string"), F.lit(f"</{f}>")) for f in fields])
+    return (F.when(k % 10 == 3, F.concat(F.lit("<row>"), inner)).when(k % 10 == 6, F.concat(F.lit("<row><b>"), inner, F.lit("</row></b>")))
+            .when(k % 50 == 9, F.concat(F.lit("<row>"), inner, F.lit("<o_note>1 < 2</o_note></row>"))).otherwise(F.concat(F.lit("<row>"), inner, F.lit("</row>"))))
+
+
+_XML_FIELDS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+
+
 @query("xml_rows", """
-SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderpriority,
-       CAST(NULL AS VARCHAR) AS _corrupt_record
-FROM orders""")
+SELECT CASE WHEN code IS NULL THEN o_orderkey END AS o_orderkey, CASE WHEN code IS NULL THEN o_custkey END AS o_custkey,
+       CASE WHEN code IS NULL THEN o_orderstatus END AS o_orderstatus, CASE WHEN code IS NULL THEN CAST(o_totalprice AS DOUBLE) END AS o_totalprice,
+       CASE WHEN code IS NULL THEN o_orderpriority END AS o_orderpriority, code, CASE WHEN code IS NOT NULL THEN o_orderkey END AS damaged_key
+FROM (SELECT *, CASE WHEN o_orderkey % 10 = 3 THEN 'XML_RECORD_NOT_CLOSED' WHEN o_orderkey % 10 = 6 OR o_orderkey % 50 = 9 THEN 'XML_RECORD_MALFORMED' END AS code
+      FROM orders)""")
 def q_xml_rows(spark, sf_dir):
-    """orders written as XML records and read back with the XML source (row tag, permissive)."""
-    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    """orders written as XML records, some of them damaged: every other record comes back typed, the damaged ones in quarantine."""
+    from gridmap.sources.xml import recover_rows
+    o = read(spark, sf_dir, "orders", *_XML_FIELDS)
     path = scratch_path(spark, "xml")
-    o.write.format("xml").option("rowTag", "row").option("rootTag", "rows").save(path)
-    schema = ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string, "
-              "_corrupt_record string")
-    return (spark.read.format("xml").option("rowTag", "row").option("mode", "PERMISSIVE")
-                 .option("columnNameOfCorruptRecord", "_corrupt_record").schema(schema).load(path))
+    o.select(_xml_record(F.col("o_orderkey"), _XML_FIELDS).alias("value")).write.text(path)
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+    rows, damaged = recover_rows(spark, path, "row", schema)
+    key = F.regexp_extract("record", "<o_orderkey>([0-9]+)<", 1).cast("long")
+    bad = damaged.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema], "code", key.alias("damaged_key"))
+    return rows.select("*", F.lit(None).cast("string").alias("code"), F.lit(None).cast("long").alias("damaged_key")).unionByName(bad)
 
 
 @query("stream_ingest", """
@@ -221,17 +307,38 @@ def q_score_hook(spark, sf_dir):
     return SC.merge_classes(answers).select("doc_id", "predicted_class", "confidence", "n_windows", "n_votes")
 
 
-@query("result_json")
+_RESULT_SQL = """slot AS (
+  SELECT doc_id, section, section_ord, string_agg('"' || field || '":' || coalesce('"' || header || '"', 'null'), ',' ORDER BY field_ord) AS j
+  FROM pl_final GROUP BY ALL),
+secs AS (SELECT doc_id, string_agg('"' || section || '":{' || j || '}', ',' ORDER BY section_ord) AS j FROM slot GROUP BY doc_id)"""
+
+
+@query("result_json", Q.with_ctes(*Q.mapping_pipeline_ctes(), _RESULT_SQL, select="""
+SELECT c.doc_id, c.validated_class AS doc_class, '{"Classification":{"predicted_class":"' || c.validated_class || '","confidence":"' || c.confidence
+       || '","validation_reason":"' || c.validation_reason || '"},"Context":' || coalesce('{"ValidationConfidence":'
+       || CAST(CAST(p.confidence AS DOUBLE) AS VARCHAR) || ',"FileName":"' || d.doc_name || '","HeaderStartLine":' || p.header_start
+       || ',"HeaderEndLine":' || p.header_end || ',"ContentStartLine":' || p.content_start || ',"FileType":"' || d.file_type
+       || '","ProcessingTimeSeconds":null}', 'null') || ',"Sections":' || coalesce('{' || s.j || '}', 'null') || '}' AS json
+FROM pl_checked c JOIN corpus_docs d ON d.doc_id = c.doc_id LEFT JOIN pl_pass p ON p.doc_id = c.doc_id LEFT JOIN secs s ON s.doc_id = c.doc_id"""))
 def q_result_json(spark, sf_dir):
     """One JSON document per mapped spreadsheet (Classification, Context, sections; nulls kept)."""
     cells, docs, _ = corpus(spark, sf_dir)
     return R.result_json(P.map_documents(cells, docs), docs)
 
 
-@query("assemble_results")
+@query("assemble_results", Q.with_ctes(*Q.mapping_pipeline_ctes(), select="""
+SELECT c.doc_id, c.validated_class AS doc_class, c.confidence, p.header_start, p.content_start, f.section,
+       CAST(dense_rank() OVER (PARTITION BY c.doc_id ORDER BY f.section_ord) - 1 AS INTEGER) AS section_place, f.field,
+       CAST(row_number() OVER (PARTITION BY c.doc_id, f.section_ord ORDER BY f.field_ord) - 1 AS INTEGER) AS field_place, f.header
+FROM pl_checked c JOIN pl_final f ON f.doc_id = c.doc_id JOIN pl_pass p ON p.doc_id = c.doc_id"""))
 def q_assemble_results(spark, sf_dir):
+    """The assembled result records, taken apart again in their order."""
     cells, docs, _ = corpus(spark, sf_dir)
-    return R.assemble(P.map_documents(cells, docs), docs)
+    a = R.assemble(P.map_documents(cells, docs), docs)
+    s = a.select("doc_id", "doc_class", "result.Classification.confidence", F.col("result.Context.HeaderStartLine").alias("header_start"),
+                 F.col("result.Context.ContentStartLine").alias("content_start"), F.posexplode("result.Sections").alias("section_place", "section", "_f"))
+    return s.select("doc_id", "doc_class", "confidence", "header_start", "content_start", "section", "section_place",
+                    F.posexplode("_f").alias("field_place", "field", "header"))
 
 
 @query("context_build", Q.with_ctes(*Q.mapping_pipeline_ctes(), select="""
@@ -279,7 +386,21 @@ def q_header_examples(spark, sf_dir):
     return text.join(ctx, "doc_id").select("doc_id", F.col("text").alias("table"), js.alias("expected"))
 
 
-@query("render_conflict_input")
+@query("render_conflict_input", Q.with_ctes(*Q.mapping_pipeline_ctes(), f"""told AS (
+  SELECT doc_id, string_agg('"' || section || '.' || field || '":"' || header || '"', ',' ORDER BY section || '.' || field) AS j
+  FROM pl_merged WHERE header IS NOT NULL GROUP BY doc_id),
+claims AS (
+  SELECT doc_id, header, string_agg('"' || section || '.' || field || '"', ',' ORDER BY section_ord, field_ord) AS members
+  FROM pl_merged WHERE header IS NOT NULL AND section <> 'Context' AND field <> 'ValidationConfidence' GROUP BY doc_id, header HAVING count(*) > 1),
+claimed AS (
+  SELECT doc_id, string_agg('{{"header":"' || header || '","conflicts":[' || members || ']}}', ',' ORDER BY header) AS j FROM claims GROUP BY doc_id),
+shown AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS focus FROM pl_lines l JOIN pl_pass p ON p.doc_id = l.doc_id
+   AND l.line_no >= p.header_start AND l.line_no < coalesce(nullif(p.content_start, 0), p.header_end + 1) + {D.FOCUS_CONTENT_ROWS} GROUP BY l.doc_id)""",
+    select="""
+SELECT c.doc_id, '# Original Table' || chr(10) || s.focus || chr(10) || chr(10) || '# Extracted Data' || chr(10) || '```json' || chr(10) || '{' || t.j
+       || '}' || chr(10) || '```' || chr(10) || chr(10) || '# Conflicts' || chr(10) || '```json' || chr(10) || '[' || c.j || ']' || chr(10) || '```' AS conflict_input
+FROM claimed c JOIN told t ON t.doc_id = c.doc_id JOIN shown s ON s.doc_id = c.doc_id"""))
 def q_render_conflict_input(spark, sf_dir):
     """Conflict-resolution inputs for the documents whose mapping has conflicts."""
     from gridmap.operators import sections as S
@@ -291,9 +412,20 @@ def q_render_conflict_input(spark, sf_dir):
     return PR.render_conflict_input(focus, before, S.field_conflicts(before))
 
 
-@query("map_documents_model")
+def _model_ctes() -> list[str]:
+    """The mapping job with the demo scorer's classes, over windows of whole lines."""
+    return [f"model_budget AS (SELECT doc_id, doc_name, {_sql_budget('doc_name')} AS budget FROM corpus_docs)",
+            f"""labelled AS (
+  SELECT doc_id, {_demo_label(_sql_prompt('any_value(doc_name)', "string_agg(line, chr(10) ORDER BY line_no)"))} AS label
+  FROM (SELECT l.doc_id, l.line_no, l.line, b.doc_name,
+               floor(coalesce(sum(length(l.line) + 1) OVER (PARTITION BY l.doc_id ORDER BY l.line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / b.budget) AS w
+        FROM pl_lines l JOIN model_budget b ON b.doc_id = l.doc_id) GROUP BY doc_id, w)""", *_sql_merged("labelled"),
+            "pl_checked AS (SELECT doc_id, predicted_class AS validated_class FROM merged_class)"]
+
+
+@query("map_documents_model", Q.with_ctes(*Q.mapping_pipeline_ctes(_model_ctes()), select="SELECT doc_id, section, field, header, confidence, source FROM pl_final"))
 def q_map_documents_model(spark, sf_dir):
-    """The mapping job with a supplied class scorer (mapInPandas) instead of the rule scorer."""
+    """The mapping job with a supplied class scorer (mapInPandas) over whole sheets instead of the rule scorer."""
     cells, docs, _ = corpus(spark, sf_dir)
     return P.final_mapping(P.map_documents(cells, docs, class_scorer=demo_scorer))
 

@@ -335,21 +335,22 @@ def corpus_ctes() -> str:
     return sql_corpus_ctes()
 
 
-def mapping_pipeline_ctes() -> list[str]:
-    """The whole mapping job as CTEs ending in ``pl_final``."""
+def mapping_pipeline_ctes(classes: list[str] | None = None) -> list[str]:
+    """The whole mapping job as CTEs ending in ``pl_final``; ``classes``: CTEs that end in ``pl_checked`` instead of the rule scorer's."""
     configs = ", ".join(f"('{n.replace(' ', '_')}', '{n}')" for n in D.CLASS_CONFIGS)
     return [
         dims_ctes(), corpus_ctes(),
         "pl_win AS (SELECT doc_id, row_idx, col_idx, value FROM corpus_cells)",
         rows_to_lines_cte("pl_lines", "pl_win"),
-        tokens_cte("pl_name_toks", "corpus_docs", "doc_name"),
-        tokens_cte("pl_line_toks", "pl_lines", "line"),
-        "pl_all_toks AS (SELECT * FROM pl_line_toks UNION ALL SELECT * FROM pl_name_toks)",
-        best_label_cte("pl_best", "pl_all_toks"),
-        classify_cte("pl_cls", "corpus_docs", "pl_best"),
-        best_label_cte("pl_nbest", "pl_name_toks"),
-        best_label_cte("pl_cbest", "pl_line_toks"),
-        validate_class_cte("pl_checked", "pl_cls", "pl_nbest", "pl_cbest"),
+        *(classes or [
+            tokens_cte("pl_name_toks", "corpus_docs", "doc_name"),
+            tokens_cte("pl_line_toks", "pl_lines", "line"),
+            "pl_all_toks AS (SELECT * FROM pl_line_toks UNION ALL SELECT * FROM pl_name_toks)",
+            best_label_cte("pl_best", "pl_all_toks"),
+            classify_cte("pl_cls", "corpus_docs", "pl_best"),
+            best_label_cte("pl_nbest", "pl_name_toks"),
+            best_label_cte("pl_cbest", "pl_line_toks"),
+            validate_class_cte("pl_checked", "pl_cls", "pl_nbest", "pl_cbest")]),
         f"pl_cfg AS (SELECT * FROM (VALUES {configs}) AS t(config_name, config_class))",
         f"pl_active AS MATERIALIZED (SELECT c.doc_id, c.validated_class AS doc_class FROM pl_checked c "
         f"JOIN pl_cfg g ON replace(c.validated_class, ' ', '_') = g.config_name "

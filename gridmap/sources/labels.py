@@ -63,13 +63,17 @@ APP_DEFAULTS = {"input_dir": "input", "output_dir": "json_outputs", "start_row":
 
 
 def read_configs(spark: SparkSession, path: str, schema: str = APP_CONFIG_SCHEMA) -> DataFrame:
-    """Typed read of configuration files with defaults filled and problems coded.
+    """Typed read of configuration files (see ``parse_configs``)."""
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return parse_configs(raw, schema)
+
+
+def parse_configs(raw: DataFrame, schema: str = APP_CONFIG_SCHEMA) -> DataFrame:
+    """Configuration texts (path, text) as typed rows with defaults filled and problems coded.
 
     ``status``: OK, INVALID_JSON (not parsable), CONFIG_INVALID_TYPE (a key
     is present but does not fit its declared type).
     """
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"),
-                                                                    F.col("value").alias("text"))
     typed = raw.withColumn("cfg", F.from_json("text", schema)).withColumn("_j", F.try_parse_json("text"))
     cols = [F.coalesce(F.col(f"cfg.{k}"), F.lit(v)).alias(k) for k, v in APP_DEFAULTS.items()]
     bad_type = F.lit(False)
@@ -86,8 +90,12 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """Prompt templates: every ``*.md`` under ``path`` as (name, template); a small, broadcastable table."""
     raw = (spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
                 .select(F.input_file_name().alias("path"), F.col("value").alias("template")))
-    name = F.regexp_extract("path", "([^/]+)$", 1)
-    return F.broadcast(raw.select(name.alias("name"), "template"))
+    return F.broadcast(prompt_table(raw))
+
+
+def prompt_table(files: DataFrame) -> DataFrame:
+    """(name, template) of the ``*.md`` files among (path, template)."""
+    return files.where(F.col("path").endswith(".md")).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "template")
 
 
 def missing_prompts(required: DataFrame, prompts: DataFrame) -> DataFrame:
