@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from gridmap.functions import text as T
 from gridmap.functions.parse import parse_class
 from gridmap.plans import defaults as D
+from gridmap.session import cut_lineage
 
 ANSWER_SCHEMA = "prompt_sha string, answer string"
 #: Lines of a document that are numbered together when running lengths are summed.
@@ -72,11 +73,9 @@ def stored_answers(prompts: DataFrame, fn: Callable[[pd.DataFrame], pd.Series],
     spark = prompts.sparkSession
     asked = prompts.select(F.col(id_col).alias("doc_id"), F.col(prompt_col).alias("prompt"), F.sha2(F.col(prompt_col), 256).alias("prompt_sha"))
     known = _read_store(spark, store)
-    new = asked.groupBy("prompt_sha").agg(F.any_value("prompt").alias("prompt"))
+    new = asked.groupBy("prompt_sha").agg(F.any_value("prompt").alias("prompt"), F.min("doc_id").alias("doc_id"))  # the scorer sees one of its ids
     new = new if known is None else new.join(known, "prompt_sha", "left_anti")
-    from gridmap.session import cut_lineage
-
-    fresh = cut_lineage(score(new, fn, id_col="prompt_sha", **kwargs).select(F.col("doc_id").alias("prompt_sha"), "answer", "error"))
+    fresh = cut_lineage(score(new, fn, **kwargs).select("prompt_sha", "answer", "error"))
     fresh.where("answer is not null").select("prompt_sha", "answer").write.mode("append").parquet(store)
     failed = fresh.where("answer is null").select("prompt_sha", "error")
     known = _read_store(spark, store).dropDuplicates(["prompt_sha"])  # two runs at once may have asked the same
