@@ -56,6 +56,38 @@ def test_components_equal_brute_force(spark, k):
     assert kept == {r["doc_id"] for r in out if r["kept"]}
 
 
+def test_a_cloud_of_half_similar_texts(spark, monkeypatch):
+    """One bucket holds many texts that are 0.65 to 0.85 similar to each other: only exact counts settle which are linked."""
+    monkeypatch.setattr(N, "TILE_ITEMS", 3000)  # several tiles
+    rnd = random.Random(8)
+    base = [f"b{i}" for i in range(100)]
+    rows = list(enumerate(" ".join(edited(rnd, base, rnd.randrange(4, 14))) for _ in range(160)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert sorted(tuple(r) for r in N.near_duplicates(docs, k=2).collect()) == brute(rows, 2, 80)
+    assert sorted(tuple(r) for r in N.near_duplicates(docs, k=2, bands=40, rows=2).collect()) == brute(rows, 2, 80)
+
+
+def test_links_of_a_group_equal_all_pairs():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 30, 30)) for _ in range(60)]
+    comp, probe = rng.integers(0, 12, 60), np.arange(60) % 3 == 0
+    order = list(range(60)) + np.flatnonzero(probe).tolist()  # a probe is a member too
+    group = pa.RecordBatch.from_arrays([pa.array([False] * 60 + [True] * int(probe.sum())), pa.array(comp[order]), pa.array(np.array(order)),
+                                        pa.array([sets[i].tolist() for i in order], pa.list_(pa.int64()))], names=["probe", "comp", "node", "items"])
+    want = {(p, int(comp[m])) for p in np.flatnonzero(probe) for m in range(60) if comp[m] != comp[p]
+            and 100 * len(np.intersect1d(sets[p], sets[m])) >= 60 * len(np.union1d(sets[p], sets[m]))}
+    got = list(N._linked(group, 60))
+    assert {(u, int(comp[v])) for u, v in got} == want and len(got) == len(want) > 10
+
+
+def test_rows_that_share_an_id_go_by_their_text(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (2, "another text of its own here"), (None, "a b c d e f")], "doc_id long, text string")
+    left = sorted((r.doc_id or 0, r.text) for r in N.drop_near_duplicates(docs).collect())
+    assert left == [(0, "a b c d e f"), (1, "a b c d e f"), (2, "another text of its own here")]
+
+
 def test_null_ids_repeated_rows_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (3, "a b c"), (1, "a B c"), (None, None)], "doc_id long, text string")
     out = sorted((str(r[0]), r[1], str(r[2]), r[3]) for r in N.near_duplicates(docs, k=2).collect())
