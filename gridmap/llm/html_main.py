@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -44,51 +45,77 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
         "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 #: They can't be ended from within another element of these kinds.
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "p": {"article", "div", "section", "td", "th", "li", "body", "main"}}
-_HINTS = re.compile(
-    r"(?<![a-z])(ads?|advert(s|isements?|ising|orial)?|sponsor(s|ed)?|promo(s|tions?)?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|"
-    r"modals?|overlays?|newsletters?|subscri(be|ptions?)|signup|login|sidebars?|side|widgets?|nav(bar|igation)?|menus?|breadcrumbs?|pagination|"
-    r"pager|toolbar|share|sharing|social|related|recommended|comments?|replies|respond|disqus|discussion|footer|masthead|skip|search|toc|"
-    r"complementary|contentinfo)(?![a-z])")
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: Words of a class, id or role that mark what isn't the article, and words that may stand beside them.
+_HINTS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising advertorial sponsor sponsors sponsored promo promos promotion promotions "
+    "banner banners cookie cookies consent gdpr notice notices alert alerts popup popups modal modals overlay overlays newsletter newsletters "
+    "subscribe subscription subscriptions signup login sidebar sidebars side widget widgets nav navbar navigation menu menus breadcrumb "
+    "breadcrumbs pagination pager toolbar share sharing social related recommended comment comments reply replies respond disqus discussion "
+    "footer masthead skip search toc complementary contentinfo".split())
+_BESIDE = frozenset(
+    "area article articles bar block bottom box boxes button buttons col column container content count first float footer form global group "
+    "head header holder icons inner item items large last left link links list main media module more outer overview page pages panel post "
+    "posts primary reader readers right row secondary section sidebar site slot small sticky story stories tag tags text title to top unit user "
+    "users wrap wrapper zone".split())
+#: A hint doesn't count for an element with at least so many characters that are more than half of its article's.
+MUCH_TEXT = 200
+_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*+)>""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 OPEN, CLOSE, TEXT = 0, 1, 2
 
 
-def _unwanted(tag: str, attrs: str) -> bool:
+def _hinted(value: str) -> bool:
+    """Whether a class token is made of hint words, and at most words that may stand beside them (side-by-side isn't)."""
+    for token in re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().split():
+        parts = [p for p in re.split(r"[^a-z]+", token) if p]
+        if any(p in _HINTS for p in parts) and all(p in _HINTS or p in _BESIDE for p in parts):
+            return True
+    return False
+
+
+def _unwanted(tag: str, attrs: str) -> int:
+    """2: the element goes; 1: it goes by the words of its class, id or role, unless it holds most of its article; 0: it stays."""
     if tag in DROPPED:
-        return True
+        return 2
     if not attrs or tag in ("html", "body", "article", "main") and "comment" not in attrs.lower():
-        return False
+        return 0
+    found = 0
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-        if name in ("class", "id", "role") and _HINTS.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()):
-            return True
-    return False
+            return 2
+        if name in ("class", "id", "role") and _hinted(value):
+            found = 1
+    return found
 
 
 def parse(page: str | None) -> list[list]:
-    """Events [OPEN, tag, unwanted, subtree hash], [CLOSE, tag] and [TEXT, text] in page order, always balanced."""
+    """Events [OPEN, tag, unwanted, subtree hash, characters], [CLOSE, tag] and [TEXT, text] in page order, always balanced."""
     page, events, stack, at = page or "", [], [], 0
+    open_tags: Counter = Counter()  # so that no end tag looks through the whole stack in vain
+    last = max(page.rfind(">"), page.rfind("<!--"))  # behind it no tag ends
 
     def close() -> None:
         opened, parts = stack.pop()
+        open_tags[opened[1]] -= 1
         raw = "\x1f".join(parts).encode("utf-8", "surrogatepass")
         opened[3] = int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
         events.append([CLOSE, opened[1]])
         if stack:
             stack[-1][1].append(str(opened[3]))
+            stack[-1][0][4] += opened[4]
 
     def text(s: str) -> None:
         if s:
             events.append([TEXT, html.unescape(s)])
             if stack and s.strip():
-                stack[-1][1].append(" ".join(s.split()))
+                words = " ".join(s.split())
+                stack[-1][1].append(words)
+                stack[-1][0][4] += len(words)
 
-    while m := _TOKEN.search(page, at):
+    while at <= last and (m := _TOKEN.search(page, at)):
         text(page[at:m.start()])
         at = m.end()
         if not m[2]:
@@ -97,26 +124,27 @@ def parse(page: str | None) -> list[list]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(o[1] == tag for o, _ in stack):
+            if open_tags[tag]:
                 while stack[-1][0][1] != tag:
                     close()
                 close()
             elif tag in ("br", "p"):
-                events += [[OPEN, tag, False, 0], [CLOSE, tag]]
+                events += [[OPEN, tag, 0, 0, 0], [CLOSE, tag]]
             continue
         ends = ENDS.get(tag, {"p"} if tag in BLOCKS else set())
         if tag in BLOCKS:
             ends = ends | {"p"}
-        for k in range(len(stack) - 1, -1, -1):
+        for k in range(len(stack) - 1, -1, -1) if any(open_tags[t] for t in ends) else ():
             name = stack[k][0][1]
             if name in ends:
                 while len(stack) > k:
                     close()
             elif name in SCOPES.get(tag, SCOPES["p"]):
                 break
-        opened = [OPEN, tag, _unwanted(tag, m[3]), 0]
+        opened = [OPEN, tag, _unwanted(tag, m[3]), 0, 0]
         events.append(opened)
         stack.append((opened, [tag]))
+        open_tags[tag] += 1
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
             close()
         elif tag in RAW:
@@ -130,14 +158,14 @@ def parse(page: str | None) -> list[list]:
 
 
 def subtrees(events: list[list]) -> list[int]:
-    """Distinct hashes of the page's block-level subtrees outside of article and main elements."""
+    """Distinct hashes of the page's boxes outside of article and main elements."""
     out, inside = set(), 0
     for e in events:
         if e[0] == OPEN and e[1] in ("article", "main"):
             inside += 1
         elif e[0] == CLOSE and e[1] in ("article", "main"):
             inside -= 1
-        elif e[0] == OPEN and not inside and e[1] in BLOCKS and e[1] not in ("html", "body"):
+        elif e[0] == OPEN and not inside and e[1] in BOXES:
             out.add(e[3])
     return sorted(out)
 
@@ -157,7 +185,7 @@ def main_text(events: list[list], template: frozenset | set = frozenset(), boxes
     """``template``: subtrees to delete outside of article and main elements; ``boxes``: inside of them."""
     found: dict[str, list[str]] = {"article": [], "main": [], "": []}
     run: list[str] = []
-    open_, skip = {"article": 0, "main": 0}, 0
+    open_, skip, around = {"article": 0, "main": 0}, 0, []
 
     def block() -> None:
         s = " ".join("".join(run).split())
@@ -180,22 +208,26 @@ def main_text(events: list[list], template: frozenset | set = frozenset(), boxes
         elif tag == "br" and e[0] == OPEN:
             run.append(" ")
         if e[0] == OPEN:
-            if (e[2] or tag == "header" and not inner or inner and tag in BOXES and e[3] in boxes
-                    or not inner and e[3] in template and tag not in ("article", "main", "body", "html")):
+            most = around and e[4] >= MUCH_TEXT and 2 * e[4] > around[-1]
+            if (e[2] == 2 or e[2] and not most or tag == "header" and not inner or inner and tag in BOXES and e[3] in boxes
+                    or not inner and e[3] in template and tag in BOXES):
                 skip = 1
             elif tag in open_:
                 open_[tag] += 1
+                around.append(e[4])
         elif tag in open_:
             open_[tag] -= 1
+            around.pop()
     block()
     article, main = "\n".join(found["article"]), "\n".join(found["main"])
     if boxes and not article and not main:
         return main_text(events, template)
-    return (main if len(main) > len(article) else article) or "\n".join(found[""])
+    text = (main if len(main) > len(article) else article) or "\n".join(found[""])
+    return text if text or not template else main_text(events, boxes=boxes)  # a page that recurs as a whole is no template
 
 
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, template): per host the hashes of the subtrees that recur on many of its pages."""
+    """(host, template): per host the hashes of the boxes that recur on many of its pages."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,8 +238,8 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
                 keys += some
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], names=["host", "key"])
 
-    counts = (pages.select(host_of(url_col).alias("host"), F.col(html_col)).where("host <> ''").mapInArrow(hashes, "host string, key long")
-              .groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(f"key = 0 or n >= {TEMPLATE_PAGES}"))
+    rows = pages.select(host_of(url_col).alias("host"), F.col(html_col)).where("host <> ''")
+    counts = (rows.mapInArrow(hashes, "host string, key long").groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(f"key = 0 or n >= {TEMPLATE_PAGES}"))
     counts = written(counts, "html-subtrees")
     whole = counts.where("key = 0").select("host", F.col("n").alias("pages"))
     return (counts.where("key <> 0").join(whole, "host").where(F.col("n") >= F.col("pages") * TEMPLATE_SHARE)
@@ -235,9 +267,21 @@ def host_of(url_col: str) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")))
 
 
+def _different(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """``pages`` with one of each host's pages that are equal as a whole: copies say nothing about a template.
+
+    Only hosts and hashes are counted and, where there are copies, numbered; no page is moved for it unless its host has copies of it.
+    """
+    keyed = pages.select(F.col(url_col), F.col(html_col), host_of(url_col).alias("__host"), F.md5(F.col(html_col).cast("binary")).alias("__page"))
+    copies = written(keyed.groupBy("__host", "__page").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__host", "__page"), "html-copies")
+    again, _ = checked_broadcast(copies)
+    one = keyed.join(again, ["__host", "__page"], "left_semi").dropDuplicates(["__host", "__page"])
+    return keyed.join(again, ["__host", "__page"], "left_anti").unionByName(one).select(url_col, html_col)
+
+
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """All rows and columns of ``pages`` but the html, with text and n_chars."""
-    templates, _ = checked_broadcast(written(site_templates(pages, url_col, html_col), "html-templates"), 20_000)
+    templates, _ = checked_broadcast(written(site_templates(_different(pages, url_col, html_col), url_col, html_col), "html-templates"), 20_000)
     hits, _ = checked_broadcast(written(box_hits(pages, url_col, html_col), "html-hits"), 20_000)
     base = replace_columns(pages, ["text", "n_chars"])
     rows = base.withColumns({"__host": host_of(url_col), "__page": F.md5(F.col(html_col).cast("binary"))})

@@ -79,3 +79,33 @@ def test_recurring_boxes_inside_articles_and_main_go(spark):
 def test_teaser_articles_do_not_replace_the_body():
     page = "<main><p>the real body of this page, at some length</p><article>teaser one</article><article>teaser two</article></main>"
     assert H.main_text(H.parse(page)) == "the real body of this page, at some length"
+
+
+def test_pages_that_recur_as_a_whole_keep_their_text(spark):
+    rows = [(i, f"http://m.example/{i}", "<body><div><h1>Title</h1><p>the same story on a mirror</p></div></body>") for i in range(6)]
+    rows += [(10 + i, f"http://m.example/x{i}", f"<body><div>print view {i}<p>the body</p></div><p>a line on each page</p><ul><li>menu</ul></body>") for i in range(6)]
+    rows += [(30 + i, f"http://p.example/{i}", f"<body><p>intro of all</p><div><p>own {i}</p></div></body>") for i in range(8)]
+    out = {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(out[i] == "Title\nthe same story on a mirror" for i in range(6))
+    assert all(out[10 + i] == f"print view {i}\nthe body\na line on each page" for i in range(6))
+    assert all(out[30 + i] == f"intro of all\nown {i}" for i in range(8))
+
+
+@pytest.mark.parametrize("name", ["side-by-side", "social-science", "search-results", "notices-of-law", "discussion", "user-comments big"])
+def test_class_words_do_not_delete_the_body(name):
+    body = "a sentence of the body. " * 20
+    assert H.main_text(H.parse(f'<article><h1>t</h1><div class="{name}"><p>{body}</p></div></article>')) == f"t\n{body.strip()}"
+
+
+@pytest.mark.parametrize("name", ["comments", "user-comments", "newsletterBox", "ad", "ad-slot left", "related-posts", "cookie_notice", "share-buttons", "sideBar", "main-nav"])
+def test_class_words_mark_what_is_not_the_article(name):
+    assert H.main_text(H.parse(f'<article><p>{"the body " * 30}</p><div class="{name}"><p>other</p></div></article>')) == ("the body " * 30).strip()
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    for page in ("<i>" * 100_000 + "</b>" * 100_000, "<a '" * 250_000, "<a x=\"" * 150_000, "<p><i>" * 100_000 + "</u>" * 50_000, "<" * 500_000, "<!-- " * 200_000):
+        start = time.process_time()
+        H.main_text(H.parse(page))
+        assert time.process_time() - start < 12, page[:8]
