@@ -219,21 +219,39 @@ def latent_space(items: DataFrame, weight: np.ndarray, rank: int = RANK, text_co
 
 
 def covered(item: np.ndarray, weight: np.ndarray, text: np.ndarray) -> tuple[float, np.ndarray]:
-    """Weight of the heaviest common subsequence as a share of the item's, and which words of the item it uses."""
-    best = np.zeros((len(item) + 1, len(text) + 1))
-    for i, w in enumerate(item):
-        step = np.where(text == w, best[i, :-1] + weight[i], 0)
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(step, best[i, 1:]))
+    """Weight of the heaviest common subsequence as a share of the item's, and which words of the item it uses.
+
+    Of the table only every sqrt(n)-th row is kept; on the way back the rows between are computed again, a stretch at a time.
+    """
+    def row(i: int, last: np.ndarray) -> np.ndarray:
+        step = np.where(text == item[i], last[:-1] + weight[i], 0)
+        return np.concatenate([[0.0], np.maximum.accumulate(np.maximum(step, last[1:]))])
+
+    every = max(1, int(len(item) ** 0.5))
+    kept, last = [], np.zeros(len(text) + 1)
+    for i in range(len(item)):
+        if i % every == 0:
+            kept.append(last)
+        last = row(i, last)
+    total = last[-1]
     used, i, j = np.zeros(len(item), bool), len(item), len(text)
-    while i and j:
-        if best[i, j] == best[i - 1, j]:
-            i -= 1
-        elif best[i, j] == best[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            used[i] = True
-    return min(1.0, float(best[-1, -1] / max(weight.sum(), 1e-9))), used
+    for k in range(len(kept) - 1, -1, -1):
+        first = k * every
+        if i <= first or not j:
+            continue
+        best = [kept[k]]
+        while first + len(best) <= i:
+            best.append(row(first + len(best) - 1, best[-1]))
+        while i > first and j:
+            here, above = best[i - first], best[i - first - 1]
+            if here[j] == above[j]:
+                i -= 1
+            elif here[j] == here[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                used[i] = True
+    return min(1.0, float(total / max(weight.sum(), 1e-9))), used
 
 
 @dataclass
@@ -351,6 +369,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item (rows without an id stay)."""
-    gone = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the rows (id and text) that hold a benchmark item, with or without an id."""
+    row = F.xxhash64(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    rows = docs.select(row.alias("__row"), F.col(f"`{text_col}`").alias("__text"))
+    gone = contaminated(rows, benchmark, "__row", "__text").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, row == F.col("__gone"), "left_anti")

@@ -64,7 +64,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     machine = toxicity.train(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"), crc_bucket(F.col("id"), 3) != 1)
-    return toxicity.score(docs, machine).select("doc_id", (crc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, machine).select("doc_id", F.coalesce(crc_bucket(F.col("doc_id"), 3) == 1, F.lit(True)).alias("held_out"), "score", "predicted")
 
 
 @query("op6_language_id")
@@ -72,7 +72,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang")
     filters = language_id.train(docs, crc_bucket(F.col("doc_id"), 4) != 2)
     out = language_id.identify(docs.drop("lang"), filters)
-    return out.select("doc_id", (crc_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(crc_bucket(F.col("doc_id"), 4) == 2, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
 @query("op7_html_main")

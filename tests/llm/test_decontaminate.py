@@ -41,7 +41,7 @@ def test_planted_passages_and_clean_documents(spark):
     got = {(r["doc_id"], r["item_id"]) for r in out.collect()}
     assert got == want | {(None, 4), (1002, 3)} and out.count() == len(got)
     kept = sorted(str(r["doc_id"]) for r in D.drop_contaminated(d, b).collect())
-    gone = {i for i, _ in got if i is not None}
+    gone = {i for i, _ in got}  # the row without an id that holds an item goes too
     assert kept == sorted(str(i) for i, _ in docs + odd if i not in gone)
 
 
@@ -153,3 +153,26 @@ def test_numbers_tell_items_apart(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in D.contaminated(d, b).collect()} == {(0, 1), (2, 2), (3, 3)}
     assert D.numbers([t for _, t in items]).sum() == 2 + 6 + 2
+
+
+def test_long_items_need_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    item = rng.integers(0, 400, 6000).astype(np.uint64)
+    text = np.concatenate([rng.integers(0, 400, 3000).astype(np.uint64), item[::2], rng.integers(400, 900, 3000).astype(np.uint64)])
+    tracemalloc.start()
+    share, used = D.covered(item, np.ones(len(item)), text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert share >= 0.5 and used.sum() == round(share * len(item)) and peak < 40 << 20
+
+
+def test_rows_go_by_id_and_text(spark):
+    passage = " ".join(f"alpha{i}beta" for i in range(40))
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    filler = lambda n: " ".join(f"word{n}x{i}" for i in range(60))
+    rows = [(1, filler(1) + " " + passage, 0), (1, filler(2), 1), (None, filler(3) + " " + passage, 2), (None, filler(4), 3), (None, None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row int")
+    left = D.drop_contaminated(docs, items)
+    assert left.columns == docs.columns and sorted(r["__row"] for r in left.collect()) == [1, 3, 4]
