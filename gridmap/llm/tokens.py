@@ -42,11 +42,11 @@ def _byte_letters() -> dict[int, str]:
 class PieceEncoder:
     """ids of texts as one flat uint32 array plus lengths; keeps the ids of pieces it has seen."""
 
-    def __init__(self, path: str, spaces: bool):
-        """``spaces``: the vocabulary keeps white space (a piece then takes one space before the word along)."""
+    def __init__(self, path: str, spaces: bool, kept: int | None = None):
+        """``spaces``: the vocabulary keeps white space (a piece then takes one space before the word along); ``kept``: pieces to keep (None: KEPT_PIECES)."""
         from tokenizers import Tokenizer
 
-        self.tok, self.spaces = Tokenizer.from_file(path), spaces
+        self.tok, self.spaces, self.kept = Tokenizer.from_file(path), spaces, kept
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.letters = _byte_letters()
         self.clear()
@@ -93,7 +93,7 @@ class PieceEncoder:
         ids = [self._piece(data[a:b].decode("utf-8", "surrogatepass")) for a, b in zip(starts.tolist(), ends.tolist())]
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((x for p in ids for x in p), np.uint32, int(lens.sum()))
-        if len(self.keys) + len(keys) > KEPT_PIECES:
+        if len(self.keys) + len(keys) > (self.kept or KEPT_PIECES):
             self.clear()
         at = len(self.pool) + np.cumsum(lens) - lens
         where = np.searchsorted(self.keys, keys)
@@ -138,11 +138,11 @@ class PieceEncoder:
         return flat.astype(np.uint32), lens
 
 
-_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, int | None], PieceEncoder] = {}
 
 
-def encoder(path: str, spaces: bool) -> PieceEncoder:
+def encoder(path: str, spaces: bool, kept: int | None = None) -> PieceEncoder:
     """The worker's encoder for a vocabulary; it and its pieces stay as long as the worker process."""
-    if (path, spaces) not in _ENCODERS:
-        _ENCODERS[path, spaces] = PieceEncoder(path, spaces)
-    return _ENCODERS[path, spaces]
+    if (path, spaces, kept) not in _ENCODERS:
+        _ENCODERS[path, spaces, kept] = PieceEncoder(path, spaces, kept)
+    return _ENCODERS[path, spaces, kept]
