@@ -88,3 +88,8 @@ def test_queries_are_registered():
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert "pipeline" in names and set(ORACLE) <= set(QUERIES) <= set(names)
     assert [n for n, _ in P.STAGES] == ["toxicity", "exact_dedup", "minhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
+
+
+def test_later_operators_are_registered():
+    names = E.queries()
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in (11, 12, 13)] == [1] * 3
