@@ -50,14 +50,17 @@ def run_batches(stream: DataFrame, out: str, checkpoint: str) -> str:
 
 
 def ingest_folder(spark: SparkSession, src: str, out: str, checkpoint: str, batch_fn=identify,
-                  available_now: bool = True, once: bool = True, horizon: str | None = None, files_per_batch: int = 64):
+                  available_now: bool = True, once: bool = True, horizon: str | None = None, files_per_batch: int | None = None,
+                  bytes_per_batch: int = 256 << 20):
     """Run the stream until every file present has been processed; return ``out`` (parquet).
 
     ``once`` (default on): an upload of the same file name and content is processed once, also across batches and restarts;
-    ``horizon``: see ``first_uploads``.
+    ``horizon``: see ``first_uploads``.  A micro-batch takes files of ``bytes_per_batch`` in all (or ``files_per_batch`` files, where
+    given): each runs the whole batch function, so many small files belong into one.
     """
+    limit = ("maxFilesPerTrigger", files_per_batch) if files_per_batch else ("maxBytesPerTrigger", bytes_per_batch)
     stream = (spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
-                   .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(src))
+                   .option("recursiveFileLookup", "true").option(*limit).load(src))
     if once:
         names = stream.withColumn("doc_name", F.element_at(F.split("path", "/"), -1)).withColumn("uploaded_at", F.col("modificationTime"))
         stream = first_uploads(names, horizon).select("path", "modificationTime", "length", "content")
