@@ -34,3 +34,12 @@ def test_known_fits_give_the_same_corrections_and_are_not_sent_again(spark):
     for a, b in zip((checked, corrections), given):
         assert sorted(a.collect(), key=str) == sorted(b.select(*a.columns).collect(), key=str)
     assert not re.search(r"hashpartitioning\(doc_id#\w+, section", plan(given[0]))
+
+
+def test_header_stages_do_not_run_the_section_stages(spark, monkeypatch):
+    cells, docs, _ = small_corpus(spark)
+    names = []
+    monkeypatch.setattr(P, "stored", lambda df, name: names.append(name) or session.stored(df, name))
+    res = P.map_documents(cells, docs)
+    assert res.detected.count() == 8 and "mapping-matches" not in names
+    assert res.mapping.count() > 0 and res.candidates.count() > 0 and names.count("mapping-matches") == 1
