@@ -2,8 +2,8 @@
 
 Format: a Parquet table of shards in one folder, written by Spark (a lost task leaves nothing behind).  A shard holds
 the ids of consecutive documents, compressed by Re-Pair: every round replaces frequent adjacent pairs by new
-nonterminals.  A round takes many pairs at once (where two overlap, the more frequent one wins) and keeps a rule only
-if it is used.  Columns: part and shard (their order is the order of documents), ids_before (ids of earlier shards of
+nonterminals, until no pair can be replaced twice.  A round takes many pairs at once (where two overlap, the more frequent one wins)
+and keeps a rule only if it is used twice at least.  Columns: part and shard (their order is the order of documents), ids_before (ids of earlier shards of
 the part), doc_ids, doc_lens, rules (pairs), rule_lens (ids that each rule stands for), symbols (rules from RULE_BASE
 on), marks (ids before every MARK-th symbol).  With rule_lens and marks any range of ids is decoded without the rest.
 
@@ -24,54 +24,95 @@ from pyspark.sql import functions as F
 from gridmap.llm.tokens import WORD_BPE, encoder, tokenizer_path
 
 END_ID, RULE_BASE, MARK = 1, 1 << 17, 4096
-SHARD_IDS, ROUNDS, PAIRS_PER_ROUND, MIN_USES, SLOT_BITS = 1 << 20, 4, 1 << 13, 8, 19
+SHARD_IDS, QUICK_ROUNDS, PAIRS_PER_ROUND, MIN_USES, SLOT_BITS = 1 << 20, 3, 1 << 13, 4, 19
 SCHEMA = ("part int, shard int, ids_before long, n_ids long, doc_ids binary, doc_null binary, doc_lens binary, rules binary, "
           "rule_lens binary, symbols binary, marks binary")
 
 
 # --- one shard ----------------------------------------------------------------------------------------------------
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, min_uses: int = MIN_USES) -> tuple[np.ndarray, np.ndarray]:
+def _taken(at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the pairs at places ``at`` (ascending) are replaced: of overlapping ones the heavier, of equally heavy ones in a row every other one."""
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (weight[1:] != weight[:-1])]))
+    level, size = weight[first], np.diff(np.append(first, len(at)))
+    apart = np.concatenate([[True], at[first[1:]] != at[first[1:] - 1] + 1, [True]])
+    before, after = np.concatenate([[0], level[:-1]]), np.concatenate([level[1:], [0]])
+    peak = (level > np.where(apart[:-1], 0, before)) & (level > np.where(apart[1:], 0, after))
+    first, size = first[peak], (size[peak] + 1) // 2
+    ends = np.cumsum(size)
+    return np.repeat(first - 2 * (ends - size), size) + 2 * np.arange(int(size.sum()))
+
+
+def _slots(pairs: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _frequent(pairs: np.ndarray) -> np.ndarray:
+    """Weight of each pair: the count of the PAIRS_PER_ROUND most frequent ones, 0 for others.  Pairs are counted by hash slots; a slot
+    counts one of its pairs exactly, others wait for a later round."""
+    owner, slot = np.zeros(1 << SLOT_BITS, np.uint64), _slots(pairs)
+    owner[slot] = pairs
+    mine = owner[slot] == pairs
+    counts = np.bincount(slot[mine], minlength=1 << SLOT_BITS)
+    often = counts >= MIN_USES
+    if int(often.sum()) > PAIRS_PER_ROUND:
+        often = counts >= max(MIN_USES, int(-np.partition(-counts, PAIRS_PER_ROUND)[PAIRS_PER_ROUND]))
+    return np.where(often, counts, 0)[slot] * mine
+
+
+def _repeated(at: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Weight of each pair that can be replaced twice at least: its rank by number of uses, so that no two pairs weigh the same; 0 for others."""
+    slot, out = _slots(pairs), np.zeros(len(pairs), np.int64)
+    some = np.flatnonzero(np.bincount(slot, minlength=1 << SLOT_BITS)[slot] > 1)
+    own, inv = np.unique(pairs[some], return_inverse=True)
+    # of a pair that overlaps with itself in a row, every other one can be replaced
+    new = np.concatenate([[True], (at[some[1:]] != at[some[1:] - 1] + 1) | (some[1:] != some[:-1] + 1) | (inv[1:] != inv[:-1])])[:len(some)]
+    k = np.arange(len(some))
+    uses = np.bincount(inv[(k - np.maximum.accumulate(np.where(new, k, 0))) % 2 == 0], minlength=len(own))
+    many = np.flatnonzero(uses > 1)
+    rank = np.zeros(len(own), np.int64)
+    rank[many[np.argsort(uses[many], kind="stable")]] = np.arange(1, len(many) + 1)
+    out[some] = rank[inv]
+    return out
+
+
+def compress(ids: np.ndarray, quick: int = QUICK_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): Re-Pair in rounds; rule k is a pair and is written RULE_BASE + k.
 
-    Pairs are counted by hash slots; a slot counts one of its pairs exactly, others wait for a later round.
+    The ``quick`` first rounds take frequent pairs only; the others all that repeat, until no pair can be replaced twice.
     """
-    seq, rules, n_rules = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], 0
-    slots = 1 << SLOT_BITS
-    owner = np.zeros(slots, np.uint64)
-    for _ in range(rounds):
-        if len(seq) < 2 * min_uses:
+    seq, rules, n_rules, live, done = ids.astype(np.uint32), [np.zeros((0, 2), np.uint32)], 0, None, 0
+    while len(seq) > 3:
+        # a rule's number is new, so a pair that occurs once stays so: later rounds look at pairs that repeated and at those next to a replaced one
+        at = np.arange(len(seq) - 1) if live is None else np.flatnonzero(live[:-1])
+        pairs = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+        weight = _frequent(pairs) if done < quick else _repeated(at, pairs)
+        some = np.flatnonzero(weight)
+        if len(some):
+            some = some[_taken(at[some], weight[some])]
+        key = _slots(pairs[some]) if done < quick else weight[some]
+        uses = np.bincount(key, minlength=1)
+        some, key = some[uses[key] > 1], key[uses[key] > 1]  # pairs of equal count in a row may be left with a single use in a quick round
+        if done >= quick and not len(some):
             break
-        pairs = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        with np.errstate(over="ignore"):
-            slot = ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        owner[slot] = pairs
-        mine = owner[slot] == pairs
-        counts = np.bincount(slot[mine], minlength=slots)
-        often = counts >= min_uses
-        if int(often.sum()) > PAIRS_PER_ROUND:
-            often = counts >= max(min_uses, int(-np.partition(-counts, PAIRS_PER_ROUND)[PAIRS_PER_ROUND]))
-        weight = np.where(often, counts, 0)[slot] * mine
-        # of overlapping pairs the more frequent one, of equally frequent ones in a row every other one
-        first = np.flatnonzero(np.concatenate([[True], weight[1:] != weight[:-1]]))
-        level, size = weight[first], np.diff(np.append(first, len(weight)))
-        peak = (level > np.concatenate([[0], level[:-1]])) & (level > np.concatenate([level[1:], [0]]))
-        first, size = first[peak], (size[peak] + 1) // 2
-        ends = np.cumsum(size)
-        at = np.repeat(first - 2 * (ends - size), size) + 2 * np.arange(int(size.sum()))
-        used = np.bincount(slot[at], minlength=slots) >= min_uses
-        new = np.flatnonzero(used)
-        if not len(new):
-            break
-        at = at[used[slot[at]]]
-        number = np.zeros(slots, np.uint32)
+        where, new = at[some], np.flatnonzero(uses > 1)
+        example = np.zeros(len(uses), np.int64)
+        example[key] = where
+        number = np.zeros(len(uses), np.uint32)
         number[new] = np.arange(len(new), dtype=np.uint32) + np.uint32(RULE_BASE + n_rules)
-        seq[at] = number[slot[at]]
+        rules.append(np.stack([seq[example[new]], seq[example[new] + 1]], 1))
+        n_rules, done = n_rules + len(new), done + 1
         keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
+        keep[where + 1] = False
+        if done > quick:
+            live = np.zeros(len(seq), bool)
+            live[at[weight > 0]] = True
+            live[where] = True
+            live[np.maximum(where - 1, 0)] = True
+            live = live[keep]
+        seq[where] = number[key]
         seq = seq[keep]
-        rules.append(np.stack([owner[new] >> np.uint64(32), owner[new] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        n_rules += len(new)
     return seq, np.concatenate(rules)
 
 
@@ -87,15 +128,18 @@ def rule_lengths(rules: np.ndarray) -> np.ndarray:
     return out
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    while (up := symbols >= RULE_BASE).any():
-        at = np.cumsum(up + 1) - (up + 1)
-        out = np.empty(len(symbols) + int(up.sum()), np.uint32)
+def expand(symbols: np.ndarray, rules: np.ndarray, rule_lens: np.ndarray | None = None) -> np.ndarray:
+    """The ids that the symbols stand for; each symbol of every rule used is visited once, however deep the rules are."""
+    lens = rule_lengths(rules) if rule_lens is None else rule_lens
+    each = symbol_lengths(symbols, lens)
+    at, out = np.cumsum(each) - each, np.empty(int(each.sum()), np.uint32)
+    while len(symbols):
+        up = symbols >= RULE_BASE
         out[at[~up]] = symbols[~up]
-        pair = rules[symbols[up] - RULE_BASE]
-        out[at[up]], out[at[up] + 1] = pair[:, 0], pair[:, 1]
-        symbols = out
-    return symbols
+        at, pair = at[up], rules[symbols[up] - RULE_BASE]
+        at = np.concatenate([at, at + symbol_lengths(pair[:, 0], lens)])
+        symbols = np.concatenate([pair[:, 0], pair[:, 1]])
+    return out
 
 
 def symbol_lengths(symbols: np.ndarray, rule_lens: np.ndarray) -> np.ndarray:
@@ -117,7 +161,7 @@ def decode_range(shard: dict, start: int, end: int) -> np.ndarray:
     upto = marks[first] + np.cumsum(symbol_lengths(some, lens))
     a, b = int(np.searchsorted(upto, start, side="right")), int(np.searchsorted(upto, end, side="left")) + 1
     before = marks[first] if a == 0 else upto[a - 1]
-    return expand(some[a:b], arr("rules", "<u4").reshape(-1, 2))[start - before:end - before]
+    return expand(some[a:b], arr("rules", "<u4").reshape(-1, 2), lens)[start - before:end - before]
 
 
 # --- writing and reading ------------------------------------------------------------------------------------------
@@ -177,7 +221,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = expand(np.frombuffer(row["symbols"], "<u4"), np.frombuffer(row["rules"], "<u4").reshape(-1, 2))
+                ids = expand(np.frombuffer(row["symbols"], "<u4"), np.frombuffer(row["rules"], "<u4").reshape(-1, 2),
+                             np.frombuffer(row["rule_lens"], "<i8"))
                 lens = np.frombuffer(row["doc_lens"], "<i8")
                 ends, raw = np.cumsum(lens), np.ascontiguousarray(ids, "<u4").data.cast("B")
                 crc = [zlib.crc32(raw[4 * (e - n):4 * e]) for e, n in zip(ends.tolist(), lens.tolist())]

@@ -57,6 +57,27 @@ def test_grammar_round_trip_and_random_access():
                 assert token_output.decode_range(row, a, b).tolist() == ids[a:b].tolist()
 
 
+def test_no_pair_is_left_that_can_be_replaced_twice():
+    rng = np.random.default_rng(4)
+    copies = np.tile(rng.integers(0, 50_000, 700), 9)
+    for ids in (copies, rng.integers(0, 40, 20_000), np.full(4096, 3), np.array([1, 2, 1, 2]), *[rng.integers(0, 3, n) for n in range(2, 40)]):
+        symbols, rules = token_output.compress(ids.astype(np.uint32))
+        assert token_output.expand(symbols, rules).tolist() == ids.tolist()
+        uses, last = {}, {}
+        for i, pair in enumerate(zip(symbols.tolist(), symbols.tolist()[1:])):
+            if last.get(pair) != i - 1:  # else it overlaps with the one before
+                uses[pair], last[pair] = uses.get(pair, 0) + 1, i
+        assert max(uses.values(), default=0) < 2
+
+
+@pytest.mark.parametrize("spaces", [False, True])
+def test_ascii_pieces_have_the_ids_of_the_library(spaces):
+    enc = PieceEncoder(tokenizer_path(BYTE_BPE if spaces else WORD_BPE), spaces)
+    for piece in ["a", "Zz...", "USA,", "ab'c", "a_b", "O'Neil", "x`y", "Hello!!!", "a1", "--", "q{}", "it~", "!", "a\u0130", "caf\u00e9!"] * 2:
+        for text in [piece, " " + piece] if spaces else [piece]:
+            assert enc._ascii_piece(text.encode()) == enc.whole(text)
+
+
 def test_shards_give_back_every_document(spark, tmp_path):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(tokenizer_path(WORD_BPE))
