@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,8 @@ from gridmap.llm.common import WORD_BYTES, slices, texts_bytes, word_hashes, wor
 SLOT_BITS, WINDOW, RANK, COSINE, BLOCK_ITEMS = 17, 32, 512, 0.35, 20_000
 #: Passages that one task deals into blocks.
 DEALT_PASSAGES = 16 * RANK
+#: Passages whose products are bounded together before those of each are summed.
+GROUP = 16
 STRONG, WEAK, ANSWER_WORDS, ANSWER_SHARE, NUMBER_WORDS = 0.7, 0.5, 5, 0.8, 16
 
 
@@ -280,6 +283,49 @@ class Index:
         self.vocabulary = np.unique(np.concatenate([*some, np.zeros(0, np.uint64)]))
         self.row_of = self.space.rows(slots_of(self.vocabulary))
 
+    @cached_property
+    def lookup(self) -> np.ndarray:
+        """Products of each word's weighted row of the space with all passages: a window's cosines are sums of these over its words."""
+        return (self.weight[self.space.slots][:, None] * self.space.basis) @ self.vectors.T
+
+    @cached_property
+    def bounds(self) -> np.ndarray:
+        """The greatest products among GROUP passages at a time."""
+        return np.maximum.reduceat(self.lookup, np.arange(0, len(self.vectors), GROUP), axis=1)
+
+    def possible(self, words: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Numbers of the documents (words ``edges[d]`` to before ``edges[d + 1]``) with a window that reaches COSINE, all documents at once;
+        thresholds leave room for rounding, so that a document left out has no candidate."""
+        n = np.diff(edges)
+        if not len(words) or not len(self.vectors):
+            return np.zeros(0, np.int64)
+        w = self.weight[slots_of(words)].astype(np.float64) ** 2
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        row = np.where(self.vocabulary[at] == words, self.row_of[at], -1)
+        windows = np.where(n > 0, -(-np.maximum(n - WINDOW // 2, 1) // (WINDOW // 2)), 0)
+        doc = np.repeat(np.arange(len(n)), windows)
+        start = edges[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows)) * (WINDOW // 2)
+        end = np.minimum(start + WINDOW, edges[doc + 1])
+        mass, own = (np.concatenate([[0], np.cumsum(x)]) for x in (w, np.where(row >= 0, w, 0)))
+        slack = 1e-9 * (1 + mass[-1])  # sums over all documents are rounded more than those of one
+        norm, shared = np.sqrt(np.maximum(mass[end] - mass[start] - slack, 0)), own[end] - own[start] + slack
+        some, out = np.flatnonzero((np.sqrt(shared) >= COSINE * norm) & (shared >= COSINE * norm * self.least_norm)), []
+        for k in range(0, len(some), 128):
+            block = some[k:k + 128]
+            at = start[block][:, None] + np.arange(WINDOW)
+            rows = np.sort(np.where(at < end[block][:, None], row[np.minimum(at, len(row) - 1)], -1), 1)
+            new = rows >= 0
+            new[:, 1:] &= rows[:, 1:] != rows[:, :-1]
+            for table in (self.bounds, self.lookup):
+                size = new.sum(1)
+                block, new, rows, size = (x[size > 0] for x in (block, new, rows, size))
+                if len(block):
+                    product = np.add.reduceat(table[rows[new]], np.cumsum(size) - size, axis=0).max(1)
+                    left = product >= (COSINE - 0.001) * norm[block]
+                    block, new, rows = block[left], new[left], rows[left]
+            out.append(doc[block])
+        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
     def candidates(self, words: np.ndarray) -> list[tuple[int, int, float]]:
         """(item number, first word of the window, cosine) of one document's windows."""
         n = len(words)
@@ -354,8 +400,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 ids, texts_, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
                 for a, z in slices(texts_):
                     words, edges = word_hashes(texts_[a:z], WORD_BYTES)
-                    for d, s, e in zip(ids[a:z], edges.tolist(), edges[1:].tolist()):
-                        out += [(d, *m) for m in index.value.matches(words[s:e])]
+                    for k in index.value.possible(words, edges).tolist():
+                        out += [(ids[a + k], *m) for m in index.value.matches(words[edges[k]:edges[k + 1]])]
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)],
                                                  names=[c.split()[0] for c in schema.split(", ")])

@@ -97,6 +97,21 @@ def test_latent_space_and_search_equal_brute_force(spark):
     assert total > 5 and found >= 0.9 * total
 
 
+def test_documents_without_a_window_that_reaches_the_cosine_are_left_out_together(spark):
+    docs, items, want = corpus(5)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    weight = D.weights(D.document_frequencies(d))
+    words = [word_hashes([t], LETTER_BYTES)[0] for _, t in items]
+    index = D.Index([i for i, _ in items], words, [w[-5:] for w in words], weight, D.latent_space(b, weight))
+    texts = ["", None, " . ", *[t for _, t in docs], "the", ""]
+    words, edges = word_hashes(texts, LETTER_BYTES)
+    possible = index.possible(words, edges).tolist()
+    some = [k for k, (s, e) in enumerate(zip(edges, edges[1:])) if index.candidates(words[s:e])]
+    assert set(some) <= set(possible) and len(possible) <= len(some) + 2 < len(texts)
+    assert {d for d, _ in want} <= {k - 3 for k in possible}
+    assert len(index.possible(*word_hashes(["", None], LETTER_BYTES))) == 0
+
+
 def test_covered_is_the_heaviest_common_subsequence():
     rnd = random.Random(1)
     for _ in range(50):
