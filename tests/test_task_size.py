@@ -42,3 +42,24 @@ def test_rows_gathered_with_gaps_and_repeated_columns_keep_their_order(spark):
                                   "doc_id long, row_idx int, col_idx int, value string")
     got = {r.line_no: r.line for r in G.rows_to_lines(cells).collect()}
     assert got[0] == "| a |  |  | d |" and got[1] == "| x |  |"
+
+
+@pytest.mark.parametrize("threshold", ["-1", "1g"])
+def test_the_truth_meets_the_cells_unsent(spark, tmp_path, threshold):
+    import datetime as dt
+
+    from gridmap.plans import queries_cells as C
+    spark.createDataFrame([(k, dt.datetime(2024, 1, k)) for k in range(1, 9)], "o_orderkey long, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(k, 100, 7, 1, 9.5, "O", dt.datetime(2024, 2, 1)) for k in range(1, 8)],
+                          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_linestatus string, "
+                          "l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        for query in (C.q_map_to_columns, C.q_project_mapped):
+            text = plan(query(spark, str(tmp_path)))
+            assert "BroadcastHashJoin" not in text and "SortMergeJoin" not in text
+            sent = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+            assert sent and all("hashpartitioning(o_orderkey" in x or "hashpartitioning(l_orderkey" in x for x in sent)  # keys, before the truth's texts
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
