@@ -43,3 +43,14 @@ def test_header_stages_do_not_run_the_section_stages(spark, monkeypatch):
     res = P.map_documents(cells, docs)
     assert res.detected.count() == 8 and "mapping-matches" not in names
     assert res.mapping.count() > 0 and res.candidates.count() > 0 and names.count("mapping-matches") == 1
+
+
+def test_a_cell_fits_a_field_once_and_answers_are_read_once(spark):
+    cells, docs, _ = small_corpus(spark)
+    res = P.map_documents(cells, docs)
+    keys = ["doc_id", "col_idx", "section", "field"]
+    assert res.candidates.count() == res.candidates.select(*keys).distinct().count() > 0  # several spellings of a field equal a cell
+    wrong = session.stored(res.extracted.where("header is not null").withColumn("header", F.upper("header")), "wrong")
+    _, corrections = S.validate_sections(wrong.repartition(7, "doc_id"), res.header_cells, candidates=res.candidates.repartition(7, "doc_id"))
+    sent = [x for x in plan(corrections).splitlines() if "Exchange hashpartitioning(doc_id" in x and "REPARTITION_BY_NUM" in x]
+    assert len(sent) == 2  # the answers and the fits
